@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contamination
+from .packing import pack
 from .recompression import remove_repeated_windows
+from .simhash import near_duplicates
 from .suffix_index import remove_repeated_bytes
 from .tables import read
 
+#: Vocabulary of the packing query, by name of the public tokenizers package.
+VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+
+
+def vocabulary() -> tuple[str, str, str]:
+    """Tokenizer file, rank file of the same vocabulary, and its pattern."""
+    return (*(public_tokenizers.path(name) for name in VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read(spark, folder, "documents"), *vocabulary(), capacity=1024, end_id=2).drop("ids")
+
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_windows(read(spark, folder, "documents"), width=13).drop("kept")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"), width=10)
+
+
+def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"), bits=4, shingle=4, seed=42)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_bytes(read(spark, folder, "documents"), width=50).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op4_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup)}
 
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
@@ -34,3 +35,8 @@ def free_name(frame: DataFrame, stem: str) -> str:
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
+    """The schema with fields of these names at its end, in place of fields of the same name."""
+    return T.StructType([*(f for f in schema.fields if f.name not in kinds), *(T.StructField(k, kind) for k, kind in kinds.items())])
