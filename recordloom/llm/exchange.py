@@ -25,8 +25,8 @@ from .texts import mix, text_buffers, xxh64_long
 ROWS = "bucket int, tag int, doc binary, key binary, val binary"
 NAMES = ("bucket", "tag", "doc", "key", "val")
 ARROW = pa.schema([("bucket", pa.int32()), ("tag", pa.int32()), ("doc", pa.binary()), ("key", pa.binary()), ("val", pa.binary())])
-#: Buckets for each shuffle partition, so that one bucket's arrays and texts stay small.
-BUCKETS_PER_PARTITION = 4
+#: Buckets for each shuffle partition. Rows of packed arrays number up to buckets squared, so there are no more than tasks.
+BUCKETS_PER_PARTITION = 1
 #: Text that one task gathers before it sends its fingerprints, in bytes.
 SEND_BYTES = 48 << 20
 
@@ -139,34 +139,38 @@ def doc_ids(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def send(docs: DataFrame, work: Callable, n: int) -> DataFrame:
-    """work(data, offsets, doc ids) gives fingerprints (key, doc) of a cut of texts.
+    """work(data, offsets) gives (tag, key, row) arrays for the texts of a batch.
 
-    A fingerprint seen in several documents of one task is known to be shared: those documents
-    are told (SHARED) at once, and only the smallest of them is sent on.
+    SENT: a fingerprint seen in several documents of one task is known to be shared: those documents
+    are told (SHARED) at once, and only the smallest of them is sent on. SENT_TEXT: a fingerprint of a
+    whole text; all documents of the task that have it but the smallest are told that they are copies.
     """
 
     def tasks(batches):
-        keys, ids, size = [], [], 0
+        found: dict[int, list] = {}
+        size = 0
 
         def rows():
-            key, doc, least, many = distinct_pairs(np.concatenate(keys), np.concatenate(ids))
-            out = spread(SHARED, n + doc_bucket(doc[many], n), doc[many], key[many])
-            lone = doc == least
-            return as_batch(out + spread(SENT, key_bucket(key[lone], n), doc[lone], key[lone]))
+            out = []
+            for tag, parts in found.items():
+                key, doc, least, many = distinct_pairs(*(np.concatenate(x) for x in zip(*parts)))
+                told, lone = (many, SHARED) if tag == SENT else (doc > least, COPY), doc == least
+                out += spread(told[1], n + doc_bucket(doc[told[0]], n), doc[told[0]], key[told[0]])
+                out += spread(tag, key_bucket(key[lone], n), doc[lone], key[lone])
+            found.clear()
+            return as_batch(out)
 
         for batch in batches:
             doc, null = doc_ids(batch.column(0))
             data, offsets = text_buffers(batch.column(1))
-            for key, row in work(data, offsets):
-                row_ok = ~null[row]
-                keys.append(key[row_ok])
-                ids.append(doc[row[row_ok]])
+            for tag, key, row in work(data, offsets):
+                known = ~null[row]
+                found.setdefault(tag, []).append((key[known], doc[row[known]]))
             size += len(data)
-            if size >= SEND_BYTES and keys:
+            if size >= SEND_BYTES:
                 yield rows()
-                keys, ids, size = [], [], 0
-        if keys:
-            yield rows()
+                size = 0
+        yield rows()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tasks, ROWS)
 
@@ -186,15 +190,15 @@ def meet(docs: DataFrame, rows: DataFrame, work: Callable, schema: str) -> DataF
 
 
 #: Tags of rows.
-SENT, SHARED, SENT_CONTEXT, SENT_EXTENDED, DROP_RUN, EDGE, DROP_WINDOW = range(7)
+SENT, SHARED, SENT_TEXT, COPY, SENT_CONTEXT, SENT_LEFT, SENT_RIGHT, DROP_RUN, EDGE_LEFT, EDGE_RIGHT, DROP_WINDOW = range(11)
 
 
 def passed(frame: pd.DataFrame, n: int) -> list[tuple] | None:
-    """The rows of a bucket of documents, renumbered; None for a bucket of keys."""
+    """The rows of a bucket of documents, renumbered and joined to one for each tag; None for a bucket of keys."""
     bucket = int(frame["bucket"].iloc[0])
     if bucket < n:
         return None
-    return [(bucket - n, *row) for row in frame[list(NAMES[1:])].itertuples(index=False, name=None)]
+    return [(bucket - n, int(tag), *map(packed, gathered(frame, tag)), None) for tag in sorted(set(frame["tag"]))]
 
 
 def windows_settled(n: int) -> Callable:

@@ -142,7 +142,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, buckets: int | Non
             if len(starts):
                 row = row[starts]
                 new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]
-                yield key[new], row[new] + i
+                yield X.SENT, key[new], row[new] + i
 
     def shared(frame):
         if (rows := X.passed(frame, n)) is not None:

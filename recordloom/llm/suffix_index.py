@@ -7,7 +7,8 @@ a fingerprint is shipped instead of the bytes). Spark deals the arrays to ranges
 range the arrays of the batches arrive one by one, are merge-scanned against the levels that are
 there, and levels of equal size are merged, so a batch is scanned against logarithmically many. Suffixes
 found in several documents are then extended to whole windows: first the stretch of all windows that
-chose a suffix is compared at once, and only stretches that differ are compared window by window.
+chose a suffix is compared at once, and only stretches that differ, though a suffix with enough bytes to
+its left or right is shared, are compared window by window. Whole copies of a text are told apart first.
 """
 
 from __future__ import annotations
@@ -99,21 +100,31 @@ class Stretches:
         first, last = self.first[take], self.last[take]
         return mix(self.rolling.slices(first, last + self.width) + (self.at[take] - first).astype(np.uint64) * np.uint64(MULTIPLIER))
 
-    def extended(self, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of a window's other bytes at least half stand on one side of the core: hashes of the core with
-        that many bytes to its left, and to its right, each with the suffixes (places in take) that have them."""
-        more = (self.width - self.core + 1) // 2
+    @property
+    def more(self) -> int:
+        """Of a window's bytes outside the core, at least so many stand on one side of it."""
+        return (self.width - self.core + 1) // 2
+
+    def extended(self, take: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the core with ``more`` bytes to its left (or right), and the places in take that have them."""
         at, row = self.at[take], self.row[take]
-        left = np.flatnonzero(at - more >= self.offsets[row])
-        right = np.flatnonzero(at + self.core + more <= self.offsets[row + 1])
-        keys = np.r_[self.rolling.slices(at[left] - more, at[left] + self.core), mix(self.rolling.slices(at[right], at[right] + self.core + more))]
-        return keys, np.r_[left, right]
+        begin, end = (at - self.more, at + self.core) if left else (at, at + self.core + self.more)
+        inside = np.flatnonzero((begin >= self.offsets[row]) & (end <= self.offsets[row + 1]))
+        return self.rolling.slices(begin[inside], end[inside]) & np.uint64(0xFFFFFFFFFFFF0000), inside
+
+    def windows(self, take: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of the stretches with the left, or the right, extension of the core: start and row."""
+        first, last = self.first[take], self.last[take]
+        first = np.where(left, first, np.maximum(first, self.at[take] + self.core + self.more - self.width))
+        last = np.where(right, last, np.minimum(last, self.at[take] - self.more))
+        count = np.maximum(last - first + 1, 0)
+        which = np.repeat(np.arange(len(take)), count)
+        return first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count), self.row[take][which]
 
-    def windows(self, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All windows of the stretches: start and row."""
-        count = self.last[take] - self.first[take] + 1
-        which = np.repeat(take, count)
-        return self.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count), self.row[which]
+    def texts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of whole texts that hold a window, and their rows."""
+        row = np.flatnonzero(np.diff(self.offsets) >= self.width)
+        return self.rolling.slices(self.offsets[row], self.offsets[row + 1]), row
 
 
 def _differing(ext: np.ndarray, ctx: np.ndarray, doc: np.ndarray):
@@ -149,41 +160,65 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
 
     def fingerprints(data, offsets):
         for i, found in stretches(data, offsets):
-            yield found.key, found.row + i
+            yield X.SENT, found.key, found.row + i
+            key, row = found.texts()
+            yield X.SENT_TEXT, key, row + i
 
     def index(frame):
         """The family of one range of fingerprints."""
         if (rows := X.passed(frame, n)) is not None:
             return rows
         family = Levels()
-        for doc, key in zip(frame["doc"], frame["key"]):
+        for doc, key in frame.loc[frame["tag"] == X.SENT, ["doc", "key"]].itertuples(index=False):
             family.add(X.unpacked(key, np.uint64), X.unpacked(doc, np.int64))
         doc, key = family.shared()
-        return X.spread(X.SHARED, X.doc_bucket(doc, n), doc, key)
+        rows = X.spread(X.SHARED, X.doc_bucket(doc, n), doc, key)
+        doc, key = X.gathered(frame, X.SENT_TEXT)
+        key, doc, least, _ = X.distinct_pairs(key, doc)
+        later = doc > least
+        return rows + X.spread(X.COPY, X.doc_bucket(doc[later], n), doc[later], key[later])
 
-    def extend(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
-        doc, key = X.gathered(found.to_pandas(), X.SHARED)
-        members = X.Members(X.pair_codes(doc, key))
+    def opened(texts_: pa.Table, found: pa.Table):
+        """What a bucket of texts and the rows for them hold."""
         doc, null = X.doc_ids(texts_.column("doc_id"))
-        data, offsets = text_buffers(texts_.column("text"))
-        ctx_all, doc_all, ext_all, ext_ctx, ext_doc = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.uint64, np.uint64, np.int64))
-        for i, cut in stretches(data, offsets) if len(members.codes) else ():
+        frame = found.to_pandas()
+        members = {tag: X.Members(X.pair_codes(*X.gathered(frame, tag))) for tag in (X.SHARED, X.COPY, X.DROP_RUN, X.EDGE_LEFT, X.EDGE_RIGHT, X.DROP_WINDOW)}
+        return frame, members, doc, null, *text_buffers(texts_.column("text"))
+
+    def copies(cut: Stretches, i: int, doc: np.ndarray, null: np.ndarray, members: X.Members) -> np.ndarray:
+        """Which rows of the cut are whole copies of a smaller document's text."""
+        out = np.zeros(len(cut.offsets) - 1, bool)
+        key, row = cut.texts()
+        out[row] = members.of(X.pair_codes(doc[row + i], key)) & ~null[row + i]
+        return out
+
+    def carried(frame, *tags: int) -> list[tuple]:
+        """Rows that a later stage needs."""
+        return [(n + int(b), *row) for b, *row in frame.loc[frame["tag"].isin(tags), list(X.NAMES)].itertuples(index=False, name=None)]
+
+    def extend(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
+        frame, members, doc, null, data, offsets = opened(texts_, found)
+        ctx_all, doc_all = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        sides: dict[bool, list] = {side: [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))] for side in (True, False)}
+        for i, cut in stretches(data, offsets) if len(members[X.SHARED].codes) else ():
             own = cut.row + i
-            take = np.flatnonzero(members.of(X.pair_codes(doc[own], cut.key)) & ~null[own])
+            whole = copies(cut, i, doc, null, members[X.COPY])
+            take = np.flatnonzero(members[X.SHARED].of(X.pair_codes(doc[own], cut.key)) & ~null[own] & ~whole[cut.row])
             ctx, ids = cut.contexts(take), doc[own[take]]
-            ext, which = cut.extended(take)
             ctx_all.append(ctx)
             doc_all.append(ids)
-            ext_all.append(ext)
-            ext_ctx.append(ctx[which])
-            ext_doc.append(ids[which])
+            for side in sides:
+                ext, which = cut.extended(take, side)
+                sides[side].append((ext, ctx[which] & np.uint64(0xFFFFFFFFFFFF0000), ids[which]))
         ctx, ids, least, _ = X.distinct_pairs(np.concatenate(ctx_all), np.concatenate(doc_all))
         later = ids > least
-        rows = X.spread(X.DROP_RUN, n + X.doc_bucket(ids[later], n), ids[later], ctx[later])
+        rows = carried(frame, X.COPY)
+        rows += X.spread(X.DROP_RUN, n + X.doc_bucket(ids[later], n), ids[later], ctx[later])
         rows += X.spread(X.SENT_CONTEXT, X.key_bucket(ctx[~later], n), ids[~later], ctx[~later])
-        ext, ctx, ids, several, ends = _differing(*map(np.concatenate, (ext_all, ext_ctx, ext_doc)))
-        rows += X.spread(X.EDGE, n + X.doc_bucket(ids[several], n), ids[several], ctx[several])
-        rows += X.spread(X.SENT_EXTENDED, X.key_bucket(ext[ends], n), ids[ends], ext[ends], ctx[ends])
+        for side, parts in sides.items():
+            ext, ctx, ids, several, ends = _differing(*map(np.concatenate, zip(*parts)))
+            rows += X.spread(X.EDGE_LEFT if side else X.EDGE_RIGHT, n + X.doc_bucket(ids[several], n), ids[several], ctx[several])
+            rows += X.spread(X.SENT_LEFT if side else X.SENT_RIGHT, X.key_bucket(ext[ends], n), ids[ends], ext[ends], ctx[ends])
         return pa.Table.from_batches([X.as_batch(rows)])
 
     def contexts(frame):
@@ -193,38 +228,41 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
         ctx, doc, least, _ = X.distinct_pairs(ctx, doc)
         later = doc > least
         rows = X.spread(X.DROP_RUN, X.doc_bucket(doc[later], n), doc[later], ctx[later])
-        doc, ext, ctx = X.gathered(frame, X.SENT_EXTENDED, with_val=True)
-        _, ctx, doc, several, _ = _differing(ext, ctx, doc)
-        return rows + X.spread(X.EDGE, X.doc_bucket(doc[several], n), doc[several], ctx[several])
+        for sent, edge in ((X.SENT_LEFT, X.EDGE_LEFT), (X.SENT_RIGHT, X.EDGE_RIGHT)):
+            doc, ext, ctx = X.gathered(frame, sent, with_val=True)
+            _, ctx, doc, several, _ = _differing(ext, ctx, doc)
+            rows += X.spread(edge, X.doc_bucket(doc[several], n), doc[several], ctx[several])
+        return rows
 
     def expand(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
-        frame = found.to_pandas()
-        gone, edge = (X.Members(X.pair_codes(*X.gathered(frame, tag))) for tag in (X.DROP_RUN, X.EDGE))
-        doc, null = X.doc_ids(texts_.column("doc_id"))
-        data, offsets = text_buffers(texts_.column("text"))
+        frame, members, doc, null, data, offsets = opened(texts_, found)
         hashes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, cut in stretches(data, offsets) if len(edge.codes) else ():
+        for i, cut in stretches(data, offsets) if len(members[X.EDGE_LEFT].codes) or len(members[X.EDGE_RIGHT].codes) else ():
             own = cut.row + i
-            codes = X.pair_codes(doc[own], cut.contexts(np.arange(len(own))))
-            take = np.flatnonzero(edge.of(codes) & ~gone.of(codes) & ~null[own])
-            starts, rows = cut.windows(take)
+            ctx = cut.contexts(np.arange(len(own)))
+            short = X.pair_codes(doc[own], ctx & np.uint64(0xFFFFFFFFFFFF0000))
+            left, right = members[X.EDGE_LEFT].of(short), members[X.EDGE_RIGHT].of(short)
+            whole = copies(cut, i, doc, null, members[X.COPY])
+            take = np.flatnonzero((left | right) & ~members[X.DROP_RUN].of(X.pair_codes(doc[own], ctx)) & ~null[own] & ~whole[cut.row])
+            starts, rows = cut.windows(take, left[take], right[take])
             hashes.append(cut.rolling.slices(starts, starts + width))
             ids.append(doc[rows + i])
-        rows = [(n + int(b), *row) for b, *row in frame[frame["tag"] == X.DROP_RUN][list(X.NAMES)].itertuples(index=False, name=None)]
+        rows = carried(frame, X.COPY, X.DROP_RUN)
         return pa.Table.from_batches([X.as_batch(rows + X.windows_sent(np.concatenate(hashes), np.concatenate(ids), n))])
 
     def finish(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
-        frame = found.to_pandas()
-        runs, windows = (X.Members(X.pair_codes(*X.gathered(frame, tag))) for tag in (X.DROP_RUN, X.DROP_WINDOW))
+        _, members, doc, null, data, offsets = opened(texts_, found)
+        runs, windows, whole = (members[tag] for tag in (X.DROP_RUN, X.DROP_WINDOW, X.COPY))
         out: dict = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        doc, null = X.doc_ids(texts_.column("doc_id"))
-        data, offsets = text_buffers(texts_.column("text"))
         for i, j in cuts(offsets):
             lo, hi = offsets[i], offsets[j]
             part, bounds = data[lo:hi], offsets[i : j + 1] - lo
             cover = np.zeros(len(part) + 1, np.int64)
-            if len(runs.codes) or len(windows.codes):
+            if len(runs.codes) or len(windows.codes) or len(whole.codes):
                 cut = Stretches(part, bounds, width, core)
+                same = np.flatnonzero(copies(cut, i, doc, null, whole))
+                np.add.at(cover, bounds[same], 1)
+                np.add.at(cover, bounds[same + 1], -1)
                 own = cut.row + i
                 if len(runs.codes):
                     take = np.flatnonzero(runs.of(X.pair_codes(doc[own], cut.contexts(np.arange(len(own))))) & ~null[own])

@@ -13,8 +13,8 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
-#: Bytes of text worked on at once.
-CUT_BYTES = 3 << 20
+#: Bytes of text worked on at once: arrays of eight bytes for each byte then stay in a core's cache.
+CUT_BYTES = 1 << 16
 
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -80,19 +80,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
     return starts, ends, rows
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse, kept for the next call."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))):
+            powers = np.full(max(n, CUT_BYTES + 1), base, np.uint64)
+            powers[0] = 1
+            _POWERS[k] = np.multiply.accumulate(powers)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class Rolling:
     """Hashes of any slice of a sequence of 64-bit codes, by prefix sums modulo 2**64."""
 
     def __init__(self, codes: np.ndarray):
-        n = len(codes)
-        powers = np.full(n + 1, MULTIPLIER, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * powers[:n], out=self.prefix[1:])
-        self.inverse = np.full(n + 1, pow(MULTIPLIER, -1, 1 << 64), np.uint64)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        powers, self.inverse = _powers(len(codes) + 1)
+        self.prefix = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * powers[:-1], out=self.prefix[1:])
 
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A mixed hash of codes[start:end] for each pair, with the length in it."""
