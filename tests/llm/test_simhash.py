@@ -100,6 +100,7 @@ def test_components(spark):
     for a, b in pairs:
         of = {k: min(of[a], of[b]) if v in (of[a], of[b]) else v for k, v in of.items()}
     linked = {v for a, b in pairs if a != b for v in (a, b)}
-    got = {r.node: r.root for r in roots(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
-    assert got == {k: v for k, v in of.items() if k in linked}
-    assert roots(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    for bound in (10_000, 0):
+        got = {r.node: r.root for r in roots(spark.createDataFrame(pairs, "a bigint, b bigint"), bound).collect()}
+        assert got == {k: v for k, v in of.items() if k in linked}
+        assert roots(spark.createDataFrame([], "a bigint, b bigint"), bound).count() == 0
