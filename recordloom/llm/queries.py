@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, pii, quality, rules
 from .decontamination import contamination
 from .packing import pack
 from .recompression import remove_repeated_windows
+from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .suffix_index import remove_repeated_bytes
 from .tables import read
@@ -29,6 +32,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_windows(read(spark, folder, "documents"), width=13).drop("kept")
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(read(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"), width=10)
 
@@ -41,6 +48,43 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_bytes(read(spark, folder, "documents"), width=50).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op4_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup)}
+def _fold(parts: int, held: int):
+    """Whether crc32 of the doc_id's digits leaves this remainder; null ids are not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang", _fold(4, 2).alias("held_out"))
+    coder = language.train(docs.filter(~F.col("held_out")))
+    return language.identify(docs.drop("lang"), coder)
+
+
+def op8_histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    rows = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"))
+    placed = shard_by_bytes(rows, shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(read(spark, folder, "documents"), read(spark, folder, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", _fold(5, 0).alias("held_out"))
+    marks = read(spark, folder, "labels").filter(~_fold(5, 0))
+    scored = quality.score(docs, quality.train(docs, marks))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_substring_dedup, op3_pii, op4_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup,
+        op7_language_id, op8_histogram_sharding, op9_quality_rules, op10_quality_classifier,
+    )
+}
 
 SQL: dict[str, str] = {}
