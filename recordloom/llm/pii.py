@@ -44,10 +44,13 @@ FOR_WORDS = "mail|e-mail|email|contact|write to|reach|call|phone|tel|mobile|fax|
 AGAINST_WORDS = "version|release|isbn|issn|order|invoice|ticket|serial|section|chapter|article|rfc|page|token|hash|commit|build|sku|model|ref"
 DOMAINS = "com|org|net|edu|gov|mil|int|info|io|co|eu|us|uk|de|fr|es|it|nl|ch|at|be|ca|mx|br|jp|cn|in|au|ru|pl|se|no|dk"
 LABELERS = ("strict", "gazetteer", "before", "around", "variety")
+#: What share of a labeler's votes is taken to be right at first, and how many votes that belief counts for.
+BELIEF = {"strict": 0.95, "gazetteer": 0.75, "before": 0.8, "around": 0.75, "variety": 0.7}
+BELIEF_VOTES = 40
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 24, 1
 #: An added span has at least this probability.
-THRESHOLD = 0.9
+THRESHOLD = 0.95
 
 _SPAN = "array<struct<start: int, end: int, found: string>>"
 
@@ -94,6 +97,12 @@ def _valid(kind: str, found: Column) -> Column:
     return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
 
 
+def _plausible(kind: str, found: Column) -> Column:
+    """Of strict matches that fail the checks, those long enough to be a slip rather than another number."""
+    least = {"email": 0, "ip": 0, "card": 12, "phone": 7}[kind]
+    return F.length(_digits(found)) >= least if least else F.lit(True)
+
+
 def _votes(kind: str, text: Column, span: Column) -> dict[str, Column]:
     """1 for, -1 against, 0 none, for each labeler."""
     found, digits = span["found"], _digits(span["found"])
@@ -103,7 +112,7 @@ def _votes(kind: str, text: Column, span: Column) -> dict[str, Column]:
     if kind == "email":
         gazetteer = F.when(F.lower(found).rlike(rf"(?:\.|dot[)\]])\x20?(?:{DOMAINS})$"), 1).otherwise(0)
     elif kind == "ip":
-        gazetteer = F.when(found.rlike(r"^(?:0|22[4-9]|23\d|24\d|25\d)\."), -1).when(found.rlike(r"^(?:\d+\.|[0-9A-Fa-f]+:)"), 1).otherwise(0)
+        gazetteer = F.when(found.rlike(r"^(?:[1-9]\d?|1\d\d|2[01]\d|22[0-3])\.|:"), 1).otherwise(-1)
     elif kind == "card":
         gazetteer = F.when(digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(-1)
     else:
@@ -131,7 +140,7 @@ def with_candidates(docs: DataFrame, name: str, text: str = "text") -> DataFrame
         first = F.transform(checked, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["base"].alias("base"), (~x["base"]).alias("failed")))
         fresh = F.filter(loose, lambda x: ~F.exists(strict, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
         second = F.transform(fresh, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), F.lit(False).alias("base"), F.lit(False).alias("failed")))
-        return F.concat(first, second)
+        return F.concat(F.filter(first, lambda x: x["base"] | _plausible(kind, x["found"])), second)
 
     def voted(kind: str) -> Column:
         def candidate(x: Column) -> Column:
@@ -166,7 +175,7 @@ class SpanClassifier:
 def estimate(counts: dict[tuple, int], rounds: int = 60) -> tuple[dict[tuple, float], dict[str, float]]:
     """EM over (kind, votes...) patterns: the probability that each pattern is personal data, and each
     labeler's share of right votes among its votes. Abstaining says nothing."""
-    right = dict.fromkeys(LABELERS, 0.8)
+    right = dict(BELIEF)
     kinds = sorted({p[0] for p in counts})
     prior = dict.fromkeys(kinds, 0.5)
     soft: dict[tuple, float] = {}
@@ -177,8 +186,8 @@ def estimate(counts: dict[tuple, int], rounds: int = 60) -> tuple[dict[tuple, fl
                 odds += vote * math.log(right[labeler] / (1 - right[labeler]))
             soft[pattern] = 1 / (1 + math.exp(-odds))
         for k, labeler in enumerate(LABELERS, 1):
-            # a few pseudo-votes keep a labeler of few votes near its start, and better than chance
-            good, all_ = 8.0, 10.0
+            # a labeler of few votes stays near what is believed of it, and all stay better than chance
+            good, all_ = BELIEF_VOTES * BELIEF[labeler], float(BELIEF_VOTES)
             for pattern, n in counts.items():
                 if pattern[k]:
                     good += n * (soft[pattern] if pattern[k] > 0 else 1 - soft[pattern])
