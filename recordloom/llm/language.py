@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import counted, dense, sample
+from .learning import Counts, counted, sample
 from .subwords import counts_by_row
 from .texts import cuts, text_buffers
 
@@ -66,8 +66,9 @@ class Coder:
         return losses.argmin(axis=1), 1 / odds.sum(axis=1), close
 
 
-def learn(labels: list[str], buckets: list[np.ndarray], numbers: list[np.ndarray], epochs: int = 12, rate: float = 0.5, seed: int = 11) -> Coder | None:
+def learn(counts: Counts, epochs: int = 12, rate: float = 0.5, seed: int = 11) -> Coder | None:
     """Logistic regression for each bit, by stochastic gradient steps with per-weight rates."""
+    labels = counts.labels
     names = sorted(set(labels))
     if not names:
         return None
@@ -82,7 +83,7 @@ def learn(labels: list[str], buckets: list[np.ndarray], numbers: list[np.ndarray
         order = rng.permutation(len(labels))
         for k in range(0, len(order), 64):
             at = order[k : k + 64]
-            x = dense([buckets[i] for i in at], [numbers[i] for i in at], 1 << BITS)
+            x = counts.dense(at, 1 << BITS)
             margins = np.clip(x @ w + b, -30, 30)
             pull = (-y[at] / (1 + np.exp(margins * y[at])) * weight[at, None] / len(at)).astype(np.float32)
             grad, grad_b = x.T @ pull, pull.sum(axis=0)
@@ -96,7 +97,7 @@ def learn(labels: list[str], buckets: list[np.ndarray], numbers: list[np.ndarray
 def train(docs: DataFrame, bound: int = TRAINING_ROWS) -> Coder | None:
     """A coder from rows with ``text`` and ``lang``; at most ``bound`` rows are used. None if there are none."""
     rows = docs.filter("text is not null and lang is not null and doc_id is not null")
-    return learn(*counted(sample(rows, "lang", bound), "lang", SIZES, False, BITS))
+    return learn(counted(sample(rows, "lang", bound), "lang", SIZES, False, BITS))
 
 
 def identify(docs: DataFrame, coder: Coder | None) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,39 +14,60 @@ from .subwords import counts_by_row
 from .texts import cuts, text_buffers
 
 
+#: Sort key of samples.
+ORDER = "sample_order"
+
+
+@dataclass
+class Counts:
+    """Labels of texts, and how often each bucket occurs in them: sparse rows, joined end to end."""
+
+    labels: list
+    at: np.ndarray
+    bucket: np.ndarray
+    number: np.ndarray
+
+    def dense(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Rows of shares: what part of a text's pieces falls in each bucket."""
+        out = np.zeros((len(rows), width), np.float32)
+        for line, k in zip(out, rows):
+            part = slice(self.at[k], self.at[k + 1])
+            line[self.bucket[part]] = self.number[part] / max(self.number[part].sum(), 1)
+        return out
+
+
 def sample(labelled: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most ``bound`` of the rows (doc_id, text, label), the same ones at every run: those whose hash is least."""
+    """At most ``bound`` ids' rows (text, label, ORDER), the same ones at every run: those whose hash is least."""
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    ids = labelled.select("doc_id", order.alias("order")).distinct().orderBy("order", "doc_id").limit(bound).select("doc_id")
-    # at most bound ids of eight bytes
-    return labelled.join(F.broadcast(ids), "doc_id").select("text", label)
+    ids = labelled.select("doc_id", order.alias(ORDER)).distinct().orderBy(ORDER, "doc_id").limit(bound)
+    # at most bound rows of two longs
+    return labelled.join(F.broadcast(ids), "doc_id").select("text", label, ORDER)
 
 
-def counted(rows: DataFrame, label: str, sizes: tuple[int, ...], words: bool, bits: int) -> tuple[list, list[np.ndarray], list[np.ndarray]]:
-    """Labels, and for each row the buckets that occur and how often; for a bounded sample only."""
+def counted(rows: DataFrame, label: str, sizes: tuple[int, ...], words: bool, bits: int) -> Counts:
+    """Labels and bucket counts of a bounded sample, brought to the driver as two flat arrays."""
 
     def tasks(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            where, number = [], []
+            where, number, size = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
             for i, j in cuts(offsets, 1 << 15):
                 for one in counts_by_row(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sizes, words, bits):
                     at = np.flatnonzero(one)
                     where.append(at.astype(np.int32))
                     number.append(one[at].astype(np.float32))
-            kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(where, kinds[0]), pa.array(number, kinds[1])], names=["label", "bucket", "number"])
+                    size.append(len(at))
+            places = pa.array(np.cumsum(size), pa.int32())
+            lists = [pa.ListArray.from_arrays(places, pa.array(np.concatenate(x))) for x in (where, number)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *lists], names=["label", ORDER, "bucket", "number"])
 
     kind = dict(rows.dtypes)[label]
-    table = rows.select(F.col("text").cast("string"), label).mapInArrow(tasks, f"label {kind}, bucket array<int>, number array<float>").toArrow()
-    order = np.argsort([str(x) for x in zip(table["label"].to_pylist(), (hash(tuple(b)) for b in table["bucket"].to_pylist()))], kind="stable")
-    labels, buckets, numbers = table["label"].to_pylist(), table["bucket"].to_pylist(), table["number"].to_pylist()
-    return [labels[k] for k in order], [np.array(buckets[k], np.int64) for k in order], [np.array(numbers[k], np.float32) for k in order]
-
-
-def dense(buckets: list[np.ndarray], numbers: list[np.ndarray], width: int) -> np.ndarray:
-    """Rows of shares: what part of a text's pieces falls in each bucket."""
-    out = np.zeros((len(buckets), width), np.float32)
-    for row, at, n in zip(out, buckets, numbers):
-        row[at] = n / max(n.sum(), 1)
-    return out
+    table = rows.select(F.col("text").cast("string"), label, ORDER).mapInArrow(tasks, f"label {kind}, {ORDER} bigint, bucket array<int>, number array<float>").toArrow()
+    table = table.sort_by([(ORDER, "ascending"), ("label", "ascending")]).combine_chunks()
+    flat = []
+    for name in ("bucket", "number"):
+        column = table[name]
+        lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+        flat.append(lists.flatten().to_numpy(zero_copy_only=False))
+    sizes_ = pa.compute.list_value_length(table["bucket"]).to_numpy()
+    return Counts(table["label"].to_pylist(), np.r_[0, np.cumsum(sizes_)].astype(np.int64), *flat)

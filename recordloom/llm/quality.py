@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import counted, dense, sample
+from .learning import Counts, counted, sample
 from .subwords import pieces
 from .texts import cuts, text_buffers
 
@@ -43,8 +43,8 @@ class Embeddings:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def learn(labels: list[int], buckets: list[np.ndarray], numbers: list[np.ndarray], epochs: int = 15, rate: float = 0.3, seed: int = 5) -> Embeddings:
-    rng = np.random.default_rng(seed)
+def learn(counts: Counts, epochs: int = 15, rate: float = 0.3, seed: int = 5) -> Embeddings:
+    labels, rng = counts.labels, np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     squares = [np.full_like(x, 1e-6) for x in (vectors, layer, bias)]
@@ -53,7 +53,7 @@ def learn(labels: list[int], buckets: list[np.ndarray], numbers: list[np.ndarray
         order = rng.permutation(len(labels))
         for k in range(0, len(order), 32):
             at = order[k : k + 32]
-            x = dense([buckets[i] for i in at], [numbers[i] for i in at], 1 << BITS)
+            x = counts.dense(at, 1 << BITS)
             hidden = x @ vectors
             logits = hidden @ layer + bias
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -72,7 +72,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Emb
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(2 * bound)
     rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id")
-    return learn(*counted(sample(rows, "quality", bound), "quality", SIZES, True, BITS))
+    return learn(counted(sample(rows, "quality", bound), "quality", SIZES, True, BITS))
 
 
 def score(docs: DataFrame, model: Embeddings) -> DataFrame:
