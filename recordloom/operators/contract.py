@@ -1,0 +1,42 @@
+"""Contracts on entries, checked against the schema before a job, and on values inside it."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import functions as F
+
+from recordloom.plans.record import Record
+
+
+class ContractError(ValueError):
+    """A record that does not hold what a boundary asks for."""
+
+
+@dataclass(frozen=True)
+class RecordContract:
+    """Entries that must be there, each with an item type (or *), and not null."""
+
+    fields: dict[str, str] = field(default_factory=dict)
+    name: str = "contract"
+
+    def __call__(self, r: Record) -> Record:
+        for key, kind in self.fields.items():
+            if key not in r.entries:
+                raise ContractError(f"{self.name}: entry {key!r} is missing (entries: {list(r.entries)})")
+            if kind != "*" and r.kinds.get(key) != kind:
+                raise ContractError(f"{self.name}: entry {key!r} is {r.kinds.get(key)}, not {kind}")
+        for key in self.fields:
+            text = F.concat(F.lit(f"{self.name}: entry {key} is null in record "), r.position.cast("string"))
+            r = r.filter(F.when(r[key].isNull(), F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
+        return r
+
+
+def check_chain(ops, provided) -> None:
+    """Refuse a chain in which an operator reads an entry (``consumes``) that nothing before it makes (``produces``)."""
+    have = set(provided)
+    for k, op in enumerate(ops):
+        missing = [x for x in getattr(op, "consumes", ()) if isinstance(x, str) and x not in have]
+        if missing:
+            raise ContractError(f"operator {k} ({type(op).__name__}) reads {missing}, which nothing before it makes")
+        have |= set(getattr(op, "produces", ()))
