@@ -1,0 +1,44 @@
+"""DuckDB SQL for the queries that SQL can express (each document has its own doc_id there)."""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP2 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+spread AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM spread),
+later AS (SELECT doc_id, i FROM windows JOIN (SELECT win, min(doc_id) AS least FROM windows GROUP BY win) USING (win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP4 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark) WHERE len(w) > 0),
+patterns AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM patterns)),
+hits AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM places) JOIN patterns USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP6 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+blocks AS (SELECT doc_id, n, o, substr(h, 2 * o + 1, 1098) AS h FROM (SELECT *, unnest(range(0, n, 500)) AS o FROM n)),
+windows AS (SELECT doc_id, o + i AS i, substr(h, 2 * i - 1, 100) AS win FROM (SELECT *, unnest(range(1, least(500, n - 49 - o) + 1)) AS i FROM blocks)),
+later AS (SELECT doc_id, i FROM windows JOIN (SELECT win, min(doc_id) AS least FROM windows GROUP BY win) USING (win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM later),
+spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS DISTINCT FROM i - 1) AS n_spans
+FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
+bytes AS (SELECT doc_id, o + i AS i, substr(h, 2 * i - 1, 2) AS b FROM (SELECT *, unnest(range(1, least(500, n - o) + 1)) AS i FROM blocks)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY i) AS h FROM bytes ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM n LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

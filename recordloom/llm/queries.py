@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pii, quality, rules
+from . import language, oracle, pii, quality, rules
 from .decontamination import contamination
 from .packing import pack
 from .recompression import remove_repeated_windows
@@ -87,4 +87,4 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_substring_dedup": oracle.OP2, "op4_decontamination": oracle.OP4, "op6_suffix_array_dedup": oracle.OP6}
