@@ -14,9 +14,6 @@ from recordloom.llm import decontamination, packing, pii, rules, simhash
 from recordloom.llm.queries import vocabulary
 from recordloom.llm.tables import free_name, read
 
-#: SimHash bits that may differ between near-duplicates, of fingerprints over five-word shingles.
-NEAR_BITS = 6
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
@@ -24,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs, bits=NEAR_BITS, shingle=5)
+    """One document, that with the least doc_id, of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return simhash.drop_near_duplicates(docs, shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

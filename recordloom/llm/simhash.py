@@ -3,12 +3,16 @@
 Every distinct fingerprint has a table of Hamming distances to reference fingerprints (pivots). Two
 fingerprints within k bits have distances to any pivot that differ by k at most, so a pair with a larger
 difference in any coordinate is discarded without looking at its bits, and survivors are verified.
-Pairs to be tested come from exact cells: 64 bits in k + 2 blocks, of which a pair within k bits agrees
-on at least two, so each fingerprint stands in one cell for each two blocks, and no link is lost.
+Pairs to be tested come from cells. For one 64-bit lane and few bits the cells are exact: 64 bits in k + 2
+blocks, of which a pair within k bits agrees on at least two, so each fingerprint stands in one cell for
+each two blocks, and no link is lost. Where more bits may differ, a fingerprint has several lanes, and
+cells are drawn: a table's key is a random choice of bits, as many tables as it takes for a pair at the
+largest distance to share a cell of one with a stated probability.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +28,8 @@ from .exchange import BUCKETS_PER_PARTITION
 from .tables import checkpointed, free_name, partitions, with_fields
 from .texts import MULTIPLIER, cuts, mix, space_table, text_buffers, word_bounds
 
+#: Of wide fingerprints: lanes of 64 bits, bits that may differ, and the share of pairs at that distance that is tested.
+LANES, LANE_BITS, RECALL = 4, 48, 0.95
 #: Reference fingerprints.
 PIVOTS = 24
 #: Cells of up to so many fingerprints are tested pair by pair; of larger ones, what is linked is taken out in turn.
@@ -36,11 +42,27 @@ def _lowered() -> np.ndarray:
     return table
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
-    """SimHash of each text of a cut."""
+def _ones(hashes: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in the hashes of each row: hashes[at[r] : at[r] + count[r]].
+
+    Eight counters of a byte stand side by side in 64 bits, so rows are summed in parts of 255 at most.
+    """
+    parts = -(-count // 255)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(at, parts) + 255 * nth
+    out = np.zeros((len(at), 8, 8), np.int64)
+    first = np.cumsum(parts) - parts
+    for k in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), begin)
+        out[:, :, k] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+    return out.reshape(len(at), 64)
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int, lanes: int = 1) -> np.ndarray:
+    """SimHash of each text of a cut: a row of ``lanes`` 64-bit numbers. The first is of the hashes themselves."""
     data, n_rows = _lowered()[data], len(offsets) - 1
     starts, ends, row = word_bounds(data, offsets, space_table())
-    out = np.zeros(n_rows, np.uint64)
+    out = np.zeros((n_rows, lanes), np.uint64)
     if not len(starts):
         return out
     # words of the cut, one blank after each
@@ -61,42 +83,45 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: i
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(begin[first].tolist(), (begin[last] + size[last]).tolist())], np.uint64)
     rows = np.flatnonzero(shingles)
     at = np.cumsum(shingles)[rows] - shingles[rows]
-    for a in range(0, len(rows), 4096):  # bits of a bounded number of rows at once
-        lo, hi = at[a], at[a + 4096] if a + 4096 < len(rows) else len(hashes)
-        bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, at[a : a + 4096] - lo, axis=0, dtype=np.int64)
-        set_ = 2 * ones > shingles[rows[a : a + 4096], None]
-        out[rows[a : a + 4096]] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
+    for lane in range(lanes):
+        values = mix(hashes + np.uint64(lane * MULTIPLIER % (1 << 64))) if lane else hashes
+        set_ = 2 * _ones(values, at, shingles[rows]) > shingles[rows, None]
+        out[rows, lane] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, name: str = "fingerprint_bits") -> DataFrame:
-    """The columns of ``docs`` with the SimHash of ``text`` as a bigint; null and wordless texts get zero."""
-    docs = docs.withColumn("text", F.col("text").cast("string")).drop(name)
-    place, schema = docs.columns.index("text"), with_fields(docs.schema, **{name: T.LongType()})
-    names = schema.names
+def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, names: tuple[str, ...] = ("x",)) -> DataFrame:
+    """The columns of ``docs`` with the SimHash of ``text``, a bigint for each name; null and wordless texts get zero."""
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop(*names)
+    place, schema = docs.columns.index("text"), with_fields(docs.schema, **dict.fromkeys(names, T.LongType()))
+    columns = schema.names
 
     def tasks(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(place))
-            parts = [fingerprints_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, seed) for i, j in cuts(offsets, 1 << 20)]
-            found = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=names)
+            parts = [fingerprints_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, seed, len(names)) for i, j in cuts(offsets, 1 << 18)]
+            found = np.concatenate([np.zeros((0, len(names)), np.uint64), *parts]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(names)))], names=columns)
 
     return docs.mapInArrow(tasks, schema)
 
 
-def pivots(count: int) -> np.ndarray:
+def pivots(count: int, lanes: int = 1) -> np.ndarray:
     """Reference fingerprints: fixed values, spread over all bits."""
-    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(MULTIPLIER))
+    return mix(np.arange(1, count * lanes + 1, dtype=np.uint64) * np.uint64(MULTIPLIER)).reshape(count, lanes)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, along the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 def distance_table(x: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    return np.bitwise_count(x[:, None] ^ pivots(count)[None, :]).astype(np.int8)
+    return np.stack([distances(x, p) for p in pivots(count, x.shape[1])], axis=1)
 
 
 def cell_links(cell: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of one cell, enough to connect what is within ``bits`` of one another.
+    """Links between fingerprints (rows of lanes) of one cell, enough to connect what is within ``bits`` of one another.
 
     cell is sorted. Pairs in small cells are all tested; from a large cell, a fingerprint takes out all
     that it is linked to, and these do so in turn, so that a dense cell needs few tests.
@@ -110,9 +135,9 @@ def cell_links(cell: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray,
         i = np.flatnonzero((of[:-step] <= SMALL_CELL) & (cell[:-step] == cell[step:])) if len(cell) > step else np.zeros(0, np.int64)
         if not len(i):
             break
-        i = i[np.abs(table[i, :4] - table[i + step, :4]).max(axis=1) <= bits]
-        i = i[np.abs(table[i] - table[i + step]).max(axis=1) <= bits] if len(i) else i
-        i = i[np.bitwise_count(x[i] ^ x[i + step]) <= bits]
+        for some in (slice(0, 4), slice(4, PIVOTS)):
+            i = i[np.abs(table[i, some] - table[i + step, some]).max(axis=1, initial=0) <= bits]
+        i = i[distances(x[i], x[i + step]) <= bits]
         left.append(i)
         right.append(i + step)
     for begin, n in zip(at[size > SMALL_CELL], size[size > SMALL_CELL]):
@@ -121,9 +146,8 @@ def cell_links(cell: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray,
             one = front.pop() if front else rest[0]
             rest = rest[rest != one]
             near = np.abs(table[rest, 0] - table[one, 0]) <= bits
-            for k in range(4, PIVOTS, 10):
-                near[near] = np.abs(table[rest[near], k : k + 10] - table[one, k : k + 10]).max(axis=1, initial=0) <= bits
-            near[near] = np.bitwise_count(x[rest[near]] ^ x[one]) <= bits
+            near[near] = np.abs(table[rest[near], 1:] - table[one, 1:]).max(axis=1, initial=0) <= bits
+            near[near] = distances(x[rest[near]], x[one]) <= bits
             found = rest[near]
             left.append(np.full(len(found), one))
             right.append(found)
@@ -132,22 +156,46 @@ def cell_links(cell: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(nodes: DataFrame, bits: int, buckets: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints (column ``x``) at ``bits`` or fewer differing bits."""
-    n = buckets or BUCKETS_PER_PARTITION * partitions(nodes.sparkSession)
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def exact_masks(bits: int) -> list[tuple[int, ...]]:
+    """Every two of ``bits`` + 2 blocks of a lane."""
     blocks = bits + 2
     edges = [64 * k // blocks for k in range(blocks + 1)]
     of = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(blocks)]
-    masks = [of[i] | of[j] for i, j in combinations(range(blocks), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    cells = F.array(*[F.xxhash64(F.lit(k), F.col("x").bitwiseAND(F.lit(m).cast("bigint"))) for k, m in enumerate(signed)])
-    dealt = nodes.select("x", F.explode(cells).alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(n)).cast("int"))
+    return [(of[i] | of[j],) for i, j in combinations(range(blocks), 2)]
+
+
+def drawn_masks(bits: int, lanes: int, count: int, recall: float, seed: int = 17) -> list[tuple[int, ...]]:
+    """Random choices of bits, about as many as tell ``count`` fingerprints apart, in as many tables as give the recall."""
+    width = max(8, math.ceil(math.log2(max(count, 2))) - 3)
+    share = (1 - bits / (64 * lanes)) ** width
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share))):
+        chosen = rng.choice(64 * lanes, width, replace=False)
+        out.append(tuple(sum(1 << int(c % 64) for c in chosen if c // 64 == lane) for lane in range(lanes)))
+    return out
+
+
+def links(nodes: DataFrame, bits: int, names: tuple[str, ...] = ("x",), recall: float | None = None, buckets: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect fingerprints (columns ``names``, column ``node`` their number) at ``bits`` or fewer differing bits.
+
+    Exact for one lane where ``recall`` is None; else a pair at ``bits`` bits is tested with that probability, a nearer one
+    with a higher one.
+    """
+    n = buckets or BUCKETS_PER_PARTITION * partitions(nodes.sparkSession)
+    masks = exact_masks(bits) if recall is None else drawn_masks(bits, len(names), nodes.count(), recall)
+    keys = [F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(F.lit(_signed(m)).cast("bigint")) for c, m in zip(names, lanes) if m]) for k, lanes in enumerate(masks)]
+    dealt = nodes.select("node", *names, F.explode(F.array(*keys)).alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(n)).cast("int"))
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cell", kind="stable")
-        x = frame["x"].to_numpy()
-        left, right = cell_links(frame["cell"].to_numpy(), x.view(np.uint64), bits)
-        return pd.DataFrame({"a": x[left], "b": x[right]}).drop_duplicates()
+        node, x = frame["node"].to_numpy(), np.ascontiguousarray(frame[list(names)].to_numpy(np.int64)).view(np.uint64)
+        left, right = cell_links(frame["cell"].to_numpy(), x, bits)
+        return pd.DataFrame({"a": node[left], "b": node[right]}).drop_duplicates()
 
     return dealt.groupBy("bucket").applyInPandas(task, "a bigint, b bigint")
 
@@ -160,28 +208,32 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, seed: int
     component_id is the least doc_id reached over links of at most ``bits`` differing bits, null where no
     reached row has a doc_id. Equal fingerprints meet as one node with its least doc_id, so copies cost nothing.
     """
-    hashed = checkpointed(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), shingle, seed, "x").drop("text"))
+    hashed = checkpointed(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), shingle, seed).drop("text"))
     nodes = checkpointed(hashed.groupBy("x").agg(F.min("doc_id").alias("least")))
-    found = checkpointed(roots(links(nodes, bits, buckets)))
+    found = checkpointed(roots(links(nodes.select(F.col("x").alias("node"), "x"), bits, buckets=buckets)))
     merged = nodes.join(found, F.col("x") == F.col("node"), "left").select("x", "least", F.coalesce("root", "x").alias("root"))
     least = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     named = merged.select("x", "root").join(least, "root").select("x", "component_id")
     return hashed.join(named, "x").select("doc_id", F.lower(F.lpad(F.hex("x"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, seed: int = 42) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, lanes: int = LANES, bits: int = LANE_BITS, recall: float = RECALL) -> DataFrame:
     """One row of each group of near-duplicates: that with the least doc_id.
 
-    Of rows with one doc_id the first by text, then any, stays. Groups in which no row has a doc_id keep
-    one row too. The columns of ``docs`` are returned unchanged.
+    Fingerprints of ``lanes`` times 64 bits over ``shingle`` words, linked at ``bits`` or fewer differing bits. Of the
+    expected distance of two texts, 0.8 of whose shingles together they share, the default is 1.6 standard
+    deviations above; that of unrelated texts is ten above it. Of rows with one doc_id the first by text,
+    then any, stays. Groups in which no row has a doc_id keep one row too. Texts without words are
+    alike. The columns of ``docs`` are returned unchanged.
     """
-    x, code, root, nth = (free_name(docs, c) for c in ("x", "code", "root", "nth"))
+    names = tuple(free_name(docs, f"x{k}") for k in range(lanes))
+    code, root, nth = (free_name(docs, c) for c in ("code", "root", "nth"))
     coded = docs.withColumn(code, F.xxhash64(F.col("text").cast("string")))
-    hashed = checkpointed(fingerprints(coded.select("doc_id", "text", code), shingle, seed, x).drop("text"))
+    hashed = checkpointed(fingerprints(coded.select("doc_id", "text", code), shingle, seed, names).drop("text"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(code).alias("code")))
-    nodes = checkpointed(hashed.groupBy(F.col(x).alias("x")).agg(best.alias("best")))
-    found = checkpointed(roots(links(nodes.select("x"), bits)))
-    merged = nodes.join(found, F.col("x") == F.col("node"), "left").select(F.coalesce("root", "x").alias(root), "best")
+    nodes = checkpointed(hashed.groupBy(*names).agg(best.alias("best")).select(*names, "best", F.xxhash64(*names).alias("node")))
+    found = checkpointed(roots(links(nodes.select("node", *names), bits, names, recall)).withColumnRenamed("node", "linked"))
+    merged = nodes.join(found, F.col("node") == F.col("linked"), "left").select(F.coalesce("root", "node").alias(root), "best")
     stays = merged.groupBy(root).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("stays_id"), F.col("best.code").alias("stays_code"))
     kept = coded.join(stays, (F.col(code) == F.col("stays_code")) & F.col("doc_id").eqNullSafe(F.col("stays_id")), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", code).orderBy(F.lit(0)))
