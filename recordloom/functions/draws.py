@@ -50,3 +50,18 @@ def span(low: int, high: int, seed: int, idx: Column, op: str = "") -> Column:
 def shuffled(seed: int, idx: Column) -> list[Column]:
     """Sort keys of a seeded shuffle."""
     return [F.md5(F.concat(F.lit(f"{seed}/"), idx.cast("string"))), idx]
+
+
+def first_accepted(make, accept, tries: int = 100) -> Column:
+    """The first of up to ``tries`` draws that a condition accepts, null if none is.
+
+    ``make(attempt)`` builds the draw of an attempt (a column), with uniform_at() for its numbers.
+    """
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: make(k))
+    return F.get(F.filter(drawn, accept), F.lit(0))
+
+
+def uniform_at(seed: int, idx: Column, op: str, attempt: Column) -> Column:
+    """uniform() of an attempt: its number is part of the operator's name."""
+    key = F.concat(F.lit(f"{seed}/"), idx.cast("string"), F.lit(f"/{op}/"), attempt.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint").cast("double") / F.lit(_STEPS)

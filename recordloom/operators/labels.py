@@ -69,11 +69,15 @@ class LabelMap:
         return cls.from_class_names(json.loads(text)["class_names"])
 
 
+def _flat(values: DataFrame) -> DataFrame:
+    """The only column as ``v``; an array counts with all its elements."""
+    (name, kind), *_ = values.dtypes
+    return values.select((F.explode(name) if kind.startswith("array") else F.col(name)).alias("v"))
+
+
 def fit_table(values: DataFrame) -> DataFrame:
     """(name, id) of the distinct values, sorted; for vocabularies of any size."""
-    (name, kind), *_ = values.dtypes
-    column = F.explode(name) if kind.startswith("array") else F.col(name)
-    names = values.select(column.cast("string").alias("name")).filter("name is not null").distinct()
+    names = _flat(values).select(F.col("v").cast("string").alias("name")).filter("name is not null").distinct()
     # a row for each class, so the one partition that numbers them is small
     return names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint").alias("id"))
 
@@ -105,9 +109,7 @@ class DecodeTarget:
 
 def class_counts(ids: DataFrame, num_classes: int) -> DataFrame:
     """(class_id, count) for every class; nulls and ids outside the range are not counted."""
-    (name, kind), *_ = ids.dtypes
-    column = F.explode(name) if kind.startswith("array") else F.col(name)
-    counted = ids.select(column.cast("bigint").alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).cast("double").alias("count"))
+    counted = _flat(ids).select(F.col("v").cast("bigint").alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).cast("double").alias("count"))
     every = ids.sparkSession.range(num_classes).withColumnRenamed("id", "class_id")
     return every.join(counted, "class_id", "left").select("class_id", F.coalesce("count", F.lit(0.0)).alias("count"))
 

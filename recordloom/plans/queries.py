@@ -503,3 +503,106 @@ def record_store(spark, folder):
     store = ParquetStore(f"{shared.rstrip('/')}/record_store", "overwrite")
     store.write(r)
     return store.read(spark).result()
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS rank FROM events")
+def global_rank(spark, folder):
+    from recordloom.sources.order import with_rank
+
+    rows = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "value")
+    return with_rank(rows, "rank", F.col("value"), F.col("event_id")).drop("value")
+
+
+@query("""SELECT rn // 32 AS batch_id, list(event_id ORDER BY rn) AS event_id FROM
+(SELECT event_id, row_number() OVER (ORDER BY md5('11/2/' || event_id)) - 1 AS rn FROM events) GROUP BY 1""")
+def epoch_batches(spark, folder):
+    from recordloom.sources.order import shuffled
+
+    r = shuffled(SelectFields(["event_id"])(table(spark, folder, "events", "event_id")), 11, 2)
+    return collate(r, 32)
+
+
+@query("SELECT label AS class, vec_id AS source_id, 'embeddings' AS origin FROM embeddings WHERE vec_id < 300")
+def dataset_source(spark, folder):
+    from recordloom.sources.datasets import dataset
+
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").withColumn("source_id", F.col("vec_id"))
+    r = dataset(rows, "vec_id", "embedding", "label", ["source_id"], 300, origin="embeddings")
+    return SelectFields(["class", "source_id", "origin"])(r).result()
+
+
+_GREY = f"(SELECT vec_id, list_transform(e, lambda x: floor((x + 1.0) * 127.5)::BIGINT) AS g FROM {_V})"
+
+
+@query(f"""SELECT vec_id, 4 AS height, 4 AS width, [((19595 * g[12 * (i // 4) + 3 * (i % 4) + 1] + 38470 * g[12 * (i // 4) + 3 * (i % 4) + 2] + 7471 * g[12 * (i // 4) + 3 * (i % 4) + 3] + 32768) // 65536)::INT FOR i IN range(16)] AS grey FROM {_GREY}""")
+def image_grey(spark, folder):
+    from recordloom.functions.images import from_array
+    from recordloom.operators.images import ConvertMode
+
+    r = _vectors(spark, folder)
+    values = F.transform(F.slice(r["embedding"], 1, 48), lambda x: F.floor((x + 1.0) * 127.5))
+    r = ConvertMode("image", "L")(r.put("image", from_array(values, 4, 3), "Image"))
+    code = F.hex(r["image"]["data"])
+    r = r.put_all({"height": r["image"]["height"], "width": r["image"]["width"], "grey": F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))})
+    return SelectFields(["vec_id", "height", "width", "grey"])(r).result()
+
+
+@query()
+def image_resize_stitch(spark, folder):
+    from recordloom.functions.images import from_array
+    from recordloom.operators.images import ConvertToImage, PadImage, ResizeDetection, StitchImages
+
+    r = NormalizeToUint8("embedding")(_vectors(spark, folder))
+    r = regions.ConnectedComponents("mask", 8)(Threshold("embedding", low_level=128)(r.put("image", from_array(r["embedding"], 8), "Image")))
+    r = ResizeDetection(16, 12)(ConvertToImage("image", 0, 10, output="tall")(r))
+    r = PadImage("tall", 12, 12)(r)
+    return SelectFields(["vec_id", "image", "boxes"])(StitchImages(["image", "tall"], "grid", 2)(r)).result()
+
+
+def _accepted() -> str:
+    low, high = (_u(4, "id", f"{x}/' || k || '") for x in ("low", "high"))
+    return f"""SELECT id AS _idx, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT id, low, high, row_number() OVER (PARTITION BY id ORDER BY k) AS rn
+FROM (SELECT id, k, 10 * {low} AS low, 10 * {high} AS high FROM range(500) t(id), range(20) s(k)) WHERE low + 1 < high) WHERE rn = 1"""
+
+
+@query(_accepted())
+def draw_accepted(spark, folder):
+    r = records(spark.range(500), "id")
+
+    def make(k):
+        return F.struct((10 * draws.uniform_at(4, r.position, "low", k)).alias("low"), (10 * draws.uniform_at(4, r.position, "high", k)).alias("high"))
+
+    r = r.put("drawn", draws.first_accepted(make, lambda x: x["low"] + 1 < x["high"], 20)).filter(F.lit(True))
+    r = r.put_all({k: r["drawn"][k] for k in ("low", "high")}).filter(r["drawn"].isNotNull())
+    return six(SelectFields(["low", "high"])(r).result(position="_idx"), "low", "high")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type <> 'click' AND value > 5")
+def stream_micro_batches(spark, folder):
+    """The stateless plan over a stream of files, each micro-batch appended to a table."""
+    import uuid
+
+    from recordloom.streaming.micro import run_stream, stream_records
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    place, path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", f"{folder}/events.parquet"
+    source = stream_records(spark, f"{path[:-1]}?", spark.read.parquet(path).schema, "event_id")
+    ops = [Where("event_type != 'click' and value > 5"), SelectFields(["event_id", "event_type", "value"])]
+    run_stream(source, ops, lambda frame, number: frame.write.mode("append").parquet(f"{place}/out"), f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id < 700")
+def process_resume(spark, folder):
+    """A run over a range, then one that resumes where it ended."""
+    import uuid
+
+    from recordloom.plans.process import Processor
+    from recordloom.sources.store import ParquetStore
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    store = ParquetStore(f"{shared.rstrip('/')}/process-{uuid.uuid4().hex}", "append")
+    source, ops = table(spark, folder, "documents", "doc_id"), [SelectFields(["doc_id", "n_chars"])]
+    Processor(source, ops, store, 0, 300).run(spark)
+    Processor(source, ops, store, "resume", 700).run(spark)
+    return store.read(spark).result()

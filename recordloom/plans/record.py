@@ -53,7 +53,7 @@ class Record:
 
     def filter(self, condition: Column) -> Record:
         """Drop records; a condition that is null drops too."""
-        return replace(self, frame=self.frame.filter(F.coalesce(condition, F.lit(False))))
+        return replace(self, frame=self.frame.filter(condition))
 
     def expand(self, key: str, values: Column) -> Record:
         """A record for each element; none for an empty or null array. Children keep their order."""
