@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .subwords import counts_by_row
+from .tables import least_hashed
 from .texts import cuts, text_buffers
 
 
@@ -38,8 +39,7 @@ class Counts:
 
 def sample(labelled: DataFrame, label: str, bound: int) -> DataFrame:
     """At most ``bound`` ids' rows (text, label, ORDER), the same ones at every run: those whose hash is least."""
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    ids = labelled.select("doc_id", order.alias(ORDER)).distinct().orderBy(ORDER, "doc_id").limit(bound)
+    ids = least_hashed(labelled.select("doc_id").distinct(), "doc_id", bound, ORDER)
     # at most bound rows of two longs
     return labelled.join(F.broadcast(ids), "doc_id").select("text", label, ORDER)
 

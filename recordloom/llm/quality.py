@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import Counts, counted, sample
+from .learning import ORDER, Counts, counted, sample
 from .subwords import pieces
+from .tables import least_hashed
 from .texts import cuts, text_buffers
 
 SIZES = (3, 4, 5)
@@ -69,8 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Emb
     """From ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1); at most ``bound`` documents are used."""
     marks = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     # the labels' ids are sampled first, so that only these documents' texts move
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(2 * bound)
+    marks = least_hashed(marks.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", 2 * bound, ORDER).drop(ORDER)
     rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     return learn(counted(sample(rows, "quality", bound), "quality", SIZES, True, BITS))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import checkpointed, free_name, with_fields
+from .tables import checkpointed, free_name, least_hashed, with_fields
 from .texts import Rolling, byte_codes, cuts, mix, space_table, text_buffers, word_bounds, word_codes
 
 #: Labelled rows that are learned from, at most.
@@ -190,15 +190,19 @@ def learn(x: dict[str, np.ndarray], rejected: np.ndarray, most: int = 12, precis
     return rules
 
 
-def train(stats: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> list[Rule]:
-    """Rules from ``stats`` (doc_id, COUNTS) and ``labels`` (doc_id, quality: 0 is rejected); at most ``bound`` rows are used.
+def sampled(labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
+    """At most ``bound`` labels (doc_id, quality): those whose hash of doc_id is least. Null labels and ids are left out."""
+    marks = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    return least_hashed(marks, "doc_id", bound, "sample_order")
+
 
-    The rows are those whose hash of doc_id is least. Null labels and ids are not learned from; without
-    any labelled row there are no rules.
+def train(stats: DataFrame, marks: DataFrame, bound: int = TRAINING_ROWS) -> list[Rule]:
+    """Rules from ``stats`` (doc_id, COUNTS) and sampled() labels (quality 0 is rejected).
+
+    Rows that share a doc_id all count, up to four times ``bound`` rows in all; without any labelled row there are no rules.
     """
-    marks = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    rows = stats.join(marks, "doc_id").select(*[c.alias(k) for k, c in features().items()], "quality", order.alias("order")).orderBy("order", "quality").limit(bound).toPandas()
+    rows = stats.select("doc_id", *COUNTS).join(F.broadcast(marks), "doc_id").select(*[c.alias(k) for k, c in features().items()], "quality", "sample_order")
+    rows = rows.limit(4 * bound).toPandas().sort_values(["sample_order", "quality", *features()], ignore_index=True)
     return learn({k: rows[k].to_numpy(float) for k in features()}, (rows["quality"] == 0).to_numpy()) if len(rows) else []
 
 
@@ -221,14 +225,15 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Dat
     empty table gives an empty one, and without labels only base_failed rejects.
     """
     stats = checkpointed(with_stats(docs.select("doc_id", "text")).drop("text"))
-    rules = train(stats, labels, bound)
+    rules = train(stats, sampled(labels, bound), bound)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
     """The rows of ``docs`` that judge() keeps, with their columns unchanged."""
-    stats = with_stats(docs.select("doc_id", "text")).drop("text")
-    rules = train(stats, labels, bound)
+    marks = sampled(labels, bound)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(marks.select("doc_id").distinct()), "doc_id", "left_semi")
+    rules = train(with_stats(labelled).drop("text"), marks, bound)
     own = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c in COUNTS}
     rows = with_stats(docs.withColumnsRenamed(own)).filter(~base_failed() & verdict(rules))
     back = {new: old for old, new in own.items()}
