@@ -116,9 +116,10 @@ def class_counts(ids: DataFrame, num_classes: int) -> DataFrame:
 
 def inverse_frequency_weights(counts: DataFrame) -> DataFrame:
     """(class_id, weight): total / (classes * count), 0 where a class was not seen; null weights if nothing was."""
-    sums = counts.agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("classes"))
-    weight = F.when(F.col("total") > 0, F.when(F.col("count") > 0, F.col("total") / (F.col("classes") * F.col("count"))).otherwise(F.lit(0.0)))
-    return counts.join(F.broadcast(sums)).select("class_id", weight.alias("weight"))
+    every = Window.partitionBy(F.lit(0))  # a row for each class
+    total, classes = F.sum("count").over(every), F.count(F.lit(1)).over(every)
+    weight = F.when(total > 0, F.when(F.col("count") > 0, total / (classes * F.col("count"))).otherwise(F.lit(0.0)))
+    return counts.select("class_id", weight.alias("weight"))
 
 
 def num_classes(ids: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _numbers = itertools.count()
@@ -96,7 +96,9 @@ def file_positions(frame: DataFrame, name: str) -> DataFrame:
     if len(files) <= 1:
         return frame.withColumn(name, row)
     counts = frame.groupBy(path.alias("__path")).agg((F.max(row) + 1).alias("__rows"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.__path") < F.col("a.__path"), "left").groupBy(F.col("a.__path").alias("__path")).agg(F.coalesce(F.sum("b.__rows"), F.lit(0)).alias("__before"))
+    # a row for each file
+    ahead = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__path", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)).alias("__before"))
     marked = frame.withColumns({"__own": path, "__row": row})
     return marked.join(before, F.col("__own") == F.col("__path")).withColumn(name, F.col("__before") + F.col("__row")).drop("__own", "__row", "__path", "__before")
 

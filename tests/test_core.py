@@ -227,3 +227,10 @@ def test_stores_and_files(spark, small, tmp_path):
         files.files(spark)
     with pytest.raises(ValueError, match="no columns"):
         dataset(spark.range(3), "id", "image")
+
+
+def test_row_order_of_several_files(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 4).coalesce(1).write.mode("append").parquet(str(tmp_path / "many"))
+    r = records(spark.read.parquet(str(tmp_path / "many")))
+    assert sorted(x.p for x in r.result(position="p").select("p").collect()) == list(range(12))
