@@ -80,6 +80,25 @@ def resized(a: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+def channel(a: np.ndarray, number: int) -> np.ndarray:
+    """One channel, the nearest there is; -1 is their mean."""
+    if number == -1:
+        return np.rint(a.mean(axis=2)).astype(np.uint8)
+    return a[:, :, min(max(number, 0), a.shape[2] - 1)]
+
+
+def tensor(x: Column) -> Column:
+    """struct<shape, data> in channel, row, column order, of an image column, in JVM expressions."""
+    h, w, c = x["height"], x["width"], x["channels"]
+    code = F.hex(x["data"])
+
+    def one(k: Column) -> Column:
+        place = (k % (h * w)) * c + F.floor(k / (h * w)).cast("int")
+        return F.conv(F.substring(code, 2 * place + 1, F.lit(2)), 16, 10).cast("int")
+
+    return F.when(x.isNotNull(), F.struct(F.array(c, h, w).alias("shape"), F.transform(F.sequence(F.lit(0), h * w * c - 1), one).alias("data")))
+
+
 def fitted_size(height: int, width: int, to_width: int | None, to_height: int | None, longest: int = 512) -> tuple[int, int]:
     """(height, width) by the size rules: both given, exact; one given and the other 0, its aspect; one given and
     the other None, kept; both 0, the longest side bounded; both None, as it is."""

@@ -102,3 +102,39 @@ class ResizeDetection:
         x, y = F.lit(float(width)) / source["width"], F.lit(float(height)) / source["height"]
         values = {self.image: I.kernel(lambda a: I.resized(a, width, height))(source), self.boxes: F.transform(r[self.boxes], lambda b: B.scaled(b, x, y))}
         return r.put_all(values, {self.image: "Image", self.boxes: "Boxes"})
+
+
+@dataclass(frozen=True)
+class SelectChannel:
+    """One channel as a grey image; -1 is the mean of all."""
+
+    field: str
+    channel: int = 0
+
+    def __call__(self, r: Record) -> Record:
+        number = self.channel
+        return r.put(self.field, I.kernel(lambda a: I.channel(a, number))(r[self.field]), "Image")
+
+
+@dataclass(frozen=True)
+class ConvertToMask:
+    """A grey image as a flat mask of whole numbers; more than one channel is an error."""
+
+    field: str
+    output: str = "mask"
+
+    def __call__(self, r: Record) -> Record:
+        x = r[self.field]
+        bad = F.raise_error(F.lit("a mask has one channel")).cast("array<bigint>")
+        return r.put(self.output, F.when(x["channels"] == 1, I.tensor(x)["data"].cast("array<bigint>")).when(x.isNotNull(), bad), "Mask")
+
+
+@dataclass(frozen=True)
+class ToTensor:
+    """An image in channel, row, column order."""
+
+    field: str = "image"
+    output: str | None = None
+
+    def __call__(self, r: Record) -> Record:
+        return r.put(self.output or self.field, I.tensor(r[self.field]))

@@ -54,6 +54,10 @@ class LabelMap:
     def decode(self, number: Column, ignore_unknown: bool = False, default: str | None = None) -> Column:
         return self._look(number.cast("bigint"), [(F.lit(k).cast("bigint"), F.lit(n)) for k, n in enumerate(self.class_names)], ignore_unknown, F.lit(default).cast("string"), "string")
 
+    def encode_all(self, names: Column, ignore_unknown: bool = False, default: int = 0) -> Column:
+        """Ids of an array of names."""
+        return F.transform(names, lambda n: self.encode(n, ignore_unknown, default))
+
     def _look(self, key: Column, pairs, ignore: bool, default: Column, kind: str) -> Column:
         if len(pairs) > MAP_CLASSES:
             raise ValueError(f"over {MAP_CLASSES} classes: join with fit_table() instead")

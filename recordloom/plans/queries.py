@@ -606,3 +606,41 @@ def process_resume(spark, folder):
     Processor(source, ops, store, 0, 300).run(spark)
     Processor(source, ops, store, "resume", 700).run(spark)
     return store.read(spark).result()
+
+
+@query(f"""SELECT vec_id, CASE WHEN u < 0.4 THEN [e[(i // 8) * 8 + 8 - i % 8] FOR i IN range(64)] ELSE e END AS embedding, CASE WHEN u < 0.4 THEN [8 - x1, y0, 8 - x0, y1] ELSE [x0, y0, x1, y1] END AS box
+FROM (SELECT *, {_u(6, 'vec_id', 'flip')} AS u, (label % 4)::DOUBLE AS x0, 1.0::DOUBLE AS y0, (label % 4 + 2)::DOUBLE AS x1, 5.0::DOUBLE AS y1 FROM {_V})""")
+def transform_flip(spark, folder):
+    from recordloom.operators.transforms import Flip
+
+    r = _vectors(spark, folder)
+    x = (r["label"] % 4).cast("double")
+    r = Flip(None, 8, 0.4, 6)(r.put("boxes", F.array(B.box(x, F.lit(1), x + 2, F.lit(5))), "Boxes"))
+    r = r.put("box", B.to_numbers(F.get(r["boxes"], 0)))
+    return SelectFields(["vec_id", "embedding", "box"])(r).result()
+
+
+@query(f"SELECT vec_id, list_transform(e, lambda x: abs(x)) AS embedding FROM {_V}")
+def transform_over_kind(spark, folder):
+    from recordloom.operators.transforms import OverKind
+
+    return SelectFields(["vec_id", "embedding"])(OverKind(lambda a: F.transform(a, lambda x: F.abs(x)), ["Image"])(_vectors(spark, folder))).result()
+
+
+@query("SELECT conv_id, list(CASE role WHEN 'assistant' THEN 0 WHEN 'user' THEN 1 ELSE 7 END::BIGINT ORDER BY turn) AS ids FROM conversations GROUP BY conv_id")
+def multi_label_encode(spark, folder):
+    r = records(ordered_groups(spark, folder), "conv_id")
+    r = r.put("ids", L.LabelMap.from_class_names(["assistant", "user"]).encode_all(r["roles"], True, 7), "MultiLabel")
+    return SelectFields(["conv_id", "ids"])(r).result()
+
+
+@query(f"SELECT vec_id, [3, 4, 4] AS shape, [g[(i % 16) * 3 + i // 16 + 1]::INT FOR i IN range(48)] AS data FROM {_GREY}")
+def image_tensor(spark, folder):
+    from recordloom.functions.images import from_array
+    from recordloom.operators.images import ToTensor
+
+    r = _vectors(spark, folder)
+    values = F.transform(F.slice(r["embedding"], 1, 48), lambda x: F.floor((x + 1.0) * 127.5))
+    r = ToTensor("image", "tensor")(r.put("image", from_array(values, 4, 3), "Image"))
+    r = r.put_all({k: r["tensor"][k] for k in ("shape", "data")})
+    return SelectFields(["vec_id", "shape", "data"])(r).result()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +80,39 @@ def companions(primary: DataFrame, secondary: DataFrame, suffix: str) -> DataFra
 
     left = ranked(primary, r"\.[^.]*$", "file")
     return left.join(ranked(secondary, suffix.replace(".", r"\.") + "$", "companion"), ["bare", "rank"], "left").select("file", "companion")
+
+
+#: Formats by name: the suffix, and the entries (name -> type) that a reader of the bytes gives.
+FORMATS: dict[str, tuple[str, str, object]] = {}
+
+
+def register_format(name: str, suffix: str, schema: str, read) -> None:
+    """``read(bytes)`` gives a dict of the schema's entries for files that end in ``suffix``; the first format that matches is used."""
+    FORMATS[name] = (suffix, schema, read)
+
+
+def _reader(read, schema: str):
+    names = [part.split(":")[0].strip() for part in schema.split(",")]
+
+    @F.pandas_udf(f"struct<{schema}>")
+    def run(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(bytes(c)) if c is not None else dict.fromkeys(names) for c in contents], columns=names)
+
+    return run
+
+
+def read_files(table: DataFrame, formats: list[str]) -> DataFrame:
+    """The listing (file, content) with one struct column for each format, filled where the file is of it.
+
+    A file of no format is an error. A format whose column is not used is not read.
+    """
+    known = F.lit(False)
+    for name in formats:
+        suffix, schema, read = FORMATS[name]
+        mine = F.col("file").endswith(suffix) & ~known
+        known |= F.col("file").endswith(suffix)
+
+        reader = _reader(read, schema)
+        table = table.withColumn(name, F.when(mine, reader(F.when(mine, F.col("content")))))
+    names = ", ".join(formats)
+    return table.filter(known | F.raise_error(F.concat(F.lit(f"not one of the formats {names}: "), "file")).cast("boolean"))

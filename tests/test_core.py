@@ -234,3 +234,29 @@ def test_row_order_of_several_files(spark, tmp_path):
         spark.range(k * 10, k * 10 + 4).coalesce(1).write.mode("append").parquet(str(tmp_path / "many"))
     r = records(spark.read.parquet(str(tmp_path / "many")))
     assert sorted(x.p for x in r.result(position="p").select("p").collect()) == list(range(12))
+
+
+def test_formats_channels_masks_and_taps(spark, small, tmp_path):
+    import json
+
+    from recordloom.operators.images import ConvertToMask, ReadImage, SelectChannel
+    from recordloom.operators.transforms import Flip, Tap
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.json").write_text('{"v": 3}')
+    (tmp_path / "f" / "b.pgm").write_bytes(b"P5 2 1 255\n" + bytes([4, 9]))
+    files.register_format("doc", ".json", "v: int", lambda b: json.loads(b))
+    files.register_format("grey", ".pgm", "n: int", lambda b: {"n": len(b)})
+    table = files.listing(spark, str(tmp_path / "f"), contents=True)
+    got = {r.file[-6:]: r for r in files.read_files(table, ["doc", "grey"]).collect()}
+    assert got["a.json"].doc.v == 3 and got["a.json"].grey is None and got["/b.pgm"].grey.n == 13 and got["/b.pgm"].doc is None
+    with pytest.raises(Exception, match="not one of the formats"):
+        files.read_files(table, ["doc"]).collect()
+    r = ReadImage("content")(records(table.withColumn("at", F.lit(0)), "at"))
+    masks = [x for x in values(ConvertToMask("image")(r), "mask") if x is not None]
+    assert masks == [[4, 9]]
+    assert [bytes(x.data) for x in values(SelectChannel("image", -1)(r), "image") if x is not None] == [bytes([4, 9])]
+    store = ParquetStore(str(tmp_path / "tap"))
+    assert values(Tap(store)(SelectFields(["id"])(small)), "id") == values(store.read(spark), "id") == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="no kernel"):
+        Flip("x")(small)
