@@ -2,7 +2,7 @@
 
 Patterns are the windows of benchmark items. A block of two words indexes a table that says how far
 the search may move on without missing a pattern; only where it says nothing may be skipped does the
-hash of the last block and window select patterns, which are compared word by word. Inside a task the
+hash of the last block and window select patterns, which are compared byte by byte. Inside a task the
 search runs down many stretches of text side by side.
 """
 
@@ -52,28 +52,42 @@ class Patterns:
     """Distinct sequences of ``length`` words and the items that hold each."""
 
     length: int
-    words: np.ndarray  # patterns x length
+    words: np.ndarray  # patterns x length, codes
     at: np.ndarray  # items[at[p]:at[p + 1]] hold pattern p
     items: np.ndarray
+    sizes: np.ndarray  # patterns x length, bytes of each word
+    begin: np.ndarray  # text[begin[p]:] begins with the words of pattern p, nothing between them
+    text: np.ndarray
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of many spans, end to end."""
+    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
 def patterns_of(items: list[int], texts: list[str | None], width: int) -> list[Patterns]:
     """The windows of items, by length; an item of fewer words is one pattern, one of no words is none."""
     data, offsets = text_buffers(pa.array(texts, pa.string()))
-    _, _, row, codes = words_of(data, offsets)
+    begin, end, row, codes = words_of(data, offsets)
+    data = lowered()[data]
     bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    found: dict[int, tuple[list, list]] = {}
+    found: dict[int, tuple[list, list, list]] = {}
     for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
         size = min(width, b - a)
         for i in range(a, b - size + 1) if size else ():
-            words, own = found.setdefault(int(size), ([], []))
+            words, own, places = found.setdefault(int(size), ([], [], []))
             words.append(codes[i : i + size])
             own.append(items[k])
+            places.append(i)
     out = []
-    for size, (words, own) in sorted(found.items()):
-        distinct, inverse = np.unique(np.array(words), axis=0, return_inverse=True)
+    for size, (words, own, places) in sorted(found.items()):
+        distinct, first, inverse = np.unique(np.array(words), axis=0, return_index=True, return_inverse=True)
         pairs = np.unique(np.stack([inverse.ravel(), np.array(own)], axis=1), axis=0)
-        out.append(Patterns(size, distinct, np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1]))
+        at = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
+        span = np.array(places)[first][:, None] + np.arange(size)
+        sizes = end[span] - begin[span]
+        text = gathered(data, begin[span].ravel(), sizes.ravel())
+        out.append(Patterns(size, distinct, at, pairs[:, 1], sizes, np.cumsum(sizes.sum(axis=1)) - sizes.sum(axis=1), text))
     return out
 
 
@@ -100,7 +114,19 @@ class Searcher:
         """Codes of the blocks along the last axis."""
         return mix(words) if self.block == 1 else mix(words[..., :-1] * np.uint64(MULTIPLIER) + mix(words[..., 1:]))
 
-    def search(self, codes: np.ndarray, bounds: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    def same_bytes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether the words at each start are those of the pattern found there, byte by byte."""
+        span = starts[:, None] + np.arange(self.patterns.length)
+        size = end[span] - begin[span]
+        out = (size == self.patterns.sizes[found]).all(axis=1)
+        hit = np.flatnonzero(out)
+        if len(hit):
+            total = size[hit].sum(axis=1)
+            equal = gathered(data, begin[span[hit]].ravel(), size[hit].ravel()) == gathered(self.patterns.text, self.patterns.begin[found[hit]], total)
+            out[hit] = np.logical_and.reduceat(equal, np.cumsum(total) - total)
+        return out
+
+    def search(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray, bounds: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
         """Starts of occurrences inside the texts (words bounds[r]:bounds[r + 1]) and the patterns found there."""
         length, none = self.patterns.length, np.zeros(0, np.int64)
         if len(codes) < length:
@@ -126,23 +152,23 @@ class Searcher:
         place = np.minimum(np.searchsorted(self.suffix, whole), len(self.suffix) - 1)
         maybe = self.suffix[place] == whole
         starts, found = starts[maybe], self.order[place[maybe]]
-        same = (codes[starts[:, None] + np.arange(length)] == self.patterns.words[found]).all(axis=1) if len(starts) else np.zeros(0, bool)
+        same = self.same_bytes(data, begin, end, starts, found)
         return starts[same], found[same]
 
 
-def _occurrences(searchers: list[Searcher], codes: np.ndarray, bounds: np.ndarray):
+def _occurrences(searchers: list[Searcher], data: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray, bounds: np.ndarray):
     """(start, length) of occurrences, and distinct (row, item)."""
     starts, lengths, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
     rolling = Rolling(codes)
     for one in searchers:
-        at, pattern = one.search(codes, bounds, rolling)
+        at, pattern = one.search(data, begin, end, codes, bounds, rolling)
         starts.append(at)
         lengths.append(np.full(len(at), one.patterns.length))
         row = np.searchsorted(bounds, at, "right") - 1
         row_pattern = np.unique(np.stack([row, pattern], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
         size = np.diff(one.patterns.at)[row_pattern[:, 1]]
-        begin = np.repeat(one.patterns.at[row_pattern[:, 1]] - np.r_[0, np.cumsum(size)[:-1]] if len(size) else size, size)
-        pairs.append(np.stack([np.repeat(row_pattern[:, 0], size), one.patterns.items[begin + np.arange(size.sum())]], axis=1))
+        items = gathered(one.patterns.items, one.patterns.at[row_pattern[:, 1]], size)
+        pairs.append(np.stack([np.repeat(row_pattern[:, 0], size), items], axis=1))
     return np.concatenate(starts), np.concatenate(lengths), np.unique(np.concatenate(pairs), axis=0)
 
 
@@ -199,9 +225,9 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], width: int, spans: bo
             n_words, n_hit, found, where = [], [], [], []
             for i, j in cuts(offsets):
                 lo, hi = offsets[i], offsets[j]
-                _, _, row, codes = words_of(data[lo:hi], offsets[i : j + 1] - lo)
+                begin, end, row, codes = words_of(data[lo:hi], offsets[i : j + 1] - lo)
                 bounds = np.searchsorted(row, np.arange(j - i + 1))
-                starts, lengths, pairs = _occurrences(searchers, codes, bounds)
+                starts, lengths, pairs = _occurrences(searchers, lowered()[data[lo:hi]], begin, end, codes, bounds)
                 cover = np.zeros(len(codes) + 1, np.int64)
                 np.add.at(cover, starts, 1)
                 np.add.at(cover, starts + lengths, -1)
