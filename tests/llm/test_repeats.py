@@ -128,3 +128,22 @@ def test_helpers():
     assert (rolling.windows(3) == rolling.slices(np.arange(4), np.arange(4) + 3)).all()
     for v in (0, -7, 1 << 40):
         assert xxh64_long(np.array([v]))[0] == np.uint64(xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), 42)).astype(np.int64)
+
+
+def test_kept_family_of_batches(spark):
+    from recordloom.llm.suffix_family import SuffixFamily
+
+    rows = [(i, t) for i, (d, t) in enumerate(corpus(4, 6, 70)) if d is not None and t]
+    family = SuffixFamily(spark, "family_test")
+    family.drop()
+    docs, got, sizes = spark.createDataFrame(rows, "doc_id bigint, text string"), [], []
+    for k in range(0, len(rows), 12):
+        batch = docs.filter(f"doc_id >= {rows[k][0]}" + (f" and doc_id < {rows[k + 12][0]}" if k + 12 < len(rows) else ""))
+        earlier = docs.filter(f"doc_id < {rows[k][0]}")
+        got += [tuple(r) for r in family.add(batch, earlier).drop("kept").collect()]
+        sizes.append(len(family.levels()))
+    assert sorted(got, key=str) == bytes_by_hand(rows, 50)
+    assert max(sizes) <= 5
+    assert family.add(docs.limit(0), docs).count() == 0
+    family.drop()
+    assert not family.levels()
