@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import roots
-from .exchange import BUCKETS_PER_PARTITION
 from .tables import checkpointed, free_name, partitions, with_fields
 from .texts import MULTIPLIER, cuts, mix, space_table, text_buffers, word_bounds
 
 #: Of wide fingerprints: lanes of 64 bits, bits that may differ, and the share of pairs at that distance that is tested.
 LANES, LANE_BITS, RECALL = 4, 48, 0.95
+#: Groups of cells for each shuffle partition: several small ones even out what a task gets and holds.
+CELL_BUCKETS = 8
 #: Reference fingerprints.
 PIVOTS = 24
 #: Cells of up to so many fingerprints are tested pair by pair; of larger ones, what is linked is taken out in turn.
@@ -186,7 +187,7 @@ def links(nodes: DataFrame, bits: int, names: tuple[str, ...] = ("x",), recall:
     Exact for one lane where ``recall`` is None; else a pair at ``bits`` bits is tested with that probability, a nearer one
     with a higher one.
     """
-    n = buckets or BUCKETS_PER_PARTITION * partitions(nodes.sparkSession)
+    n = buckets or CELL_BUCKETS * partitions(nodes.sparkSession)
     masks = exact_masks(bits) if recall is None else drawn_masks(bits, len(names), nodes.count(), recall)
     keys = [F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(F.lit(_signed(m)).cast("bigint")) for c, m in zip(names, lanes) if m]) for k, lanes in enumerate(masks)]
     dealt = nodes.select("node", *names, F.explode(F.array(*keys)).alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(n)).cast("int"))
