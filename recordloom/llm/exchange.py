@@ -42,6 +42,15 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys as differences to the one before: small, and so mostly zero planes, where they are sorted."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+
+
 def key_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     """Buckets in the order of the keys: a sorted run of keys is a sorted run of buckets."""
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -72,7 +81,7 @@ def spread(tag: int, bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, val:
     bucket, doc, key = bucket[order], doc[order], key[order]
     val = val[order] if val is not None else None
     at = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-    return [(int(bucket[i]), tag, packed(doc[i:j]), packed(key[i:j]), packed(val[i:j]) if val is not None else None) for i, j in zip(at[:-1], at[1:])]
+    return [(int(bucket[i]), tag, packed(doc[i:j]), packed_keys(key[i:j]), packed(val[i:j]) if val is not None else None) for i, j in zip(at[:-1], at[1:])]
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -88,7 +97,7 @@ def gathered(frame, tag: int, with_val: bool = False) -> tuple:
     """The arrays of all rows of one tag, joined."""
     rows = frame[frame["tag"] == tag]
     doc = np.concatenate([np.zeros(0, np.int64), *(unpacked(x, np.int64) for x in rows["doc"])])
-    key = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x, np.uint64) for x in rows["key"])])
+    key = np.concatenate([np.zeros(0, np.uint64), *map(unpacked_keys, rows["key"])])
     if not with_val:
         return doc, key
     return doc, key, np.concatenate([np.zeros(0, np.uint64), *(unpacked(x, np.uint64) for x in rows["val"])])
@@ -198,7 +207,12 @@ def passed(frame: pd.DataFrame, n: int) -> list[tuple] | None:
     bucket = int(frame["bucket"].iloc[0])
     if bucket < n:
         return None
-    return [(bucket - n, int(tag), *map(packed, gathered(frame, tag)), None) for tag in sorted(set(frame["tag"]))]
+    out = []
+    for tag in sorted(set(frame["tag"])):
+        doc, key = gathered(frame, tag)
+        order = np.argsort(key, kind="stable")
+        out.append((bucket - n, int(tag), packed(doc[order]), packed_keys(key[order]), None))
+    return out
 
 
 def windows_settled(n: int) -> Callable:

@@ -170,7 +170,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
             return rows
         family = Levels()
         for doc, key in frame.loc[frame["tag"] == X.SENT, ["doc", "key"]].itertuples(index=False):
-            family.add(X.unpacked(key, np.uint64), X.unpacked(doc, np.int64))
+            family.add(X.unpacked_keys(key), X.unpacked(doc, np.int64))
         doc, key = family.shared()
         rows = X.spread(X.SHARED, X.doc_bucket(doc, n), doc, key)
         doc, key = X.gathered(frame, X.SENT_TEXT)
