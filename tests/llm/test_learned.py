@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from recordloom.llm import language, quality, rules
 from recordloom.llm.queries import op7_language_id, op9_quality_rules, op10_quality_classifier
