@@ -8,6 +8,7 @@ by doc_id in the same way. Then the rows move once.
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,13 +64,16 @@ def _refine(rows: DataFrame, key: str, brackets: list[Bracket], tolerance: float
     while open_ := [b for b in brackets if not b.done(tolerance)]:
         points = sorted({p for b in open_ for p in b.probes(probes)})
         # as many rows as there are probes
-        counts = dict(rows.groupBy(_place(F.col(key), points).alias("place")).agg(F.sum("size")).collect())
+        stats = rows.groupBy(_place(F.col(key), points).alias("place")).agg(F.sum("size"), F.min(key), F.max(key))
+        places = {r[0]: r[1:] for r in stats.collect()}
         below, found = start, []
         for k, point in enumerate(points):
-            below += counts.get(k, 0)
+            below += places[k][0] if k in places else 0
             found.append((point, below))
         for b in open_:
             b.narrow(found)
+            _, least, most = places.get(bisect.bisect_right(points, b.low), (0, b.low, b.high - 1))
+            b.low, b.high = max(b.low, least), min(b.high, most + 1)
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, probes: int = 24) -> list[tuple[int, int]]:
