@@ -3,16 +3,14 @@
 Every distinct fingerprint has a table of Hamming distances to reference fingerprints (pivots). Two
 fingerprints within k bits have distances to any pivot that differ by k at most, so a pair with a larger
 difference in any coordinate is discarded without looking at its bits, and survivors are verified.
-Pairs to be tested come from cells. For one 64-bit lane and few bits the cells are exact: 64 bits in k + 2
-blocks, of which a pair within k bits agrees on at least two, so each fingerprint stands in one cell for
-each two blocks, and no link is lost. Where more bits may differ, a fingerprint has several lanes, and
-cells are drawn: a table's key is a random choice of bits, as many tables as it takes for a pair at the
-largest distance to share a cell of one with a stated probability.
+Pairs to be tested come from cells: 64 bits in k + 2 blocks, of which a pair within k bits agrees on at
+least two, so each fingerprint stands in one cell for each two blocks, and no link is lost. The pipeline's
+stage links by similarity of shingles instead (similar.py).
 """
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -23,12 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similar
 from .components import roots
 from .tables import checkpointed, free_name, partitions, with_fields
 from .texts import MULTIPLIER, cuts, mix, space_table, text_buffers, word_bounds
 
-#: Of wide fingerprints: lanes of 64 bits, bits that may differ, and the share of pairs at that distance that is tested.
-LANES, LANE_BITS, RECALL = 4, 48, 0.95
+#: Of wide fingerprints: lanes of 64 bits, and bits that may differ.
+LANES, LANE_BITS = 4, 48
 #: Groups of cells for each shuffle partition: several small ones even out what a task gets and holds.
 CELL_BUCKETS = 8
 #: Reference fingerprints.
@@ -169,26 +168,10 @@ def exact_masks(bits: int) -> list[tuple[int, ...]]:
     return [(of[i] | of[j],) for i, j in combinations(range(blocks), 2)]
 
 
-def drawn_masks(bits: int, lanes: int, count: int, recall: float, seed: int = 17) -> list[tuple[int, ...]]:
-    """Random choices of bits, about as many as tell ``count`` fingerprints apart, in as many tables as give the recall."""
-    width = max(8, math.ceil(math.log2(max(count, 2))) - 3)
-    share = (1 - bits / (64 * lanes)) ** width
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share))):
-        chosen = rng.choice(64 * lanes, width, replace=False)
-        out.append(tuple(sum(1 << int(c % 64) for c in chosen if c // 64 == lane) for lane in range(lanes)))
-    return out
-
-
-def links(nodes: DataFrame, bits: int, names: tuple[str, ...] = ("x",), recall: float | None = None, buckets: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect fingerprints (columns ``names``, column ``node`` their number) at ``bits`` or fewer differing bits.
-
-    Exact for one lane where ``recall`` is None; else a pair at ``bits`` bits is tested with that probability, a nearer one
-    with a higher one.
-    """
+def links(nodes: DataFrame, bits: int, names: tuple[str, ...] = ("x",), buckets: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect fingerprints (column ``x``, column ``node`` their number) at ``bits`` or fewer differing bits."""
     n = buckets or CELL_BUCKETS * partitions(nodes.sparkSession)
-    masks = exact_masks(bits) if recall is None else drawn_masks(bits, len(names), nodes.count(), recall)
+    masks = exact_masks(bits)
     keys = [F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(F.lit(_signed(m)).cast("bigint")) for c, m in zip(names, lanes) if m]) for k, lanes in enumerate(masks)]
     dealt = nodes.select("node", *names, F.explode(F.array(*keys)).alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(n)).cast("int"))
 
@@ -218,22 +201,23 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, seed: int
     return hashed.join(named, "x").select("doc_id", F.lower(F.lpad(F.hex("x"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, lanes: int = LANES, bits: int = LANE_BITS, recall: float = RECALL) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates: that with the least doc_id.
 
-    Fingerprints of ``lanes`` times 64 bits over ``shingle`` words, linked at ``bits`` or fewer differing bits. Of the
-    expected distance of two texts, 0.8 of whose shingles together they share, the default is 1.6 standard
-    deviations above; that of unrelated texts is ten above it. Of rows with one doc_id the first by text,
-    then any, stays. Groups in which no row has a doc_id keep one row too. Texts without words are
-    alike. The columns of ``docs`` are returned unchanged.
+    Linked are texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``. The search
+    is complete and each link is verified on the sets (similar.py); ``seed`` has no bearing on it.
+    Of rows with one doc_id the first by text, then any, stays. Groups in which no row has a doc_id keep
+    one row too. Texts without words are alike. The columns of ``docs`` are returned unchanged.
     """
-    names = tuple(free_name(docs, f"x{k}") for k in range(lanes))
+    p, q = Fraction(str(similarity)).as_integer_ratio()
     code, root, nth = (free_name(docs, c) for c in ("code", "root", "nth"))
     coded = docs.withColumn(code, F.xxhash64(F.col("text").cast("string")))
-    hashed = checkpointed(fingerprints(coded.select("doc_id", "text", code), shingle, seed, names).drop("text"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(code).alias("code")))
-    nodes = checkpointed(hashed.groupBy(*names).agg(best.alias("best")).select(*names, "best", F.xxhash64(*names).alias("node")))
-    found = checkpointed(roots(links(nodes.select("node", *names), bits, names, recall)).withColumnRenamed("node", "linked"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("code", F.xxhash64("text"))
+    common = similar.common_shingles(texts, "code", shingle)
+    rows = checkpointed(similar.described(texts, shingle, common, p, q))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("code").alias("code")))
+    nodes = checkpointed(rows.groupBy("node").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "parity", "narrow"))))
+    found = checkpointed(similar.similar_groups(texts, rows, nodes, common, shingle, similarity).withColumnRenamed("node", "linked"))
     merged = nodes.join(found, F.col("node") == F.col("linked"), "left").select(F.coalesce("root", "node").alias(root), "best")
     stays = merged.groupBy(root).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("stays_id"), F.col("best.code").alias("stays_code"))
     kept = coded.join(stays, (F.col(code) == F.col("stays_code")) & F.col("doc_id").eqNullSafe(F.col("stays_id")), "left_semi")
