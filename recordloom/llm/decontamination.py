@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import checkpointed, free_name, with_fields
-from .texts import MULTIPLIER, Rolling, cuts, mix, text_buffers, word_bounds, word_codes
+from .texts import MULTIPLIER, Rolling, cuts, gathered, mix, text_buffers, word_bounds, word_codes
 
 #: Ends of windows that one stretch of text holds.
 STRETCH = 512
@@ -60,11 +60,6 @@ class Patterns:
     text: np.ndarray
 
 
-def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of many spans, end to end."""
-    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-
-
 def patterns_of(items: list[int], texts: list[str | None], width: int) -> list[Patterns]:
     """The windows of items, by length; an item of fewer words is one pattern, one of no words is none."""
     data, offsets = text_buffers(pa.array(texts, pa.string()))

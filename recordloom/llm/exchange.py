@@ -4,6 +4,8 @@ A fingerprint is a 64-bit hash with the document it stands in. Tasks sort their
 what one task can settle by itself, and send one row of packed arrays per destination bucket instead
 of one row per fingerprint. A fingerprint that is very common leaves a task at most once (or twice,
 where two contexts matter), so a hot passage costs its bucket no more rows than there are tasks.
+Before anything is taken to be equal across documents, a second hash of the same bytes (``val``) is compared
+too, so equal means equal in 128 bits.
 
 Rows: ``bucket int, tag int, doc binary, key binary, val binary``. Buckets below ``n`` are chosen by the
 key; a row for a document goes to ``n`` + the document's bucket while it only passes through a stage.
@@ -62,11 +64,10 @@ def doc_bucket(docs: np.ndarray, n: int) -> np.ndarray:
 
 
 def bucketed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text and the document's bucket; texts that are null stay out of the exchange."""
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(n)).cast("int"), F.lit(0)).alias("bucket"),
-    )
+    """doc_id, text and the document's bucket; texts without a doc_id take no part in the exchange and may stand in any."""
+    doc, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    dealt = F.when(doc.isNull(), F.xxhash64(text, F.spark_partition_id())).otherwise(F.xxhash64(doc))
+    return docs.select(doc.alias("doc_id"), text.alias("text"), F.pmod(dealt, F.lit(n)).cast("int").alias("bucket"))
 
 
 def default_buckets(docs: DataFrame) -> int:
@@ -103,19 +104,28 @@ def gathered(frame, tag: int, with_val: bool = False) -> tuple:
     return doc, key, np.concatenate([np.zeros(0, np.uint64), *(unpacked(x, np.uint64) for x in rows["val"])])
 
 
-def distinct_pairs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, doc) in order, with for each pair the smallest doc of its key and whether the key has more."""
+def distinct_pairs(key: np.ndarray, doc: np.ndarray, val: np.ndarray | None = None):
+    """Distinct (key, doc) in order, with for each pair the smallest doc of its key, whether the key has more, and its val.
+
+    Where there are second hashes, things that have one key but not one val are kept apart.
+    """
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
+    val = val[order] if val is not None else np.zeros(len(key), np.uint64)
     if not len(key):
-        return key, doc, doc, np.zeros(0, bool)
-    keep = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
-    key, doc = key[keep], doc[keep]
-    first = np.r_[True, key[1:] != key[:-1]]
+        return key, doc, doc, np.zeros(0, bool), val
+    other = key[1:] != key[:-1]
+    if (~other & (val[1:] != val[:-1])).any():
+        order = np.lexsort((doc, val, key))
+        key, doc, val = key[order], doc[order], val[order]
+        other = (key[1:] != key[:-1]) | (val[1:] != val[:-1])
+    keep = np.r_[True, other | (doc[1:] != doc[:-1])]
+    first = np.r_[True, other][keep]
+    key, doc, val = key[keep], doc[keep], val[keep]
     at = np.flatnonzero(first)
     group = np.cumsum(first) - 1
     size = np.diff(np.r_[at, len(key)])
-    return key, doc, doc[at][group], size[group] > 1
+    return key, doc, doc[at][group], size[group] > 1, val
 
 
 def pair_codes(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -148,11 +158,11 @@ def doc_ids(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def send(docs: DataFrame, work: Callable, n: int) -> DataFrame:
-    """work(data, offsets) gives (tag, key, row) arrays for the texts of a batch.
+    """work(data, offsets) gives (tag, key, row, second hash or None) for the texts of a batch.
 
     SENT: a fingerprint seen in several documents of one task is known to be shared: those documents
-    are told (SHARED) at once, and only the smallest of them is sent on. SENT_TEXT: a fingerprint of a
-    whole text; all documents of the task that have it but the smallest are told that they are copies.
+    are told (SHARED) at once, and only the smallest of them is sent on. SENT_TEXT: the two hashes of a
+    whole text; all documents of the task that have them but the smallest are told that they are copies.
     """
 
     def tasks(batches):
@@ -162,19 +172,20 @@ def send(docs: DataFrame, work: Callable, n: int) -> DataFrame:
         def rows():
             out = []
             for tag, parts in found.items():
-                key, doc, least, many = distinct_pairs(*(np.concatenate(x) for x in zip(*parts)))
+                key, doc, val = zip(*parts)
+                key, doc, least, many, val = distinct_pairs(np.concatenate(key), np.concatenate(doc), np.concatenate(val) if tag == SENT_TEXT else None)
                 told, lone = (many, SHARED) if tag == SENT else (doc > least, COPY), doc == least
                 out += spread(told[1], n + doc_bucket(doc[told[0]], n), doc[told[0]], key[told[0]])
-                out += spread(tag, key_bucket(key[lone], n), doc[lone], key[lone])
+                out += spread(tag, key_bucket(key[lone], n), doc[lone], key[lone], val[lone] if tag == SENT_TEXT else None)
             found.clear()
             return as_batch(out)
 
         for batch in batches:
             doc, null = doc_ids(batch.column(0))
             data, offsets = text_buffers(batch.column(1))
-            for tag, key, row in work(data, offsets):
+            for tag, key, row, val in work(data, offsets):
                 known = ~null[row]
-                found.setdefault(tag, []).append((key[known], doc[row[known]]))
+                found.setdefault(tag, []).append((key[known], doc[row[known]], val[known] if val is not None else None))
             size += len(data)
             if size >= SEND_BYTES:
                 yield rows()
@@ -221,16 +232,17 @@ def windows_settled(n: int) -> Callable:
     def work(frame: pd.DataFrame) -> list[tuple]:
         if (rows := passed(frame, n)) is not None:
             return rows
-        doc, key = gathered(frame, SENT)
-        key, doc, least, _ = distinct_pairs(key, doc)
+        doc, key, val = gathered(frame, SENT, with_val=True)
+        key, doc, least, _, _ = distinct_pairs(key, doc, val)
         later = doc > least
         return spread(DROP_WINDOW, doc_bucket(doc[later], n), doc[later], key[later])
 
     return work
 
 
-def windows_sent(key: np.ndarray, doc: np.ndarray, n: int) -> list[tuple]:
+def windows_sent(key: np.ndarray, doc: np.ndarray, val: np.ndarray, n: int) -> list[tuple]:
     """Rows for windows_settled(): what this task can settle itself, and the smallest document of each window."""
-    key, doc, least, _ = distinct_pairs(key, doc)
+    key, doc, least, _, val = distinct_pairs(key, doc, val)
     later = doc > least
-    return spread(DROP_WINDOW, n + doc_bucket(doc[later], n), doc[later], key[later]) + spread(SENT, key_bucket(key[~later], n), doc[~later], key[~later])
+    own = spread(DROP_WINDOW, n + doc_bucket(doc[later], n), doc[later], key[later])
+    return own + spread(SENT, key_bucket(key[~later], n), doc[~later], key[~later], val[~later])

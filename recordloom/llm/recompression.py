@@ -7,7 +7,7 @@ dictionary to share. How far a symbol depends on its surroundings is tracked exa
 windows the interior symbols are equal. Each window picks, by the least name, one of its interior
 symbols of the highest level that has any; only these symbols (with the words that decide them) are
 exchanged. Symbols shared by several documents reveal where windows may repeat; those windows, and no
-others, are then compared across documents.
+others, are then compared across documents, by two independent hashes of their words (128 bits).
 """
 
 from __future__ import annotations
@@ -122,6 +122,10 @@ def _cut_words(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, row, word_codes(data, starts, ends)
 
 
+def _windows_of(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    return Rolling(codes).slices(starts, starts + width) if len(starts) else np.zeros(0, np.uint64)
+
+
 def remove_repeated_windows(docs: DataFrame, width: int = 13, buckets: int | None = None, texts: bool = False) -> DataFrame:
     """Words covered by a window of ``width`` words that also starts in a document with a smaller doc_id, removed.
 
@@ -142,31 +146,33 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, buckets: int | Non
             if len(starts):
                 row = row[starts]
                 new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]
-                yield X.SENT, key[new], row[new] + i
+                yield X.SENT, key[new], row[new] + i, None
 
     def shared(frame):
         if (rows := X.passed(frame, n)) is not None:
             return rows
         doc, key = X.gathered(frame, X.SENT)
-        key, doc, _, many = X.distinct_pairs(key, doc)
+        key, doc, _, many, _ = X.distinct_pairs(key, doc)
         return X.spread(X.SHARED, X.doc_bucket(doc[many], n), doc[many], key[many])
 
     def compare(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
         """The windows whose symbol is shared."""
         doc, key = X.gathered(found.to_pandas(), X.SHARED)
         members = X.Members(X.pair_codes(doc, key))
-        hashes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        hashes, seconds, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         doc, null = X.doc_ids(texts_.column("doc_id"))
         data, offsets = text_buffers(texts_.column("text"))
         for i, j in cuts(offsets) if len(members.codes) else ():
             lo, hi = offsets[i], offsets[j]
-            _, _, row, codes = _cut_words(data[lo:hi], offsets[i : j + 1] - lo)
+            begin, end, row, codes = _cut_words(data[lo:hi], offsets[i : j + 1] - lo)
             starts, key, rolling = window_keys(codes, row, width)
             own = row[starts] + i
             take = members.of(X.pair_codes(doc[own], key)) & ~null[own]
-            hashes.append(rolling.slices(starts[take], starts[take] + width))
-            ids.append(doc[own[take]])
-        return pa.Table.from_batches([X.as_batch(X.windows_sent(np.concatenate(hashes), np.concatenate(ids), n))])
+            if take.any():
+                hashes.append(rolling.slices(starts[take], starts[take] + width))
+                seconds.append(_windows_of(word_codes(data[lo:hi], begin, end, lane=1), starts[take], width))
+                ids.append(doc[own[take]])
+        return pa.Table.from_batches([X.as_batch(X.windows_sent(*map(np.concatenate, (hashes, ids, seconds)), n))])
 
     def finish(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
         doc, key = X.gathered(found.to_pandas(), X.DROP_WINDOW)

@@ -7,6 +7,7 @@ emitted as one ordered Spark conditional expression over the statistics.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import checkpointed, free_name, least_hashed, with_fields
-from .texts import Rolling, byte_codes, cuts, mix, space_table, text_buffers, word_bounds, word_codes
+from .texts import Rolling, byte_codes, cuts, mix, same_spans, space_table, text_buffers, word_bounds, word_codes
 
 #: Labelled rows that are learned from, at most.
 TRAINING_ROWS = 20_000
@@ -31,15 +32,29 @@ _DIGIT[0x30:0x3A] = True
 _MARK[list(b".,;:!?")] = True
 
 
-def _again(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each (row, code): whether it stands in the row before, and whether it stands there twice or more."""
+def _again(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each (row, code): whether it stands in the row before, whether it stands there twice or more, and where first."""
     both = mix(code) ^ mix(row.astype(np.uint64) + np.uint64(1))
     _, first, inverse, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
-    return first[inverse] != np.arange(len(code)), count[inverse] > 1
+    return first[inverse] != np.arange(len(code)), count[inverse] > 1, first[inverse]
+
+
+def _plain_repeats(text: bytes, window: int) -> tuple[int, int, int]:
+    """n_dup_lines, n_repeat_words and n_distinct_words of one text, without hashes."""
+    words = text.translate(bytes(i if w else 0x20 for i, w in enumerate(space_table()))).split(b" ")
+    words = [w for w in words if w]
+    lines = Counter(x for x in text.split(b"\n") if space_table()[np.frombuffer(x, np.uint8)].any())
+    of = Counter(tuple(words[i : i + window]) for i in range(len(words) - window + 1))
+    cover = np.zeros(len(words) + 1, np.int64)
+    for i in range(len(words) - window + 1):
+        if of[tuple(words[i : i + window])] > 1:
+            cover[i] += 1
+            cover[i + window] -= 1
+    return sum(lines.values()) - len(lines), int((np.cumsum(cover[:-1]) > 0).sum()), len(set(words))
 
 
 def count_stats(data: np.ndarray, offsets: np.ndarray, window: int = 8) -> np.ndarray:
-    """COUNTS of each text of a cut, a row each."""
+    """COUNTS of each text of a cut, a row each. What hashes call equal is compared byte by byte."""
     n = len(offsets) - 1
     starts, ends, row = word_bounds(data, offsets, space_table())
     codes = word_codes(data, starts, ends)
@@ -62,20 +77,29 @@ def count_stats(data: np.ndarray, offsets: np.ndarray, window: int = 8) -> np.nd
     words_before = np.r_[0, np.cumsum(inside)]
     wordy = words_before[stop] > words_before[line]
     line, stop, line_row = line[wordy], stop[wordy], line_row[wordy]
-    repeated, _ = _again(Rolling(byte_codes()[data]).slices(line, stop), line_row)
+    repeated, _, was = _again(Rolling(byte_codes()[data]).slices(line, stop), line_row)
+    again = np.flatnonzero(repeated)
+    exact = np.array_equal((stop - line)[again], (stop - line)[was[again]]) and same_spans(data, line[again], line[was[again]], (stop - line)[again])
     # words in windows that stand in their text more than once
     cover = np.zeros(len(codes) + 1, np.int64)
     at = np.flatnonzero(row[window - 1 :] == row[: len(row) - window + 1]) if len(row) >= window else np.zeros(0, np.int64)
     if len(at):
-        _, twice = _again(Rolling(codes).windows(window)[at], row[at])
+        _, twice, was = _again(Rolling(codes).windows(window)[at], row[at])
+        span = np.arange(window)
+        exact &= np.array_equal(codes[at[twice][:, None] + span], codes[at[was[twice]][:, None] + span])
         np.add.at(cover, at[twice], 1)
         np.add.at(cover, at[twice] + window, -1)
-    old_word, _ = _again(codes, row)
-    return np.stack([
+    old_word, _, was = _again(codes, row)
+    again, size = np.flatnonzero(old_word), ends - starts
+    exact &= np.array_equal(size[again], size[was[again]]) and same_spans(data, starts[again], starts[was[again]], size[again])
+    stats = np.stack([
         np.diff(bounds), per_row(inside & ((data & 0xC0) != 0x80), offsets), per_row(_SYMBOLS[data], offsets),
         np.bincount(line_row[repeated], minlength=n), per_row(np.cumsum(cover[:-1]) > 0, bounds), np.bincount(line_row, minlength=n),
         per_row(_UPPER[data], offsets), per_row(_DIGIT[data], offsets), per_row(_MARK[data], offsets), per_row(~old_word, bounds),
     ], axis=1).astype(np.int64)
+    if not exact:  # a hash led astray
+        stats[:, [3, 4, 9]] = [_plain_repeats(data[a:b].tobytes(), window) for a, b in zip(offsets[:-1], offsets[1:])]
+    return stats
 
 
 def with_stats(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ there, and levels of equal size are merged, so a batch is scanned against logari
 found in several documents are then extended to whole windows: first the stretch of all windows that
 chose a suffix is compared at once, and only stretches that differ, though a suffix with enough bytes to
 its left or right is shared, are compared window by window. Whole copies of a text are told apart first.
+Texts, stretches and windows are equal if two independent hashes of their bytes (128 bits) are.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from . import exchange as X
@@ -62,7 +64,7 @@ class Stretches:
     """For a cut of texts: the chosen suffixes and, for each, the stretch of windows [first, last] that chose it."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, core: int):
-        self.width, self.core, self.offsets = width, core, offsets
+        self.width, self.core, self.offsets, self.data = width, core, offsets, data
         self.rolling = Rolling(byte_codes()[data])
         none = np.zeros(0, np.int64)
         self.at = self.first = self.last = self.row = none
@@ -95,10 +97,14 @@ class Stretches:
         self.row = np.searchsorted(offsets, self.first, "right") - 1
         self.key = piece[self.at] & np.uint64(0xFFFFFFFFFFFF0000)
 
-    def contexts(self, take: np.ndarray) -> np.ndarray:
+    def second(self) -> Rolling:
+        """Other hashes of the same bytes."""
+        return Rolling(byte_codes(lane=1)[self.data])
+
+    def contexts(self, take: np.ndarray, rolling: Rolling | None = None) -> np.ndarray:
         """A hash of all bytes of the stretch and of where its suffix stands in it."""
         first, last = self.first[take], self.last[take]
-        return mix(self.rolling.slices(first, last + self.width) + (self.at[take] - first).astype(np.uint64) * np.uint64(MULTIPLIER))
+        return mix((rolling or self.rolling).slices(first, last + self.width) + (self.at[take] - first).astype(np.uint64) * np.uint64(MULTIPLIER))
 
     @property
     def more(self) -> int:
@@ -121,10 +127,12 @@ class Stretches:
         which = np.repeat(np.arange(len(take)), count)
         return first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count), self.row[take][which]
 
-    def texts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of whole texts that hold a window, and their rows."""
+    def texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two hashes of whole texts that hold a window, and their rows."""
         row = np.flatnonzero(np.diff(self.offsets) >= self.width)
-        return self.rolling.slices(self.offsets[row], self.offsets[row + 1]), row
+        digest, data = xxhash.xxh3_128_digest, self.data
+        both = np.frombuffer(b"".join(digest(data[a:b]) for a, b in zip(self.offsets[row].tolist(), self.offsets[row + 1].tolist())), np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1], row
 
 
 def _differing(ext: np.ndarray, ctx: np.ndarray, doc: np.ndarray):
@@ -160,9 +168,9 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
 
     def fingerprints(data, offsets):
         for i, found in stretches(data, offsets):
-            yield X.SENT, found.key, found.row + i
-            key, row = found.texts()
-            yield X.SENT_TEXT, key, row + i
+            yield X.SENT, found.key, found.row + i, None
+            key, val, row = found.texts()
+            yield X.SENT_TEXT, key, row + i, val
 
     def index(frame):
         """The family of one range of fingerprints."""
@@ -173,8 +181,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
             family.add(X.unpacked_keys(key), X.unpacked(doc, np.int64))
         doc, key = family.shared()
         rows = X.spread(X.SHARED, X.doc_bucket(doc, n), doc, key)
-        doc, key = X.gathered(frame, X.SENT_TEXT)
-        key, doc, least, _ = X.distinct_pairs(key, doc)
+        doc, key, val = X.gathered(frame, X.SENT_TEXT, with_val=True)
+        key, doc, least, _, _ = X.distinct_pairs(key, doc, val)
         later = doc > least
         return rows + X.spread(X.COPY, X.doc_bucket(doc[later], n), doc[later], key[later])
 
@@ -188,7 +196,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
     def copies(cut: Stretches, i: int, doc: np.ndarray, null: np.ndarray, members: X.Members) -> np.ndarray:
         """Which rows of the cut are whole copies of a smaller document's text."""
         out = np.zeros(len(cut.offsets) - 1, bool)
-        key, row = cut.texts()
+        key, _, row = cut.texts()
         out[row] = members.of(X.pair_codes(doc[row + i], key)) & ~null[row + i]
         return out
 
@@ -198,23 +206,26 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
 
     def extend(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
         frame, members, doc, null, data, offsets = opened(texts_, found)
-        ctx_all, doc_all = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        ctx_all, second_all, doc_all = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         sides: dict[bool, list] = {side: [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))] for side in (True, False)}
         for i, cut in stretches(data, offsets) if len(members[X.SHARED].codes) else ():
             own = cut.row + i
             whole = copies(cut, i, doc, null, members[X.COPY])
             take = np.flatnonzero(members[X.SHARED].of(X.pair_codes(doc[own], cut.key)) & ~null[own] & ~whole[cut.row])
+            if not len(take):
+                continue
             ctx, ids = cut.contexts(take), doc[own[take]]
             ctx_all.append(ctx)
+            second_all.append(cut.contexts(take, cut.second()))
             doc_all.append(ids)
             for side in sides:
                 ext, which = cut.extended(take, side)
                 sides[side].append((ext, ctx[which] & np.uint64(0xFFFFFFFFFFFF0000), ids[which]))
-        ctx, ids, least, _ = X.distinct_pairs(np.concatenate(ctx_all), np.concatenate(doc_all))
+        ctx, ids, least, _, second = X.distinct_pairs(*map(np.concatenate, (ctx_all, doc_all, second_all)))
         later = ids > least
         rows = carried(frame, X.COPY)
         rows += X.spread(X.DROP_RUN, n + X.doc_bucket(ids[later], n), ids[later], ctx[later])
-        rows += X.spread(X.SENT_CONTEXT, X.key_bucket(ctx[~later], n), ids[~later], ctx[~later])
+        rows += X.spread(X.SENT_CONTEXT, X.key_bucket(ctx[~later], n), ids[~later], ctx[~later], second[~later])
         for side, parts in sides.items():
             ext, ctx, ids, several, ends = _differing(*map(np.concatenate, zip(*parts)))
             rows += X.spread(X.EDGE_LEFT if side else X.EDGE_RIGHT, n + X.doc_bucket(ids[several], n), ids[several], ctx[several])
@@ -224,8 +235,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
     def contexts(frame):
         if (rows := X.passed(frame, n)) is not None:
             return rows
-        doc, ctx = X.gathered(frame, X.SENT_CONTEXT)
-        ctx, doc, least, _ = X.distinct_pairs(ctx, doc)
+        doc, ctx, second = X.gathered(frame, X.SENT_CONTEXT, with_val=True)
+        ctx, doc, least, _, _ = X.distinct_pairs(ctx, doc, second)
         later = doc > least
         rows = X.spread(X.DROP_RUN, X.doc_bucket(doc[later], n), doc[later], ctx[later])
         for sent, edge in ((X.SENT_LEFT, X.EDGE_LEFT), (X.SENT_RIGHT, X.EDGE_RIGHT)):
@@ -236,7 +247,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
 
     def expand(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
         frame, members, doc, null, data, offsets = opened(texts_, found)
-        hashes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        hashes, seconds, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, cut in stretches(data, offsets) if len(members[X.EDGE_LEFT].codes) or len(members[X.EDGE_RIGHT].codes) else ():
             own = cut.row + i
             ctx = cut.contexts(np.arange(len(own)))
@@ -245,10 +256,12 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
             whole = copies(cut, i, doc, null, members[X.COPY])
             take = np.flatnonzero((left | right) & ~members[X.DROP_RUN].of(X.pair_codes(doc[own], ctx)) & ~null[own] & ~whole[cut.row])
             starts, rows = cut.windows(take, left[take], right[take])
-            hashes.append(cut.rolling.slices(starts, starts + width))
-            ids.append(doc[rows + i])
+            if len(starts):
+                hashes.append(cut.rolling.slices(starts, starts + width))
+                seconds.append(cut.second().slices(starts, starts + width))
+                ids.append(doc[rows + i])
         rows = carried(frame, X.COPY, X.DROP_RUN)
-        return pa.Table.from_batches([X.as_batch(rows + X.windows_sent(np.concatenate(hashes), np.concatenate(ids), n))])
+        return pa.Table.from_batches([X.as_batch(rows + X.windows_sent(*map(np.concatenate, (hashes, ids, seconds)), n))])
 
     def finish(key_group, texts_: pa.Table, found: pa.Table) -> pa.Table:
         _, members, doc, null, data, offsets = opened(texts_, found)

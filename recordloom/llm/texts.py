@@ -13,6 +13,10 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
+# One large array that is given back at once: the C library then keeps freed memory for later arrays of up to this size,
+# where it would else return and fault in the pages of every one (that took three quarters of the time).
+np.empty(1 << 24, np.uint8)
+
 #: Bytes of text worked on at once: arrays of eight bytes for each byte then stay in a core's cache.
 CUT_BYTES = 1 << 16
 
@@ -30,9 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_codes() -> np.ndarray:
-    """A fixed 64-bit value for each byte."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
+def byte_codes(lane: int = 0) -> np.ndarray:
+    """A fixed 64-bit value for each byte; other ones for each lane."""
+    return mix(np.arange(1 + 256 * lane, 257 + 256 * lane, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
 
 def space_table() -> np.ndarray:
@@ -80,41 +84,78 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
     return starts, ends, rows
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, kept for the next call."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))):
-            powers = np.full(max(n, CUT_BYTES + 1), base, np.uint64)
-            powers[0] = 1
-            _POWERS[k] = np.multiply.accumulate(powers)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A code for each pair of codes. Not linear in them, so equal sums of codes do not make equal hashes."""
+    x = left * np.uint64(MULTIPLIER)
+    x += right
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(MIX_1)
+    return x
 
 
 class Rolling:
-    """Hashes of any slice of a sequence of 64-bit codes, by prefix sums modulo 2**64."""
+    """Hashes of any slice of a sequence of 64-bit codes.
+
+    Level k has a hash for each 2**k codes, made of two hashes of the level below. A slice is told by the two hashes of
+    the highest level that begin and end with it, and by its length. Levels of a long sequence are not kept.
+    """
 
     def __init__(self, codes: np.ndarray):
-        powers, self.inverse = _powers(len(codes) + 1)
-        self.prefix = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * powers[:-1], out=self.prefix[1:])
+        self.levels = [np.asarray(codes, np.uint64)]
+
+    def _upto(self, most: int):
+        """Levels 0 to most."""
+        level = self.levels[0]
+        for k in range(most + 1):
+            if k < len(self.levels):
+                level = self.levels[k]
+            else:
+                level = _joined(level[: -(1 << (k - 1))], level[1 << (k - 1) :])
+                if len(self.levels[0]) <= 4 * CUT_BYTES:
+                    self.levels.append(level)
+            yield level
 
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A mixed hash of codes[start:end] for each pair, with the length in it."""
-        raw = (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(MIX_2))
+        """A hash of codes[start:end] for each pair, with the length in it."""
+        starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+        size = ends - starts
+        height = np.frexp(size.astype(np.float64))[1] - 1  # -1 for an empty slice
+        low, high = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+        for k, level in enumerate(self._upto(int(height.max(initial=-1)))):
+            here = np.flatnonzero(height == k)
+            low[here], high[here] = level[starts[here]], level[ends[here] - (1 << k)]
+        return mix(_joined(low, high) + size.astype(np.uint64) * np.uint64(MIX_2))
 
     def windows(self, width: int) -> np.ndarray:
         """slices() for every start, all of one width."""
-        raw = (self.prefix[width:] - self.prefix[:-width]) * self.inverse[: len(self.inverse) - width]
-        return mix(raw + np.uint64(width * MIX_2 % (1 << 64)))
+        k = width.bit_length() - 1
+        *_, level = self._upto(k)
+        n = len(self.levels[0]) - width + 1
+        return mix(_joined(level[:n], level[width - (1 << k) :][:n]) + np.uint64(width * MIX_2 % (1 << 64)))
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    return Rolling(byte_codes()[data]).slices(starts, ends)
+    return Rolling(byte_codes(lane)[data]).slices(starts, ends)
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of many spans, end to end."""
+    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether data[a:a + size] is data[b:b + size], byte by byte, for all pairs; a bounded number of bytes at a time."""
+    total, i = np.r_[0, np.cumsum(size)], 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 20), "right")) - 1)
+        if j == i + 1:
+            if not np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]]):
+                return False
+        elif not np.array_equal(gathered(data, a[i:j], size[i:j]), gathered(data, b[i:j], size[i:j])):
+            return False
+        i = j
+    return True
 
 
 def xxh64_long(values: np.ndarray) -> np.ndarray:

@@ -39,6 +39,25 @@ def test_stats(spark):
         assert tuple(r[c] for c in rules.COUNTS[:5]) == stats_by_hand(r.text), r.text
 
 
+def test_stats_do_not_rest_on_hashes(monkeypatch):
+    """Texts made to deceive a linear hash, and a hash that finds all texts of one length equal."""
+    import pyarrow as pa
+
+    from recordloom.llm.texts import Rolling, text_buffers
+    from tests.llm.test_repeats import signs
+
+    texts = [t or "" for t in TRICKY] + ["\n".join(signs(40)), " ".join(signs(1)), "ab cd ef gh ij kl mn op " * 3 + "qr st\nab cd\nqr uv\nqr uv"]
+    buffers = text_buffers(pa.array(texts))
+    want = [(*stats_by_hand(t), len(set(re.findall(r"[^\x20\x09-\x0D]+", t)))) for t in texts]
+
+    def got():
+        return [(*r[:5], r[-1]) for r in rules.count_stats(*buffers).tolist()]
+
+    assert got() == want
+    monkeypatch.setattr(Rolling, "slices", lambda self, starts, ends: (ends - starts).astype(np.uint64))
+    assert got() == want
+
+
 def test_rules_query(spark):
     out = op9_quality_rules(spark, SF).collect()
     marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

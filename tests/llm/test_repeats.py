@@ -147,3 +147,42 @@ def test_kept_family_of_batches(spark):
     assert family.add(docs.limit(0), docs).count() == 0
     family.drop()
     assert not family.levels()
+
+
+def signs(step, n=20_480):
+    """Two texts of equal length in which a Thue-Morse pattern of two letters stands the one way and the other."""
+    a, b = (bytearray(b"q" * n) for _ in "ab")
+    for k in range(n // step):
+        a[k * step], b[k * step] = b"xy" if k.bit_count() % 2 else b"yx"
+    return a.decode(), b.decode()
+
+
+@pytest.mark.parametrize("step", [40, 1])
+def test_texts_whose_linear_hashes_are_equal(spark, step):
+    a, b = signs(step)
+    tail = " ".join(["z"] * 12)
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
+    assert sorted(map(tuple, remove_repeated_bytes(docs).drop("kept").collect())) == bytes_by_hand([(1, a), (2, b)], 50)
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}")]
+    got = remove_repeated_windows(spark.createDataFrame(rows, "doc_id bigint, text string")).drop("kept").collect()
+    assert sorted(map(tuple, got)) == words_by_hand(rows, 13) and all(r.n_removed == 0 for r in got)
+
+
+def test_equal_first_hashes_are_told_apart():
+    from recordloom.llm.exchange import distinct_pairs
+
+    key, doc, val = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 3, 1, 2]), np.array([8, 9, 8, 8, 9], np.uint64)
+    key, doc, least, many, val = distinct_pairs(key, doc, val)
+    assert list(zip(key.tolist(), val.tolist(), doc.tolist(), least.tolist(), many.tolist())) == [(5, 8, 1, 1, True), (5, 8, 3, 1, True), (5, 9, 2, 2, False), (7, 8, 1, 1, False)]
+
+
+def test_long_text(spark):
+    """A text of several MB beside one that shares its end; texts without ids do not gather in one bucket."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    rows = [(1, long), (2, "start " + long[-2000:]), *((None, "no id") for _ in range(20))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    words = {r.doc_id: r for r in remove_repeated_windows(docs, texts=True).collect()}
+    assert words[1].n_removed == 0 and words[1].n_words == 400_000 and len(words[2].kept.split()) <= 2
+    data = {r.doc_id: r for r in remove_repeated_bytes(docs, texts=True).collect()}
+    assert data[1].n_removed == 0 and data[2].n_removed >= 2000 and data[1].n_bytes == len(long)
