@@ -3,9 +3,9 @@
 Every distinct fingerprint has a table of Hamming distances to reference fingerprints (pivots). Two
 fingerprints within k bits have distances to any pivot that differ by k at most, so a pair with a larger
 difference in any coordinate is discarded without looking at its bits, and survivors are verified.
-Pairs to be tested come from cells: 64 bits in k + 2 blocks, of which a pair within k bits agrees on at
-least two, so each fingerprint stands in one cell for each two blocks, and no link is lost. The pipeline's
-stage links by similarity of shingles instead (similar.py).
+Pairs to be tested come from cells: 64 bits in k + m blocks, of which a pair within k bits agrees on at
+least m, so each fingerprint stands in one cell for each m blocks, and no link is lost for any m. The pipeline's
+stage takes such links as proposals, verifies them on the shingles, and searches what they leave (similar.py).
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ from pyspark.sql import types as T
 
 from . import similar
 from .components import roots
-from .tables import checkpointed, free_name, partitions, with_fields
-from .texts import MULTIPLIER, cuts, mix, space_table, text_buffers, word_bounds
+from .tables import checkpointed, free_name, join_hot, own_columns, partitions, quoted, with_fields
+from .texts import MULTIPLIER, cuts, majority, mix, space_table, text_buffers, word_bounds
 
-#: Of wide fingerprints: lanes of 64 bits, and bits that may differ.
-LANES, LANE_BITS = 4, 48
 #: Groups of cells for each shuffle partition: several small ones even out what a task gets and holds.
 CELL_BUCKETS = 8
 #: Reference fingerprints.
 PIVOTS = 24
-#: Cells of up to so many fingerprints are tested pair by pair; of larger ones, what is linked is taken out in turn.
-SMALL_CELL = 24
+#: Fingerprints of a cell that are held against one another at once; a cell with more is dealt as pairs of blocks of so many.
+BLOCK = 4096
+#: Of all entries of cells, the part from which a cell is dealt in blocks: there are at most so many such cells.
+MOST_BLOCKED = 100_000
+#: Fingerprints that a cell should hold on average at most; more blocks have to agree where there are more.
+CELL_SIZE = 256
 
 
 def _lowered() -> np.ndarray:
@@ -42,27 +44,11 @@ def _lowered() -> np.ndarray:
     return table
 
 
-def _ones(hashes: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """How often each of the 64 bits is set in the hashes of each row: hashes[at[r] : at[r] + count[r]].
-
-    Eight counters of a byte stand side by side in 64 bits, so rows are summed in parts of 255 at most.
-    """
-    parts = -(-count // 255)
-    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = np.repeat(at, parts) + 255 * nth
-    out = np.zeros((len(at), 8, 8), np.int64)
-    first = np.cumsum(parts) - parts
-    for k in range(8):
-        sums = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), begin)
-        out[:, :, k] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
-    return out.reshape(len(at), 64)
-
-
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int, lanes: int = 1) -> np.ndarray:
-    """SimHash of each text of a cut: a row of ``lanes`` 64-bit numbers. The first is of the hashes themselves."""
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    """SimHash of each text of a cut."""
     data, n_rows = _lowered()[data], len(offsets) - 1
     starts, ends, row = word_bounds(data, offsets, space_table())
-    out = np.zeros((n_rows, lanes), np.uint64)
+    out = np.zeros(n_rows, np.uint64)
     if not len(starts):
         return out
     # words of the cut, one blank after each
@@ -82,77 +68,66 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: i
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(begin[first].tolist(), (begin[last] + size[last]).tolist())], np.uint64)
     rows = np.flatnonzero(shingles)
-    at = np.cumsum(shingles)[rows] - shingles[rows]
-    for lane in range(lanes):
-        values = mix(hashes + np.uint64(lane * MULTIPLIER % (1 << 64))) if lane else hashes
-        set_ = 2 * _ones(values, at, shingles[rows]) > shingles[rows, None]
-        out[rows, lane] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
+    out[rows] = majority(hashes, np.cumsum(shingles)[rows] - shingles[rows], shingles[rows])
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, names: tuple[str, ...] = ("x",)) -> DataFrame:
-    """The columns of ``docs`` with the SimHash of ``text``, a bigint for each name; null and wordless texts get zero."""
-    docs = docs.withColumn("text", F.col("text").cast("string")).drop(*names)
-    place, schema = docs.columns.index("text"), with_fields(docs.schema, **dict.fromkeys(names, T.LongType()))
+def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, name: str = "x") -> DataFrame:
+    """The columns of ``docs`` with the SimHash of ``text`` as a bigint; null and wordless texts get zero."""
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop(name)
+    place, schema = docs.columns.index("text"), with_fields(docs.schema, **{name: T.LongType()})
     columns = schema.names
 
     def tasks(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(place))
-            parts = [fingerprints_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, seed, len(names)) for i, j in cuts(offsets, 1 << 18)]
-            found = np.concatenate([np.zeros((0, len(names)), np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(names)))], names=columns)
+            parts = [fingerprints_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, seed) for i, j in cuts(offsets, 1 << 18)]
+            found = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=columns)
 
     return docs.mapInArrow(tasks, schema)
 
 
-def pivots(count: int, lanes: int = 1) -> np.ndarray:
+def pivots(count: int) -> np.ndarray:
     """Reference fingerprints: fixed values, spread over all bits."""
-    return mix(np.arange(1, count * lanes + 1, dtype=np.uint64) * np.uint64(MULTIPLIER)).reshape(count, lanes)
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints, along the last axis."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
 
 def distance_table(x: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    return np.stack([distances(x, p) for p in pivots(count, x.shape[1])], axis=1)
+    return np.stack([np.bitwise_count(x ^ p).astype(np.int8) for p in pivots(count)], axis=1)
 
 
 def cell_links(cell: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints (rows of lanes) of one cell, enough to connect what is within ``bits`` of one another.
+    """Links between fingerprints of one cell, enough to connect what is within ``bits`` of one another.
 
-    cell is sorted. Pairs in small cells are all tested; from a large cell, a fingerprint takes out all
-    that it is linked to, and these do so in turn, so that a dense cell needs few tests.
+    cell is sorted. In every cell at once, a fingerprint takes out all that it is linked to, and these do so in
+    turn; one that is left starts anew. So dense cells need few tests, and no cell gives more links than rows.
     """
-    table = distance_table(x)
-    at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    size = np.diff(np.r_[at, len(cell)])
-    of = np.repeat(size, size)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for step in range(1, SMALL_CELL):
-        i = np.flatnonzero((of[:-step] <= SMALL_CELL) & (cell[:-step] == cell[step:])) if len(cell) > step else np.zeros(0, np.int64)
-        if not len(i):
-            break
+    at = np.arange(len(cell))
+    size = np.diff(np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)]) if len(cell) else at
+    at = at[np.repeat(size, size) > 1]
+    table = distance_table(x)
+    reached = np.zeros(len(cell), bool)
+    while len(at):
+        first = np.flatnonzero(np.r_[True, cell[at[1:]] != cell[at[:-1]]])
+        size = np.diff(np.r_[first, len(at)])
+        # the next of each cell: one that was reached if there is any, else the first
+        place = np.arange(len(at)) + np.where(reached[at], 0, len(at))
+        one = np.minimum.reduceat(place, first) % len(at)
+        rest = np.ones(len(at), bool)
+        rest[one] = False
+        of = at[np.repeat(one, size)]
+        k = np.flatnonzero(rest & ~reached[at])
         for some in (slice(0, 4), slice(4, PIVOTS)):
-            i = i[np.abs(table[i, some] - table[i + step, some]).max(axis=1, initial=0) <= bits]
-        i = i[distances(x[i], x[i + step]) <= bits]
-        left.append(i)
-        right.append(i + step)
-    for begin, n in zip(at[size > SMALL_CELL], size[size > SMALL_CELL]):
-        rest, front = np.arange(begin, begin + n), []
-        while len(rest):
-            one = front.pop() if front else rest[0]
-            rest = rest[rest != one]
-            near = np.abs(table[rest, 0] - table[one, 0]) <= bits
-            near[near] = np.abs(table[rest[near], 1:] - table[one, 1:]).max(axis=1, initial=0) <= bits
-            near[near] = distances(x[rest[near]], x[one]) <= bits
-            found = rest[near]
-            left.append(np.full(len(found), one))
-            right.append(found)
-            front.extend(found.tolist())
-            rest = rest[~near]
+            k = k[np.abs(table[at[k], some] - table[of[k], some]).max(axis=1, initial=0) <= bits]
+        k = k[np.bitwise_count(x[at[k]] ^ x[of[k]]) <= bits]
+        left.append(of[k])
+        right.append(at[k])
+        reached[at[k]] = True
+        # what is alone, or has no one left that is not reached, is done
+        open_ = np.add.reduceat((rest & ~reached[at]).astype(np.int64), first) > 0
+        at = at[rest & np.repeat(open_, size)]
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -160,31 +135,47 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def exact_masks(bits: int) -> list[tuple[int, ...]]:
-    """Every two of ``bits`` + 2 blocks of a lane."""
-    blocks = bits + 2
+def exact_masks(bits: int, agree: int = 2) -> list[int]:
+    """Every ``agree`` of ``bits`` + ``agree`` blocks."""
+    blocks = bits + agree
     edges = [64 * k // blocks for k in range(blocks + 1)]
     of = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(blocks)]
-    return [(of[i] | of[j],) for i, j in combinations(range(blocks), 2)]
+    return [sum(some) for some in combinations(of, agree)]
+
+
+def agreeing(n: int, bits: int) -> int:
+    """How many blocks must agree for cells of CELL_SIZE of n fingerprints; any number gives the same links."""
+    agree = 2
+    while agree < 6 and n >> (64 * agree // (bits + agree)) > CELL_SIZE:
+        agree += 1
+    return agree
 
 
-def links(nodes: DataFrame, bits: int, names: tuple[str, ...] = ("x",), buckets: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, bits: int, agree: int | None = None, block: int | None = None) -> DataFrame:
     """Edges (a, b) that connect fingerprints (column ``x``, column ``node`` their number) at ``bits`` or fewer differing bits."""
-    n = buckets or CELL_BUCKETS * partitions(nodes.sparkSession)
-    masks = exact_masks(bits)
-    keys = [F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(F.lit(_signed(m)).cast("bigint")) for c, m in zip(names, lanes) if m]) for k, lanes in enumerate(masks)]
-    dealt = nodes.select("node", *names, F.explode(F.array(*keys)).alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(n)).cast("int"))
+    n, block = CELL_BUCKETS * partitions(nodes.sparkSession), block or BLOCK
+    rows = nodes.count()
+    masks = exact_masks(bits, agree or agreeing(rows, bits))
+    keys = [F.xxhash64(F.lit(k), F.col("x").bitwiseAND(F.lit(_signed(m)).cast("bigint"))) for k, m in enumerate(masks)]
+    dealt = nodes.select("node", "x", F.explode(F.array(*keys)).alias("cell"))
+    most = max(block, rows * len(masks) // MOST_BLOCKED)
+    large = dealt.groupBy("cell").count().filter(F.col("count") > most).select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    # at most MOST_BLOCKED rows
+    dealt = dealt.join(F.broadcast(large), "cell", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    cell = F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.select("node", "x", cell.alias("cell")).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int"))
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cell", kind="stable")
-        node, x = frame["node"].to_numpy(), np.ascontiguousarray(frame[list(names)].to_numpy(np.int64)).view(np.uint64)
+        node, x = frame["node"].to_numpy(), frame["x"].to_numpy().view(np.uint64)
         left, right = cell_links(frame["cell"].to_numpy(), x, bits)
         return pd.DataFrame({"a": node[left], "b": node[right]}).drop_duplicates()
 
     return dealt.groupBy("bucket").applyInPandas(task, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, seed: int = 42, buckets: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, seed: int = 42) -> DataFrame:
     """Per row of ``docs`` (column ``text``, ``doc_id``): doc_id, fingerprint (hex), component_id.
 
     Words are what white space separates, A to Z lower-cased; a text of fewer words than ``shingle`` is
@@ -194,32 +185,34 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, seed: int
     """
     hashed = checkpointed(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), shingle, seed).drop("text"))
     nodes = checkpointed(hashed.groupBy("x").agg(F.min("doc_id").alias("least")))
-    found = checkpointed(roots(links(nodes.select(F.col("x").alias("node"), "x"), bits, buckets=buckets)))
-    merged = nodes.join(found, F.col("x") == F.col("node"), "left").select("x", "least", F.coalesce("root", "x").alias("root"))
+    found = roots(links(nodes.select(F.col("x").alias("node"), "x"), bits))
+    merged = checkpointed(nodes.join(found, F.col("x") == F.col("node"), "left").select("x", "least", F.coalesce("root", "x").alias("root")))
     least = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = merged.select("x", "root").join(least, "root").select("x", "component_id")
-    return hashed.join(named, "x").select("doc_id", F.lower(F.lpad(F.hex("x"), 16, "0")).alias("fingerprint"), "component_id")
+    named = checkpointed(join_hot(merged.select("x", "root"), least, "root").select("x", "component_id"))
+    return join_hot(hashed, named, "x").select("doc_id", F.lower(F.lpad(F.hex("x"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 4) -> DataFrame:
     """One row of each group of near-duplicates: that with the least doc_id.
 
-    Linked are texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``. The search
-    is complete and each link is verified on the sets (similar.py); ``seed`` has no bearing on it.
+    Linked are texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``. SimHash
+    fingerprints of the sets within ``bits`` propose links, each link is verified on the sets, and what is
+    not yet in one group is searched completely (similar.py), so ``bits`` has no bearing on the result.
     Of rows with one doc_id the first by text, then any, stays. Groups in which no row has a doc_id keep
     one row too. Texts without words are alike. The columns of ``docs`` are returned unchanged.
     """
     p, q = Fraction(str(similarity)).as_integer_ratio()
-    code, root, nth = (free_name(docs, c) for c in ("code", "root", "nth"))
+    code, root, nth, stays_id, stays_code = (free_name(docs, c) for c in ("code", "root", "nth", "stays_id", "stays_code"))
     coded = docs.withColumn(code, F.xxhash64(F.col("text").cast("string")))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("code", F.xxhash64("text"))
     common = similar.common_shingles(texts, "code", shingle)
     rows = checkpointed(similar.described(texts, shingle, common, p, q))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("code").alias("code")))
-    nodes = checkpointed(rows.groupBy("node").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "parity", "narrow"))))
-    found = checkpointed(similar.similar_groups(texts, rows, nodes, common, shingle, similarity).withColumnRenamed("node", "linked"))
+    nodes = checkpointed(rows.groupBy("node").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "x", "parity", "narrow"))))
+    proposed = links(nodes.select("node", "x"), bits)
+    found = similar.similar_groups(texts, rows, nodes, common, shingle, similarity, proposed).withColumnRenamed("node", "linked")
     merged = nodes.join(found, F.col("node") == F.col("linked"), "left").select(F.coalesce("root", "node").alias(root), "best")
-    stays = merged.groupBy(root).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("stays_id"), F.col("best.code").alias("stays_code"))
-    kept = coded.join(stays, (F.col(code) == F.col("stays_code")) & F.col("doc_id").eqNullSafe(F.col("stays_id")), "left_semi")
+    stays = merged.groupBy(root).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias(stays_id), F.col("best.code").alias(stays_code))
+    kept = coded.join(stays, (F.col(code) == F.col(stays_code)) & F.col("doc_id").eqNullSafe(F.col(stays_id)), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", code).orderBy(F.lit(0)))
-    return kept.withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
+    return kept.withColumn(nth, first).filter(F.col(quoted(nth)) == 1).select(*own_columns(docs))

@@ -4,10 +4,12 @@ Two sets of at least the given similarity share one of the first few shingles of
 all shingles (prefix filter), so pairs that share such a shingle are all that need be looked at. The order
 is by hash, with shingles that many texts have behind all others. Exact but for 64-bit hashes.
 
-Pairs are taken in turns. First each text is held against one earlier text of its groups, which joins dense
-families with few tests, then against one of those that it is still apart from; then all pairs that are still
-apart. Two bounds, by size and by bits that tell the parity of the number of shingles in each of many classes,
-discard pairs that cannot be similar enough.
+Pairs are taken in turns, and no turn makes more pairs than there are texts in groups. First come links that
+fingerprints propose and the pair of each text with one earlier text of its groups, which joins dense families with
+few tests. Then, ROUNDS times, each text takes the likeliest partner among those of its groups that it is still
+apart from. At last, texts that still have a possible partner they are apart from meet in their groups with
+their whole sets, and what is similar is joined there. Two bounds, by size and by bits that tell the parity of
+the number of shingles in each of many classes, discard pairs that cannot be similar enough.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import roots
-from .tables import checkpointed, partitions
-from .texts import Rolling, cuts, mix, space_table, text_buffers, word_bounds, word_codes
+from .tables import checkpointed, join_hot, partitions
+from .texts import Rolling, cuts, majority, mix, space_table, text_buffers, word_bounds, word_codes
 
 #: Texts whose shingles tell which are common, how many of these must have one, and the most that are told apart.
 SAMPLE, COMMON, MOST_COMMON = 4_000, 8, 50_000
 #: Bits of parity, and of those that groups are searched with: the former laid over one another.
 PARITY, NARROW = 4096, 512
 #: Texts of one group that are held against as many others at once; larger groups are cut into such blocks.
-BLOCK = 1024
+BLOCK = 4096
+#: Turns in which each text takes one partner.
+ROUNDS = 2
 #: Groups for each shuffle partition.
 BUCKETS = 8
 #: Bits of the filter on texts that are read again.
@@ -112,7 +116,7 @@ def nodes_of(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def described(texts: DataFrame, shingle: int, common: np.ndarray, p: int, q: int) -> DataFrame:
-    """doc_id, code of each row (doc_id, text, code) with node (which set it has), n, parity, and the prefix."""
+    """doc_id, code of each row (doc_id, text, code) with node (which set it has), n, fingerprint x, parities, and the prefix."""
 
     def tasks(batches):
         for batch in batches:
@@ -125,14 +129,16 @@ def described(texts: DataFrame, shingle: int, common: np.ndarray, p: int, q: int
                 prefix = values[rank < np.repeat(early, n)].view(np.int64)
                 bits = parities(values, at)
                 narrow = np.bitwise_xor.reduce(bits.reshape(-1, PARITY // NARROW, NARROW // 8), axis=1)
+                x = np.zeros(len(n), np.uint64)
+                x[n > 0] = majority(values, at[:-1][n > 0], n[n > 0])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(early)].astype(np.int32)), pa.array(prefix))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(nodes_of(values, at)), pa.array(n), _binary(bits.ravel(), np.arange(j - i + 1) * (PARITY // 8)), _binary(narrow.ravel(), np.arange(j - i + 1) * (NARROW // 8)), lists],
-                    names=["doc_id", "code", "node", "n", "parity", "narrow", "prefix"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(nodes_of(values, at)), pa.array(n), pa.array(x.view(np.int64)), _binary(bits.ravel(), np.arange(j - i + 1) * (PARITY // 8)), _binary(narrow.ravel(), np.arange(j - i + 1) * (NARROW // 8)), lists],
+                    names=["doc_id", "code", "node", "n", "x", "parity", "narrow", "prefix"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", "code").mapInArrow(tasks, f"doc_id {kind}, code bigint, node bigint, n bigint, parity binary, narrow binary, prefix array<bigint>")
+    return texts.select("doc_id", "text", "code").mapInArrow(tasks, f"doc_id {kind}, code bigint, node bigint, n bigint, x bigint, parity binary, narrow binary, prefix array<bigint>")
 
 
 def _groups(entries: DataFrame, common: list[int]) -> DataFrame:
@@ -159,41 +165,46 @@ def _groups(entries: DataFrame, common: list[int]) -> DataFrame:
     return few.unionByName(many.join(F.broadcast(least), "token").select("token", "node", "pivot"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are at least p / q similar. Only texts of these nodes are read again."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(nodes.select("node", F.col("best.code").alias("code")), "node")
+def sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes (distinct); only their texts are split again."""
+    wanted = wanted.join(nodes.select("node", F.col("best.code").alias("code")), "node")
     slot = F.pmod("code", F.lit(FILTER_BITS))
+    # as many bits as the filter has, whatever the number of rows
     parts = wanted.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect()
     member = np.zeros(FILTER_BITS // 8, np.uint8)
     for part in parts:
         member[part["part"] * 4096 : (part["part"] + 1) * 4096] = np.frombuffer(part["bits"], np.uint8)
 
     def tasks(batches):
-        seen = set()
         for batch in batches:
             code = batch.column(1).to_numpy(zero_copy_only=False)
             k = code % FILTER_BITS
-            some = [r for r in np.flatnonzero(member[k >> 3] >> (k & 7).astype(np.uint8) & 1).tolist() if code[r] not in seen and not seen.add(code[r])]
-            if not some:
+            some = np.flatnonzero(member[k >> 3] >> (k & 7).astype(np.uint8) & 1)
+            some = some[np.unique(code[some], return_index=True)[1]]
+            if not len(some):
                 continue
-            batch = batch.take(pa.array(some))
-            data, offsets = text_buffers(batch.column(0))
+            data, offsets = text_buffers(batch.column(0).take(pa.array(some)))
             for i, j in cuts(offsets, 1 << 18):
                 values, at = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, np.zeros(0, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_of(values, at)), _binary(values, at)], names=["node", "shingles"])
 
     found = texts.select("text", "code").mapInArrow(tasks, "node bigint, shingles binary")
-    sets = found.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    both = pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "of_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "of_a"}), "a")
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def similar_sets(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared * q >= (len(x) + len(y) - shared) * p
+
+
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are at least p / q similar."""
+    found = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, nodes, shingle)
+    both = pairs.join(found.withColumnsRenamed({"node": "b", "shingles": "of_b"}), "b").join(found.withColumnsRenamed({"node": "a", "shingles": "of_a"}), "a")
 
     def judge(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared * q >= (len(x) + len(y) - shared) * p)
+            keep = [similar_sets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p, q) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return checkpointed(both.select("a", "b", "of_a", "of_b").mapInArrow(judge, "a bigint, b bigint"))
@@ -221,57 +232,115 @@ def _one_each(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different groups."""
-    pairs = pairs.join(joined.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-    pairs = pairs.join(joined.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "differ")
-
-
-def _rest(groups: DataFrame, nodes: DataFrame, joined: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs of groups that are still apart and that the bounds do not discard; large groups are dealt as pairs of blocks."""
+def _cells(groups: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(bucket, cell, node, root, n, narrow) of groups whose texts are not all joined; large groups are dealt as pairs of blocks."""
     buckets = BUCKETS * partitions(groups.sparkSession)
-    rooted = groups.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    rooted = checkpointed(groups.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")))
     apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
     apart = apart.filter("low < high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    dealt = rooted.join(apart, "token").select("token", "node", "root", "blocks", own)
+    dealt = join_hot(rooted, apart, "token").select("token", "node", "root", "blocks", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select("node", "root", "own", cell.alias("cell")).join(nodes.select("node", "n", "narrow"), "node")
-    dealt = dealt.withColumn("bucket", F.pmod("cell", F.lit(buckets)).cast("int"))
+    dealt = dealt.select("node", "root", cell.alias("cell")).join(nodes.select("node", "n", "narrow"), "node")
+    return dealt.withColumn("bucket", F.pmod("cell", F.lit(buckets)).cast("int"))
+
+
+def possible_pairs(cell: np.ndarray, root: np.ndarray, n: np.ndarray, lanes: np.ndarray, p: int, q: int):
+    """(i, j, differing parities) of places in one cell with different roots that the bounds do not discard; cell is sorted.
+
+    All pairs at one distance at a time, in all cells at once.
+    """
+    at, step = np.arange(len(cell)), 1
+    while True:
+        at = at[: np.searchsorted(at, len(cell) - step)]
+        at = at[cell[at] == cell[at + step]]
+        if not len(at):
+            return
+        i = at[root[at] != root[at + step]]
+        na, nb = n[i], n[i + step]
+        fit = np.minimum(na, nb) * q >= np.maximum(na, nb) * p
+        i, room = i[fit], ((na + nb) * (q - p))[fit]
+        differ = np.bitwise_count(lanes[i] ^ lanes[i + step]).sum(axis=1, dtype=np.int64)
+        fit = differ * (p + q) <= room
+        if fit.any():
+            yield i[fit], i[fit] + step, differ[fit]
+        step += 1
+
+
+def _sorted(frame: pd.DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
+    frame = frame.sort_values(["cell", "node"], kind="stable")
+    return (*(frame[c].to_numpy() for c in columns), frame)
+
+
+def partners(cells: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): for each text of a cell the likeliest of its possible partners, if it has any."""
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["cell", "own"], kind="stable")
-        cell, own, node, root, n = (frame[c].to_numpy() for c in ("cell", "own", "node", "root", "n"))
-        lanes = _lanes(frame["narrow"].tolist(), NARROW)
-        at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
-        out = [np.zeros((0, 2), np.int64)]
-        for i, j in zip(at.tolist(), np.r_[at[1:], len(cell)].tolist()):
-            two = own[i] != own[j - 1]
-            for k in range(i, j if not two else i + int(np.searchsorted(own[i:j], own[i], "right"))):
-                start = k + 1 if not two else i + int(np.searchsorted(own[i:j], own[i], "right"))
-                m = start + np.flatnonzero(root[start:j] != root[k])
-                m = m[possible(n[m], n[k], lanes[m], lanes[k], p, q)]
-                if len(m):
-                    out.append(np.stack([np.minimum(node[m], node[k]), np.maximum(node[m], node[k])], axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
-
-    return dealt.groupBy("bucket").applyInPandas(task, "a bigint, b bigint").distinct()
-
-
-def similar_groups(texts: DataFrame, rows: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of all nodes that are linked to another, over links of at least the similarity."""
+        cell, node, root, n, frame = _sorted(frame, "cell", "node", "root", "n")
+        best, other = np.full(len(cell), np.iinfo(np.int64).max), np.zeros(len(cell), np.int64)
+        for i, j, differ in possible_pairs(cell, root, n, _lanes(frame["narrow"].tolist(), NARROW), p, q):
+            for x, y in ((i, j), (j, i)):
+                better = differ < best[x]
+                best[x[better]], other[x[better]] = differ[better], node[y[better]]
+        some = best < np.iinfo(np.int64).max
+        a, b = np.minimum(node[some], other[some]), np.maximum(node[some], other[some])
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    return cells.groupBy("bucket").applyInPandas(task, "a bigint, b bigint").distinct()
+
+
+def remaining(cells: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """Links (a, b) that join all similar texts of a cell which are still apart, verified on the sets."""
+
+    def open_(frame: pd.DataFrame) -> pd.DataFrame:
+        cell, node, root, n, frame = _sorted(frame, "cell", "node", "root", "n")
+        some = np.zeros(len(cell), bool)
+        for i, j, _ in possible_pairs(cell, root, n, _lanes(frame["narrow"].tolist(), NARROW), p, q):
+            some[i] = some[j] = True
+        return frame.loc[some, ["bucket", "cell", "node", "root"]]
+
+    active = checkpointed(cells.groupBy("bucket").applyInPandas(open_, "bucket int, cell bigint, node bigint, root bigint"))
+    whole = active.join(sets(active.select("node").distinct(), texts, nodes, shingle), "node")
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        cell, node, root, frame = _sorted(frame, "cell", "node", "root")
+        held = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        size = np.array([len(x) for x in held])
+        lanes = parities(np.concatenate([np.zeros(0, np.uint64), *held]), np.r_[0, np.cumsum(size)]).view(np.uint64)
+        found, of = [np.zeros((0, 2), np.int64)], dict(zip(root.tolist(), root.tolist()))
+
+        def top(r: int) -> int:
+            while of[r] != r:
+                of[r] = r = of[of[r]]
+            return r
+
+        for i, j, _ in possible_pairs(cell, root, size, lanes, p, q):
+            for x, y in zip(i.tolist(), j.tolist()):
+                one, two = top(root[x]), top(root[y])
+                if one != two and similar_sets(held[x], held[y], p, q):
+                    of[max(one, two)] = min(one, two)
+                    found.append(node[[[x, y]]])
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"]).drop_duplicates()
+
+    return whole.groupBy("bucket").applyInPandas(join, "a bigint, b bigint")
+
+
+def similar_groups(texts: DataFrame, rows: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: int, similarity: float, proposed: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that are linked to another, over links of at least the similarity.
+
+    ``proposed`` has pairs (a, b) to be looked at first; the result does not depend on them.
+    """
     p, q = Fraction(str(similarity)).as_integer_ratio()
     entries = rows.select(F.explode("prefix").alias("token"), "node")
     groups = checkpointed(_groups(entries, common.view(np.int64).tolist()))
     stars = groups.filter("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    near = _near(checkpointed(_near(stars, nodes, p, q, narrow=True)), nodes, p, q)
-    first = checkpointed(_one_each(near))
+    stars = _one_each(_near(checkpointed(_near(stars, nodes, p, q, narrow=True)), nodes, p, q))
+    first = checkpointed(stars.unionByName(_near(proposed, nodes, p, q).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sure = verified(first, texts, nodes, shingle, p, q)
-    joined = checkpointed(roots(sure))
-    rest = checkpointed(_near(checkpointed(_rest(groups, nodes, joined, p, q)), nodes, p, q).join(first, ["a", "b"], "left_anti"))
-    second = checkpointed(_one_each(rest))
-    sure = checkpointed(sure.unionByName(verified(second, texts, nodes, shingle, p, q)))
-    third = checkpointed(_apart(rest.join(second, ["a", "b"], "left_anti"), checkpointed(roots(sure))).select("a", "b"))
-    return roots(sure.unionByName(verified(third, texts, nodes, shingle, p, q)))
+    for _ in range(ROUNDS):
+        cells = _cells(groups, nodes, checkpointed(roots(sure)))
+        likely = checkpointed(_near(partners(cells, p, q), nodes, p, q).select("a", "b"))
+        sure = checkpointed(sure.unionByName(verified(likely, texts, nodes, shingle, p, q)))
+    cells = _cells(groups, nodes, checkpointed(roots(sure)))
+    return roots(sure.unionByName(remaining(cells, texts, nodes, shingle, p, q)))

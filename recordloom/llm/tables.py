@@ -13,10 +13,13 @@ from pyspark.sql import types as T
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame with its lineage cut, in the shared folder that spark.checkpoint.dir names.
 
-    Where the setting is missing (a local session), a folder of this machine is set.
+    Where the setting is missing, a folder of this machine is set if all of Spark runs on it; on a cluster that is an
+    error, as other machines would not see the files.
     """
     context = frame.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "recordloom-checkpoints"))
     return frame.checkpoint()
 
@@ -34,6 +37,29 @@ def free_name(frame: DataFrame, stem: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression that means this column, dots and back-quotes included."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def own_columns(frame: DataFrame) -> list[str]:
+    """The columns of a frame as expressions."""
+    return [quoted(c) for c in frame.columns]
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """``rows`` (stored, read twice) joined with ``lookup``, which has one row for each value of ``key`` that rows have.
+
+    A value that more than 1 / ``parts`` of all rows have would fill one task; there are at most ``parts`` of them,
+    so what lookup says of these is broadcast.
+    """
+    bound = rows.count() / parts
+    hot = rows.groupBy(key).count().filter(F.col("count") > F.lit(bound)).select(key)
+    known = checkpointed(lookup.join(F.broadcast(hot), key))
+    rest = rows.join(F.broadcast(known.select(key)), key, "left_anti").join(lookup, key)
+    return rest.unionByName(rows.join(F.broadcast(known), key))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

@@ -158,6 +158,29 @@ def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
     return True
 
 
+def bit_counts(hashes: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in the hashes of each row: hashes[at[r] : at[r] + count[r]].
+
+    Eight counters of a byte stand side by side in 64 bits, so rows are summed in parts of 255 at most.
+    """
+    parts = -(-count // 255)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(at, parts) + 255 * nth
+    out = np.zeros((len(at), 8, 8), np.int64)
+    first = np.cumsum(parts) - parts
+    for k in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), begin)
+        out[:, :, k] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+    return out.reshape(len(at), 64)
+
+
+def majority(hashes: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each row (of one hash or more): the bits that are set in over half of its hashes."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    return np.packbits(2 * bit_counts(hashes, at, count) > count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def xxh64_long(values: np.ndarray) -> np.ndarray:
     """What Spark's xxhash64 gives for bigint values (XXH64 of eight bytes, seed 42)."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))

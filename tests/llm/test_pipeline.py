@@ -6,28 +6,9 @@ import corpus_pipeline
 from recordloom.llm.rules import judge
 from tests.llm.test_decontamination import by_hand as contaminated_by_hand
 from tests.llm.test_pii import by_hand as spans_by_hand
+from tests.llm.test_similar import stay
 from tests.llm.test_simhash import shingles
 
-
-
-def alone_by_hand(rows):
-    """What stays of wide fingerprints' groups: brute force over all pairs of fingerprints."""
-    import numpy as np
-    import pyarrow as pa
-
-    from recordloom.llm.simhash import LANE_BITS, LANES, distances, fingerprints_of
-    from recordloom.llm.texts import text_buffers
-
-    rows = sorted(rows)
-    x = fingerprints_of(*text_buffers(pa.array([r[1] for r in rows])), 5, 42, LANES)
-    root = np.arange(len(rows))
-    for i in range(len(rows)):
-        for j in np.flatnonzero(distances(x, x[i]) <= LANE_BITS):
-            a, b = root[i], root[j]
-            root[root == max(a, b)] = min(a, b)
-    return {rows[k][0] for k in set(root.tolist())}
-
-
 FUNCTIONS = dict(corpus_pipeline.STAGES)
 
 
@@ -44,7 +25,7 @@ def test_stages_in_order(spark, sf_dir):
     single = FUNCTIONS["near_dedup"](spark, docs, sf_dir)
     assert single.columns == columns
     before, rows = rows, [tuple(r) for r in single.collect()]
-    assert {r[0] for r in rows} == alone_by_hand(before)
+    assert {r[0] for r in rows} == stay([r[:2] for r in before])
     assert len({frozenset(shingles(r[1])) for r in rows}) == len(rows)
 
     docs = spark.createDataFrame(rows, kept.schema)

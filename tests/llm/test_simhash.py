@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
+from recordloom.llm import simhash
 from recordloom.llm.components import roots
 from recordloom.llm.simhash import cell_links, drop_near_duplicates, near_duplicates
 
@@ -66,6 +68,7 @@ def near_copies():
 def test_near_copies_and_edges(spark):
     rows = near_copies()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, x string, root int").repartition(3)
+    docs = docs.withColumnsRenamed({"x": "a.b", "root": "stays_id"})
     want = by_hand(rows, 4, 4)
     assert sorted(map(tuple, near_duplicates(docs, shingle=4).collect()), key=str) == want
     kept = drop_near_duplicates(docs, shingle=4)
@@ -80,10 +83,10 @@ def test_cell_links_connect_all():
     rng = np.random.default_rng(1)
     x = np.r_[rng.integers(0, 1 << 63, 30), (np.uint64(1) << rng.integers(0, 60, 200).astype(np.uint64)) | (np.uint64(1) << rng.integers(0, 60, 200).astype(np.uint64))].astype(np.uint64)
     x = np.unique(x)
-    cell = np.r_[np.zeros(20, np.int64), np.ones(len(x) - 20, np.int64)]
-    left, right = cell_links(cell, x[:, None], 4)
-    assert all(int(x[a] ^ x[b]).bit_count() <= 4 and cell[a] == cell[b] for a, b in zip(left, right))
-    for c in (0, 1):
+    cell = np.r_[np.zeros(20, np.int64), np.ones(len(x) - 21, np.int64), [7]]
+    left, right = cell_links(cell, x, 4)
+    assert all(int(x[a] ^ x[b]).bit_count() <= 4 and cell[a] == cell[b] for a, b in zip(left, right)) and len(left) < len(x)
+    for c in (0, 1, 7):
         mine, of = x[cell == c].tolist(), {}
         for v in mine:
             of[v] = v
@@ -92,6 +95,36 @@ def test_cell_links_connect_all():
                 p, q = of[int(x[a])], of[int(x[b])]
                 of = {k: min(p, q) if v in (p, q) else v for k, v in of.items()}
         assert of == groups(mine, 4)
+    assert len(cell_links(cell[:0], x[:0], 4)[0]) == 0
+
+
+@pytest.mark.parametrize(("agree", "block"), [(2, 7), (3, 4096), (4, 50)])
+def test_cells_in_blocks_and_of_more_parts(spark, monkeypatch, agree, block):
+    """Any number of agreeing blocks, and cells dealt as pairs of blocks, give the same components."""
+    monkeypatch.setattr(simhash, "MOST_BLOCKED", 1 << 40)
+    rng = random.Random(agree)
+    x = {rng.getrandbits(64) for _ in range(300)}
+    for v in list(x)[:60]:
+        for _ in range(6):
+            x.add(v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))))
+    x |= {sum(1 << b for b in rng.sample(range(40, 52), 3)) for _ in range(150)}
+    nodes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in x], "x bigint").selectExpr("x", "x AS node").repartition(3)
+    found = {r.node % (1 << 64): r.root % (1 << 64) for r in roots(simhash.links(nodes, 4, agree, block)).collect()}
+    want, got = groups(x, 4), {}
+    for v in x:
+        got.setdefault(found.get(v, v), set()).add(v)
+    parts: dict = {}
+    for v in x:
+        parts.setdefault(want[v], set()).add(v)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, parts.values()))
+
+
+def test_most_rows_in_one_component(spark):
+    """One text that half of all rows have, and near copies of it."""
+    rows = near_copies()
+    rows += [(1000 + i, rows[0][1]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert sorted(map(tuple, near_duplicates(docs, shingle=4).collect()), key=str) == by_hand(rows, 4, 4)
 
 
 def test_components(spark):
