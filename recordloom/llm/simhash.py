@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import similar
 from .components import roots
-from .tables import checkpointed, free_name, join_hot, own_columns, partitions, quoted, with_fields
+from .tables import checkpointed, free_name, join_hot, own_columns, partitions, quoted, stored, with_fields
 from .texts import MULTIPLIER, cuts, majority, mix, space_table, text_buffers, word_bounds
 
 #: Groups of cells for each shuffle partition: several small ones even out what a task gets and holds.
@@ -206,9 +206,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     coded = docs.withColumn(code, F.xxhash64(F.col("text").cast("string")))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("code", F.xxhash64("text"))
     common = similar.common_shingles(texts, "code", shingle)
-    rows = checkpointed(similar.described(texts, shingle, common, p, q))
+    rows = stored(similar.described(texts, shingle, common, p, q))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("code").alias("code")))
-    nodes = checkpointed(rows.groupBy("node").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "x", "parity", "narrow"))))
+    nodes = stored(rows.groupBy("node").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "x", "parity", "narrow"))))
     proposed = links(nodes.select("node", "x"), bits)
     found = similar.similar_groups(texts, rows, nodes, common, shingle, similarity, proposed).withColumnRenamed("node", "linked")
     merged = nodes.join(found, F.col("node") == F.col("linked"), "left").select(F.coalesce("root", "node").alias(root), "best")

@@ -2,18 +2,19 @@
 
 Two sets of at least the given similarity share one of the first few shingles of each, in any one order of
 all shingles (prefix filter), so pairs that share such a shingle are all that need be looked at. The order
-is by hash, with shingles that many texts have behind all others. Exact but for 64-bit hashes.
+is by hash, with shingles that many texts have behind all others. As it is random, the first SURE shingles will do
+where most are not such: that they miss a pair is less likely than MISSED, and than a clash of two 64-bit hashes.
 
-Pairs are taken in turns, and no turn makes more pairs than there are texts in groups. First come links that
-fingerprints propose and the pair of each text with one earlier text of its groups, which joins dense families with
-few tests. Then, ROUNDS times, each text takes the likeliest partner among those of its groups that it is still
-apart from. At last, texts that still have a possible partner they are apart from meet in their groups with
+Pairs are taken in turns, and no turn makes more pairs than there are texts in groups. First come the links that
+fingerprints propose. Then, ROUNDS times, each text takes the likeliest partner among those of its groups that it
+is apart from. At last, texts that still have a possible partner they are apart from meet in their groups with
 their whole sets, and what is similar is joined there. Two bounds, by size and by bits that tell the parity of
 the number of shingles in each of many classes, discard pairs that cannot be similar enough.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import roots
-from .tables import checkpointed, join_hot, partitions
+from .tables import join_hot, partitions, stored
 from .texts import Rolling, cuts, majority, mix, space_table, text_buffers, word_bounds, word_codes
 
 #: Texts whose shingles tell which are common, how many of these must have one, and the most that are told apart.
@@ -33,21 +34,23 @@ PARITY, NARROW = 4096, 512
 #: Texts of one group that are held against as many others at once; larger groups are cut into such blocks.
 BLOCK = 4096
 #: Turns in which each text takes one partner.
-ROUNDS = 2
+ROUNDS = 1
+#: The least share of shingles that are not common for a shorter prefix, and the chance to miss a pair by it.
+RARE, MISSED = 0.6, 1e-18
 #: Groups for each shuffle partition.
 BUCKETS = 8
 #: Bits of the filter on texts that are read again.
 FILTER_BITS = 1 << 24
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text of a cut, in the order of the prefix filter, and the n + 1 bounds."""
+def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text of a cut, in the order of the prefix filter, the n + 1 bounds, and how many are not common."""
     table = np.arange(256, dtype=np.uint8)
     table[0x41:0x5B] += 0x20
     data, n = table[data], len(offsets) - 1
     starts, ends, row = word_bounds(data, offsets, space_table())
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
     bounds = np.searchsorted(row, np.arange(n + 1))
     count = np.diff(bounds)
     shingles = np.where(count > 0, np.maximum(count - shingle + 1, 1), 0)
@@ -58,10 +61,10 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int, common: np.ndar
     if len(common):
         late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
     order = np.lexsort((hashes, late, of))
-    hashes, of = hashes[order], of[order]
+    hashes, of, late = hashes[order], of[order], late[order]
     once = np.r_[True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])]
-    hashes, of = hashes[once], of[once]
-    return hashes, np.searchsorted(of, np.arange(n + 1))
+    hashes, of, late = hashes[once], of[once], late[once]
+    return hashes, np.searchsorted(of, np.arange(n + 1)), np.bincount(of[~late], minlength=n)
 
 
 def parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -76,9 +79,17 @@ def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * raw.itemsize).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def _prefix(n, p: int, q: int):
-    """How many of n shingles come first: n - ceil(n p / q) + 1."""
-    return n - -(-n * p // q) + 1
+def prefix_size(n: np.ndarray, rare: np.ndarray, p: int, q: int) -> np.ndarray:
+    """How many of n shingles (``rare`` not common) come first: n - ceil(n p / q) + 1, or fewer where that many are sure enough.
+
+    Two similar sets differ in at most n (q - p) / p shingles of their union, so of RARE n that are not common at most
+    the share ``odd``; each of the first ones, taken by hash, is a shared one but for that chance.
+    """
+    size = np.where(n > 0, n - -(-n * p // q) + 1, 0)
+    odd = (q - p) / p / RARE
+    if odd >= 1:
+        return size
+    return np.where(rare >= RARE * n, np.minimum(size, math.ceil(math.log(MISSED) / math.log(odd))), size)
 
 
 def possible(na, nb, bits_a: np.ndarray, bits_b: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -122,9 +133,9 @@ def described(texts: DataFrame, shingle: int, common: np.ndarray, p: int, q: int
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in cuts(offsets, 1 << 18):
-                values, at = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, common)
+                values, at, rare = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, common)
                 n = np.diff(at)
-                early = np.where(n > 0, _prefix(n, p, q), 0)
+                early = prefix_size(n, rare, p, q)
                 rank = np.arange(len(values)) - np.repeat(at[:-1], n)
                 prefix = values[rank < np.repeat(early, n)].view(np.int64)
                 bits = parities(values, at)
@@ -142,7 +153,7 @@ def described(texts: DataFrame, shingle: int, common: np.ndarray, p: int, q: int
 
 
 def _groups(entries: DataFrame, common: list[int]) -> DataFrame:
-    """(token, node, pivot) of the shingles that several nodes have in their prefix; pivot is the least of these nodes."""
+    """(token, node) of the shingles that several nodes have in their prefix."""
     buckets = BUCKETS * partitions(entries.sparkSession)
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
@@ -154,15 +165,13 @@ def _groups(entries: DataFrame, common: list[int]) -> DataFrame:
         at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
         size = np.diff(np.r_[at, len(token)])
         several = np.repeat(size > 1, size)
-        return pd.DataFrame({"token": token[several], "node": node[several], "pivot": np.repeat(node[at], size)[several]})
+        return pd.DataFrame({"token": token[several], "node": node[several]})
 
     spark = entries.sparkSession
     marked = F.broadcast(spark.createDataFrame([(t,) for t in common], "token bigint"))
     few = entries.join(marked, "token", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-    few = few.groupBy("bucket").applyInPandas(task, "token bigint, node bigint, pivot bigint")
-    many = checkpointed(entries.join(marked, "token", "left_semi").distinct())
-    least = many.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most").drop("most")
-    return few.unionByName(many.join(F.broadcast(least), "token").select("token", "node", "pivot"))
+    few = few.groupBy("bucket").applyInPandas(task, "token bigint, node bigint")
+    return few.unionByName(entries.join(marked, "token", "left_semi").distinct())
 
 
 def sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -185,7 +194,7 @@ def sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) ->
                 continue
             data, offsets = text_buffers(batch.column(0).take(pa.array(some)))
             for i, j in cuts(offsets, 1 << 18):
-                values, at = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, np.zeros(0, np.uint64))
+                values, at, _ = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, np.zeros(0, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_of(values, at)), _binary(values, at)], names=["node", "shingles"])
 
     found = texts.select("text", "code").mapInArrow(tasks, "node bigint, shingles binary")
@@ -207,35 +216,27 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int,
             keep = [similar_sets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p, q) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return checkpointed(both.select("a", "b", "of_a", "of_b").mapInArrow(judge, "a bigint, b bigint"))
+    return stored(both.select("a", "b", "of_a", "of_b").mapInArrow(judge, "a bigint, b bigint"))
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, p: int, q: int, narrow: bool = False) -> DataFrame:
-    """Pairs (a, b) that the bounds do not discard, with the number of parities that differ."""
-    column, width = ("narrow", NARROW) if narrow else ("parity", PARITY)
-    a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(f"p{c}")) for c in "ab")
+def _near(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) that the bounds do not discard."""
+    a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in "ab")
 
     def tasks(batches):
         for batch in batches:
             if batch.num_rows:
                 na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-                x, y = (_lanes(batch.column(c).to_pylist(), width) for c in ("pa", "pb"))
-                differ = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
-                fit = pa.array(possible(na, nb, x, y, p, q))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), differ], names=["a", "b", "differ"]).filter(fit)
-
-    return pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(tasks, "a bigint, b bigint, differ bigint")
+                x, y = (_lanes(batch.column(c).to_pylist(), PARITY) for c in ("pa", "pb"))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(possible(na, nb, x, y, p, q)))
 
-
-def _one_each(pairs: DataFrame) -> DataFrame:
-    """Of each b the pair that is likely to be most similar."""
-    return pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
+    return pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(tasks, "a bigint, b bigint")
 
 
 def _cells(groups: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame:
     """(bucket, cell, node, root, n, narrow) of groups whose texts are not all joined; large groups are dealt as pairs of blocks."""
     buckets = BUCKETS * partitions(groups.sparkSession)
-    rooted = checkpointed(groups.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")))
+    rooted = stored(groups.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")))
     apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
     apart = apart.filter("low < high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
@@ -293,14 +294,19 @@ def partners(cells: DataFrame, p: int, q: int) -> DataFrame:
 def remaining(cells: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     """Links (a, b) that join all similar texts of a cell which are still apart, verified on the sets."""
 
-    def open_(frame: pd.DataFrame) -> pd.DataFrame:
-        cell, node, root, n, frame = _sorted(frame, "cell", "node", "root", "n")
-        some = np.zeros(len(cell), bool)
-        for i, j, _ in possible_pairs(cell, root, n, _lanes(frame["narrow"].tolist(), NARROW), p, q):
-            some[i] = some[j] = True
-        return frame.loc[some, ["bucket", "cell", "node", "root"]]
+    def open_by(column: str, width: int):
+        def task(frame: pd.DataFrame) -> pd.DataFrame:
+            cell, node, root, n, frame = _sorted(frame, "cell", "node", "root", "n")
+            some = np.zeros(len(cell), bool)
+            for i, j, _ in possible_pairs(cell, root, n, _lanes(frame[column].tolist(), width), p, q):
+                some[i] = some[j] = True
+            return frame.loc[some, ["bucket", "cell", "node", "root", "n"]]
+
+        return task
 
-    active = checkpointed(cells.groupBy("bucket").applyInPandas(open_, "bucket int, cell bigint, node bigint, root bigint"))
+    kinds = "bucket int, cell bigint, node bigint, root bigint, n bigint"
+    active = cells.groupBy("bucket").applyInPandas(open_by("narrow", NARROW), kinds)
+    active = stored(active.join(nodes.select("node", "parity"), "node").groupBy("bucket").applyInPandas(open_by("parity", PARITY), kinds))
     whole = active.join(sets(active.select("node").distinct(), texts, nodes, shingle), "node")
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
@@ -333,14 +339,11 @@ def similar_groups(texts: DataFrame, rows: DataFrame, nodes: DataFrame, common:
     """
     p, q = Fraction(str(similarity)).as_integer_ratio()
     entries = rows.select(F.explode("prefix").alias("token"), "node")
-    groups = checkpointed(_groups(entries, common.view(np.int64).tolist()))
-    stars = groups.filter("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = _one_each(_near(checkpointed(_near(stars, nodes, p, q, narrow=True)), nodes, p, q))
-    first = checkpointed(stars.unionByName(_near(proposed, nodes, p, q).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sure = verified(first, texts, nodes, shingle, p, q)
+    groups = stored(_groups(entries, common.view(np.int64).tolist()))
+    pairs = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sure = verified(stored(_near(pairs, nodes, p, q)), texts, nodes, shingle, p, q)
     for _ in range(ROUNDS):
-        cells = _cells(groups, nodes, checkpointed(roots(sure)))
-        likely = checkpointed(_near(partners(cells, p, q), nodes, p, q).select("a", "b"))
-        sure = checkpointed(sure.unionByName(verified(likely, texts, nodes, shingle, p, q)))
-    cells = _cells(groups, nodes, checkpointed(roots(sure)))
+        likely = stored(_near(partners(_cells(groups, nodes, stored(roots(sure))), p, q), nodes, p, q))
+        sure = sure.unionByName(verified(likely, texts, nodes, shingle, p, q))
+    cells = _cells(groups, nodes, stored(roots(sure)))
     return roots(sure.unionByName(remaining(cells, texts, nodes, shingle, p, q)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,26 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     Where the setting is missing, a folder of this machine is set if all of Spark runs on it; on a cluster that is an
     error, as other machines would not see the files.
     """
-    context = frame.sparkSession.sparkContext
+    _folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame written as a compressed table in the folder of checkpointed(), and read again."""
+    path = f"{_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "recordloom-checkpoints"))
-    return frame.checkpoint()
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
+    return context.getCheckpointDir()
 
 
 def partitions(spark: SparkSession) -> int:
