@@ -32,7 +32,7 @@ SAMPLE, COMMON, MOST_COMMON = 4_000, 8, 50_000
 #: Bits of parity, and of those that groups are searched with: the former laid over one another.
 PARITY, NARROW = 4096, 512
 #: Texts of one group that are held against as many others at once; larger groups are cut into such blocks.
-BLOCK = 4096
+BLOCK = 1024
 #: Turns in which each text takes one partner.
 ROUNDS = 1
 #: The least share of shingles that are not common for a shorter prefix, and the chance to miss a pair by it.
