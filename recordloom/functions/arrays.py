@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,9 +115,19 @@ def to_type(a: Column, dtype: str) -> Column:
     return F.transform(doubles(a), cast)
 
 
-def standardise(a: Column, mean_: float, std_: float, max_value: float = 1.0) -> Column:
-    """(x - mean * max_value) / (std * max_value)."""
-    return F.transform(doubles(a), lambda x: (x - F.lit(mean_ * max_value)) / F.lit(std_ * max_value))
+def standardise(a: Column, mean_: float | Sequence[float], std_: float | Sequence[float], max_value: float = 1.0) -> Column:
+    """(x - mean * max_value) / (std * max_value); with several means and deviations, one for each channel of interleaved elements."""
+    if isinstance(mean_, (int, float)) and isinstance(std_, (int, float)):
+        return F.transform(doubles(a), lambda x: (x - F.lit(mean_ * max_value)) / F.lit(std_ * max_value))
+    many = max(len(v) for v in (mean_, std_) if not isinstance(v, (int, float)))
+    means, stds = ([v] * many if isinstance(v, (int, float)) else list(v) for v in (mean_, std_))
+    if len(means) != len(stds):
+        raise ValueError("as many means as deviations")
+
+    def of(values: list[float], i: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(float(v) * max_value) for v in values]), (i % many).cast("int") + 1)
+
+    return F.transform(doubles(a), lambda x, i: (x - of(means, i)) / of(stds, i))
 
 
 def to_uint8(a: Column) -> Column:
@@ -133,9 +144,18 @@ def to_uint8(a: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    a = doubles(a)
-    shifted = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
+    """Shares of exp(x); the largest element and the sum are found once for each array."""
+
+    def bound(value: Column, make) -> Column:
+        return F.get(F.transform(F.array(value), make), F.lit(0))
+
+    def shifted(x: Column) -> Column:
+        return bound(F.struct(x.alias("x"), F.array_max(x).alias("top")), lambda s: F.transform(s["x"], lambda v: F.exp(v - s["top"])))
+
+    def shared(x: Column) -> Column:
+        return bound(F.struct(x.alias("x"), F.aggregate(x, F.lit(0.0), lambda t, v: t + v).alias("sum")), lambda s: F.transform(s["x"], lambda v: v / s["sum"]))
+
+    return F.when(a.isNotNull(), bound(shifted(doubles(a)), shared))
 
 
 def argmax(a: Column) -> Column:

@@ -47,9 +47,11 @@ class ToType:
 
 @dataclass(frozen=True)
 class Normalize:
+    """One mean and deviation, or one for each channel."""
+
     field: str
-    mean: float
-    std: float
+    mean: float | tuple[float, ...]
+    std: float | tuple[float, ...]
     max_value: float = 255.0
 
     def __call__(self, r: Record) -> Record:

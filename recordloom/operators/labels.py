@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.plans.record import Record
+from recordloom.plans.record import Record, physical
+from recordloom.sources.order import with_rank
 
 #: Classes a map may have as an expression; beyond, encoding is a join.
 MAP_CLASSES = 1000
+#: Classes a map may have on the driver.
+FIT_CLASSES = 1_000_000
 
 
 def value_of(x: Column, struct: bool) -> Column:
@@ -37,11 +40,13 @@ class LabelMap:
     def fit(cls, values: DataFrame) -> LabelMap:
         """Distinct values of the only column (an array counts with all its elements), sorted by their bytes, from 0.
 
-        The driver gets one row for each class.
+        The driver gets one row for each class, FIT_CLASSES at most; for more there is fit_table().
         """
-        names = [r.name for r in fit_table(values).collect()]
+        names = sorted((r.name for r in _names(values).limit(FIT_CLASSES + 1).collect()), key=str.encode)
         if not names:
             raise ValueError("no labels to fit")
+        if len(names) > FIT_CLASSES:
+            raise ValueError(f"over {FIT_CLASSES} classes: use fit_table()")
         return cls({n: k for k, n in enumerate(names)})
 
     @classmethod
@@ -60,11 +65,40 @@ class LabelMap:
 
     def _look(self, key: Column, pairs, ignore: bool, default: Column, kind: str) -> Column:
         if len(pairs) > MAP_CLASSES:
-            raise ValueError(f"over {MAP_CLASSES} classes: join with fit_table() instead")
+            raise ValueError(f"over {MAP_CLASSES} classes: use encoded() or decoded(), which join")
         found = F.try_element_at(F.create_map(*[x for p in pairs for x in p]), key) if pairs else F.lit(None).cast(kind)
         miss = default if ignore else F.raise_error(F.concat(F.lit("unknown class "), key.cast("string"))).cast(kind)
         return F.when(key.isNull(), F.lit(None).cast(kind)).when(found.isNull(), miss).otherwise(found)
 
+    @property
+    def inverse(self) -> dict[int, str]:
+        return {v: k for k, v in self.ids.items()}
+
+    def to_ids(self, value: Column, kind: str) -> Column:
+        """Ids pass through, also for a map without classes; names are encoded. ``kind`` is the type of the column."""
+        return value.cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else self.encode(value)
+
+    def encoded(self, r: Record, field: str, output: str | None = None, ignore_unknown: bool = False, default: int = 0) -> Record:
+        """The record with ids for the names of an entry, by a join where there are many classes."""
+        if len(self.ids) <= MAP_CLASSES:
+            return r.put(output or field, self.encode(r[field], ignore_unknown, default), "Label")
+        return self._joined(r, field, output, r[field].cast("string"), [(k, v) for k, v in self.ids.items()], "key string, found bigint", ignore_unknown, default)
+
+    def decoded(self, r: Record, field: str, output: str | None = None, ignore_unknown: bool = False, default: str | None = None) -> Record:
+        """The record with names for the ids of an entry, by a join where there are many classes."""
+        if self.num_classes <= MAP_CLASSES:
+            return r.put(output or field, self.decode(r[field], ignore_unknown, default), "Label")
+        return self._joined(r, field, output, r[field].cast("bigint"), list(enumerate(self.class_names)), "key bigint, found string", ignore_unknown, default)
+
+    def _joined(self, r: Record, field: str, output: str | None, key: Column, pairs: list, schema: str, ignore: bool, default) -> Record:
+        # the driver holds these classes, FIT_CLASSES at most
+        one, two = physical("key"), physical("found")
+        table = r.frame.sparkSession.createDataFrame(pairs, schema).withColumnsRenamed({"key": one, "found": two})
+        kind = schema.split()[-1]
+        joined = replace(r, frame=r.frame.join(F.broadcast(table), key == F.col(one), "left"))
+        miss = F.lit(default).cast(kind) if ignore else F.raise_error(F.concat(F.lit("unknown class "), key.cast("string"))).cast(kind)
+        return joined.put(output or field, F.when(key.isNull(), F.lit(None).cast(kind)).when(F.col(two).isNull(), miss).otherwise(F.col(two)), "Label")
+
     def save(self) -> str:
         return json.dumps({"class_names": self.class_names, "num_classes": self.num_classes})
 
@@ -79,11 +113,13 @@ def _flat(values: DataFrame) -> DataFrame:
     return values.select((F.explode(name) if kind.startswith("array") else F.col(name)).alias("v"))
 
 
+def _names(values: DataFrame) -> DataFrame:
+    return _flat(values).select(F.col("v").cast("string").alias("name")).filter("name is not null").distinct()
+
+
 def fit_table(values: DataFrame) -> DataFrame:
-    """(name, id) of the distinct values, sorted; for vocabularies of any size."""
-    names = _flat(values).select(F.col("v").cast("string").alias("name")).filter("name is not null").distinct()
-    # a row for each class, so the one partition that numbers them is small
-    return names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint").alias("id"))
+    """(name, id) of the distinct values, sorted; for vocabularies of any size: no task numbers all of them."""
+    return with_rank(_names(values), "id", F.col("name")).select("name", "id")
 
 
 @dataclass(frozen=True)
@@ -95,7 +131,7 @@ class EncodeTarget:
     output: str | None = None
 
     def __call__(self, r: Record) -> Record:
-        out = r.put(self.output or self.field, self.mapping.encode(r[self.field], self.ignore_unknown, self.default), "Label")
+        out = self.mapping.encoded(r, self.field, self.output, self.ignore_unknown, self.default)
         return Record(out.frame, out.entries, out.order, out.kinds, tuple(self.mapping.class_names))
 
 
@@ -108,7 +144,7 @@ class DecodeTarget:
     output: str | None = None
 
     def __call__(self, r: Record) -> Record:
-        return r.put(self.output or self.field, self.mapping.decode(r[self.field], self.ignore_unknown, self.default), "Label")
+        return self.mapping.decoded(r, self.field, self.output, self.ignore_unknown, self.default)
 
 
 def class_counts(ids: DataFrame, num_classes: int) -> DataFrame:
@@ -155,6 +191,13 @@ def confusion_matrix(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return counts.withColumns({"by_row": share("truth"), "by_col": share("predicted"), "by_all": share()})
 
 
+def array_stats(values: DataFrame) -> DataFrame:
+    """min, max, mean, std (population) and count of the finite elements of the only column, an array."""
+    (name, _), *_ = values.dtypes
+    flat = values.select(F.explode(F.col(name).cast("array<double>")).alias("x")).filter(~F.isnan("x") & (F.abs("x") < float("inf")))
+    return flat.agg(F.min("x").alias("min"), F.max("x").alias("max"), F.mean("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count"))
+
+
 def histogram(values: DataFrame, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
     """(bin, count) of the finite elements of the only column, an array; even bins, the last closed.
 

@@ -17,20 +17,47 @@ BOXES = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
 
 def components(mask: np.ndarray, connectivity: int = 4, min_area: int = 1) -> list[tuple[float, float, float, float]]:
     """Half-open boxes of connected true cells, in the order of their first cell by rows."""
-    height, width = mask.shape
-    label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
-    while True:  # the least place spreads to neighbours until nothing changes
-        padded = np.pad(label, 1, constant_values=mask.size)
-        views = [padded[1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if connectivity == 8 or not (dy and dx)]
-        new = np.where(mask, np.minimum.reduce(views), mask.size)
-        if (new == label).all():
+    return stack_components(mask[None], connectivity, min_area)[0]
+
+
+def stack_components(masks: np.ndarray, connectivity: int = 4, min_area: int = 1) -> list[list[tuple[float, float, float, float]]]:
+    """components() of many masks of one shape (masks x height x width) at once.
+
+    Neighbouring cells are edges; the least place spreads along them, with pointers shortened between turns, so the
+    turns are few however long a part winds.
+    """
+    masks = np.asarray(masks, bool)
+    n, height, width = masks.shape
+    place = np.arange(masks.size).reshape(masks.shape)
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
+    ends = []
+    for dy, dx in steps:
+        here = (slice(None), slice(0, height - dy), slice(max(0, -dx), width - max(0, dx)))
+        there = (slice(None), slice(dy, height), slice(max(0, dx), width + min(0, dx)))
+        both = masks[here] & masks[there]
+        ends.append((place[here][both], place[there][both]))
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    label = np.arange(masks.size)
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
             break
-        label = new
-    out = []
-    for k in np.unique(label[mask]):
-        y, x = np.nonzero(label == k)
-        if len(y) >= min_area:
-            out.append((float(x.min()), float(y.min()), float(x.max() + 1), float(y.max() + 1)))
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    out: list[list[tuple[float, float, float, float]]] = [[] for _ in range(n)]
+    cells = np.flatnonzero(masks.ravel())
+    if not len(cells):
+        return out
+    roots, which, area = np.unique(label[cells], return_inverse=True, return_counts=True)
+    y, x = cells // width % height, cells % width
+    box = np.empty((4, len(roots)))
+    box[:2], box[2:] = np.inf, -np.inf
+    for k, (fold, value) in enumerate(((np.minimum, x), (np.minimum, y), (np.maximum, x + 1), (np.maximum, y + 1))):
+        fold.at(box[k], which, value)
+    for root, corners, size in zip(roots, box.T, area):
+        if size >= min_area:
+            out[root // (height * width)].append(tuple(corners.tolist()))
     return out
 
 
@@ -51,7 +78,12 @@ class ConnectedComponents:
 
         @F.pandas_udf(BOXES)
         def found(masks: pd.Series) -> pd.Series:
-            return masks.map(lambda m: None if m is None else [dict(zip(("x0", "y0", "x1", "y1"), b)) for b in components(np.asarray(m, bool).reshape(-1, width), connectivity, area)])
+            out = pd.Series([None] * len(masks), index=masks.index, dtype=object)
+            known = masks[masks.notna()]
+            for size, some in known.groupby(known.map(len)):
+                boxes = stack_components(np.stack(some.to_list()).reshape(len(some), -1, width), connectivity, area) if size else [[]] * len(some)
+                out.loc[some.index] = pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), b)) for b in one] for one in boxes], index=some.index, dtype=object)
+            return out
 
         return r.put(self.output, found(r[self.field]), "Boxes")
 
@@ -70,20 +102,68 @@ def instance_boxes(mask: Column, width: int) -> Column:
     return F.transform(values, one)
 
 
+@dataclass(frozen=True)
+class MasksToDetectionBoxes:
+    """A detection target (boxes, labels) of a mask of ``width`` columns.
+
+    Each value other than 0 is an instance, or, where ``connected``, each connected part of what is not 0. All get ``label``.
+    """
+
+    field: str
+    width: int
+    label: int = 1
+    connected: bool = False
+    min_area: int = 1
+    connectivity: int = 4
+    output: str = "target"
+
+    def __call__(self, r: Record) -> Record:
+        mask = r[self.field]
+        if self.connected:
+            flags = r.put("__flags", F.transform(mask, lambda v: v.cast("int") != 0))
+            found = ConnectedComponents("__flags", self.width, self.min_area, self.connectivity, "__boxes")(flags)
+            boxes = found["__boxes"]
+            out = found
+        else:
+            counted = F.filter(instance_boxes(mask, self.width), lambda x: F.size(F.filter(mask, lambda v: v == x["value"])) >= self.min_area)
+            out, boxes = r, F.transform(counted, lambda x: x["box"])
+        target = F.struct(boxes.alias("boxes"), F.transform(boxes, lambda b: F.lit(self.label).cast("bigint")).alias("labels"))
+        out = out.put(self.output, target, "Boxes")
+        return out.with_entries({k: v for k, v in out.entries.items() if k not in ("__flags", "__boxes")})
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of all rows (x0, y0, x1, y1) of two arrays; 0 where the union is empty."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    both = np.clip(high - low, 0, None).prod(axis=2)
+    size_a, size_b = ((x[:, 2:] - x[:, :2]).prod(axis=1) for x in (a, b))
+    union = size_a[:, None] + size_b[None, :] - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
 def greedy_matches(iou: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Pairs by descending overlap, each side once."""
-    pairs = []
-    iou = iou.copy()
-    while iou.size and iou.max() >= threshold:
-        a, b = np.unravel_index(iou.argmax(), iou.shape)
-        pairs.append((int(a), int(b)))
-        iou[a, :] = iou[:, b] = -1
+    """Pairs of at least the threshold by descending overlap, then by place, each side once."""
+    pairs: list[tuple[int, int]] = []
+    free = [np.ones(n, bool) for n in iou.shape]
+    for k in np.argsort(-iou, axis=None, kind="stable").tolist():
+        a, b = divmod(k, iou.shape[1])
+        if iou[a, b] < threshold:
+            break
+        if free[0][a] and free[1][b]:
+            free[0][a] = free[1][b] = False
+            pairs.append((a, b))
     return pairs
 
 
+MATCHES = "struct<matched: array<struct<truth: int, predicted: int, iou: double>>, fn: array<int>, fp: array<int>>"
+
+
 @dataclass(frozen=True)
 class MatchBoxes:
-    """Matches of true and predicted boxes: matched pairs and the counts of missed and of false ones."""
+    """Greedy matches of true and predicted boxes: pairs with their overlap, and the places that are left on each side.
+
+    With labels, only boxes of one label match; a box without a label has none. Null boxes count as no boxes.
+    """
 
     truth: str
     predicted: str
@@ -93,19 +173,30 @@ class MatchBoxes:
     output: str = "matches"
 
     def __call__(self, r: Record) -> Record:
-        threshold = self.iou_threshold
-        overlap = B.pairwise_iou(r[self.truth], r[self.predicted])
-        if self.truth_labels and self.predicted_labels:
-            t, p = r[self.truth_labels], r[self.predicted_labels]
-            overlap = F.transform(overlap, lambda row, i: F.transform(row, lambda v, j: F.when(F.get(t, i) == F.get(p, j), v).otherwise(F.lit(-1.0))))
-
-        @F.pandas_udf("struct<pairs: array<array<int>>, matched: bigint>")
-        def matched(tables: pd.Series) -> pd.DataFrame:
-            found = [greedy_matches(np.array([np.asarray(x, float) for x in t], float).reshape(len(t), -1), threshold) for t in tables]
-            return pd.DataFrame({"pairs": [[list(p) for p in f] for f in found], "matched": [len(f) for f in found]})
-
-        out = r.put("__found", matched(overlap))
-        n = out["__found"]["matched"]
-        value = F.struct(out["__found"]["pairs"].alias("pairs"), n.alias("matched"), (F.size(r[self.truth]) - n).alias("missed"), (F.size(r[self.predicted]) - n).alias("false"))
-        out = out.put(self.output, value)
-        return out.with_entries({k: v for k, v in out.entries.items() if k != "__found"})
+        threshold, aware = self.iou_threshold, bool(self.truth_labels and self.predicted_labels)
+
+        def rows(boxes) -> np.ndarray:
+            return np.array([[b[k] for k in ("x0", "y0", "x1", "y1")] for b in (() if boxes is None else boxes)], float).reshape(-1, 4)
+
+        def labels(values, n: int) -> list:
+            found = [] if values is None else list(values)[:n]
+            return found + [None] * (n - len(found))
+
+        @F.pandas_udf(MATCHES)
+        def matched(truth: pd.Series, predicted: pd.Series, truth_labels: pd.Series, predicted_labels: pd.Series) -> pd.DataFrame:
+            out: dict[str, list] = {"matched": [], "fn": [], "fp": []}
+            for t, p, tl, pl in zip(truth, predicted, truth_labels, predicted_labels):
+                t, p = rows(t), rows(p)
+                iou = overlaps(t, p)
+                if aware:
+                    one, other = labels(tl, len(t)), labels(pl, len(p))
+                    iou[[[x != y for y in other] for x in one] if len(t) and len(p) else np.zeros(iou.shape, bool)] = 0.0
+                pairs = greedy_matches(iou, threshold)
+                out["matched"].append([{"truth": a, "predicted": b, "iou": float(iou[a, b])} for a, b in pairs])
+                out["fn"].append([k for k in range(len(t)) if k not in {a for a, _ in pairs}])
+                out["fp"].append([k for k in range(len(p)) if k not in {b for _, b in pairs}])
+            return pd.DataFrame(out)
+
+        none = F.lit(None).cast("array<string>")
+        given = (r[self.truth_labels].cast("array<string>"), r[self.predicted_labels].cast("array<string>")) if aware else (none, none)
+        return r.put(self.output, matched(r[self.truth], r[self.predicted], *given))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,6 +150,7 @@ class Expand:
 
     key: str
     values: Callable[[Record], Column]
+    expands: ClassVar[bool] = True
 
     def __call__(self, r: Record) -> Record:
         return r.expand(self.key, self.values(r))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import boxes as B
 from recordloom.functions import draws
 from recordloom.plans.record import Op, Record
+from recordloom.sources.order import saved
 
 #: (transform, item type) -> kernel(value, parameters, record) -> column.
 KERNELS: dict[tuple[type, str], Callable[[Column, Column, object], Column]] = {}
@@ -97,11 +98,12 @@ class OverKind:
 
 @dataclass(frozen=True)
 class Tap:
-    """Write the records as they are here to a sink, and go on with them."""
+    """Write the records as they are here to a sink, and go on with them; what is before is computed once."""
 
     sink: object
 
     def __call__(self, r: Record) -> Record:
+        r = replace(r, frame=saved(r.frame))
         self.sink.write(r)
         return r
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ from recordloom.operators.predict import ClassificationPredictions, ModelPredict
 from recordloom.operators.structure import CopyField, DropField, Expand, Formula, MapOp, PutField, RandomNumber, RenameField, SelectFields, Where, WiredEntries
 from recordloom.plans.record import Flow, Record, Step, Stream, records
 from recordloom.sources import views
+from recordloom.sources.order import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,7 +213,7 @@ def threshold_mask(spark, folder):
 
 @query(f"SELECT vec_id, list_transform(e, lambda x: round((x + 1.0) * 127.5, 9)) AS embedding FROM {_V}")
 def scale_range(spark, folder):
-    return six(SelectFields(["vec_id", "embedding"])(Scale("embedding", -1, 1, 0, 255)(_vectors(spark, folder))).result(), "embedding", digits=9)
+    return six(SelectFields(["vec_id", "embedding"])(Scale("embedding", -1, 1, 0, 255)(_vectors(spark, folder))).result(), "embedding", digits=12)
 
 
 @query(f"SELECT vec_id, list_transform(e, lambda x: round((x - 0.1) / 0.5, 6)) AS embedding FROM {_V}")
@@ -397,18 +397,96 @@ def mask_to_boxes(spark, folder):
     return SelectFields(["vec_id", "value", "x0", "y0", "x1", "y1"])(r).result()
 
 
-@query()
+_PARTS = """WITH RECURSIVE cells AS (SELECT vec_id, p FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS p FROM {v}) WHERE {inside}),
+reach(vec_id, s, t) AS (SELECT vec_id, p, p FROM cells UNION SELECT r.vec_id, r.s, c.p FROM reach r JOIN cells c ON c.vec_id = r.vec_id
+AND ((c.p = r.t + 1 AND r.t % 8 <> 7) OR (c.p = r.t - 1 AND r.t % 8 <> 0) OR c.p = r.t + 8 OR c.p = r.t - 8)),
+parts AS (SELECT vec_id, part, min(t % 8)::DOUBLE AS x0, min(t // 8)::DOUBLE AS y0, max(t % 8 + 1)::DOUBLE AS x1, max(t // 8 + 1)::DOUBLE AS y1, count(*) AS area
+FROM (SELECT vec_id, t, min(s) AS part FROM reach GROUP BY vec_id, t) GROUP BY vec_id, part)"""
+
+
+def _corners(r: Record, key: str) -> DataFrame:
+    """A row for each box of an entry."""
+    r = Expand("box", lambda q: q[key])(r)
+    return SelectFields(["vec_id", "x0", "y0", "x1", "y1"])(r.put_all({k: r["box"][k] for k in ("x0", "y0", "x1", "y1")})).result()
+
+
+@query(_PARTS.format(v=_V, inside="x > 0.05") + " SELECT vec_id, x0, y0, x1, y1 FROM parts")
 def connected_components(spark, folder):
-    r = regions.ConnectedComponents("mask", 8)(Threshold("embedding", low_level=0.05)(_vectors(spark, folder)))
-    return SelectFields(["vec_id", "boxes"])(r).result()
+    return _corners(regions.ConnectedComponents("mask", 8)(Threshold("embedding", low_level=0.05)(_vectors(spark, folder))), "boxes")
 
 
-@query()
+@query(_PARTS.format(v=_V, inside="abs(x) > 0.1") + " SELECT vec_id, x0, y0, x1, y1, 5::BIGINT AS label FROM parts WHERE area >= 2")
+def mask_connected_boxes(spark, folder):
+    r = _vectors(spark, folder)
+    r = r.put("mask", F.transform(r["embedding"], lambda x: F.when(x > 0.1, 1).when(x < -0.1, 2).otherwise(0)), "Mask")
+    r = regions.MasksToDetectionBoxes("mask", 8, 5, connected=True, min_area=2)(r)
+    r = Expand("found", lambda q: F.arrays_zip(q["target"]["boxes"].alias("boxes"), q["target"]["labels"].alias("labels")))(r)
+    r = r.put_all({"label": r["found"]["labels"], **{k: r["found"]["boxes"][k] for k in ("x0", "y0", "x1", "y1")}})
+    return SelectFields(["vec_id", "x0", "y0", "x1", "y1", "label"])(r).result()
+
+
+_TWO = """WITH b AS (SELECT row_number() OVER () AS k, l_orderkey, l_linenumber, [[q, n, q + 10, n + 10], [q + 6, n, q + 16, n + 10]] AS t, [[q + 1 + s, n, q + 11 + s, n + 10], [q + 7 - s, n + 1, q + 17 - s, n + 11]] AS p, [s = 0, s < 4] AS tl, [s < 2, s = 0] AS pl
+FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS q, l_linenumber::DOUBLE AS n, (l_suppkey % 6)::DOUBLE AS s FROM lineitem)),
+pairs AS (SELECT k, l_orderkey, l_linenumber, i, j, CASE WHEN tl[i] <> pl[j] THEN 0 ELSE w * h / (200 - w * h) END AS iou
+FROM (SELECT *, greatest(least(t[i][3], p[j][3]) - greatest(t[i][1], p[j][1]), 0) AS w, greatest(least(t[i][4], p[j][4]) - greatest(t[i][2], p[j][2]), 0) AS h FROM b, range(1, 3) x(i), range(1, 3) y(j))),
+best AS (SELECT k, l_orderkey, l_linenumber, i, j, iou FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY iou DESC, i, j) AS nth FROM pairs) WHERE nth = 1),
+taken AS (SELECT * FROM best UNION ALL SELECT k, pairs.l_orderkey, pairs.l_linenumber, pairs.i, pairs.j, pairs.iou FROM pairs JOIN best USING (k) WHERE pairs.i <> best.i AND pairs.j <> best.j)
+SELECT l_orderkey, l_linenumber, list(i - 1 ORDER BY iou DESC, i) FILTER (iou >= 0.5) AS truth, list(j - 1 ORDER BY iou DESC, i) FILTER (iou >= 0.5) AS predicted, list(round(iou, 6) ORDER BY iou DESC, i) FILTER (iou >= 0.5) AS iou,
+list(i - 1 ORDER BY i) FILTER (iou < 0.5) AS fn, list(j - 1 ORDER BY j) FILTER (iou < 0.5) AS fp FROM taken GROUP BY k, l_orderkey, l_linenumber"""
+
+
+@query(_TWO)
 def match_boxes(spark, folder):
-    r = regions.ConnectedComponents("mask", 8, output="truth")(Threshold("embedding", low_level=0.05)(_vectors(spark, folder)))
-    r = regions.ConnectedComponents("mask", 8, output="found")(Threshold("embedding", low_level=0.06)(r))
-    r = regions.MatchBoxes("truth", "found", iou_threshold=0.5)(r)
-    return SelectFields(["vec_id", "matches"])(r).result()
+    r = table(spark, folder, "lineitem", "l_orderkey")
+    q, n, s = r["l_quantity"].cast("double"), r["l_linenumber"].cast("double"), (r["l_suppkey"] % 6).cast("double")
+    r = r.put_all({
+        "truth": F.array(B.box(q, n, q + 10, n + 10), B.box(q + 6, n, q + 16, n + 10)), "truth_labels": F.array(s == 0, s < 4),
+        "found": F.array(B.box(q + 1 + s, n, q + 11 + s, n + 10), B.box(q + 7 - s, n + 1, q + 17 - s, n + 11)), "found_labels": F.array(s < 2, s == 0),
+    })
+    r = regions.MatchBoxes("truth", "found", "truth_labels", "found_labels", 0.5)(r)
+    m = r["matches"]
+
+    def some(a):
+        return F.when(F.size(a) > 0, a)
+
+    r = r.put_all({
+        "truth": some(F.transform(m["matched"], lambda x: x["truth"])), "predicted": some(F.transform(m["matched"], lambda x: x["predicted"])),
+        "iou": some(F.transform(m["matched"], lambda x: F.round(x["iou"], 6))), "fn": some(m["fn"]), "fp": some(m["fp"]),
+    })
+    return SelectFields(["l_orderkey", "l_linenumber", "truth", "predicted", "iou", "fn", "fp"])(r).result()
+
+
+_CANVAS = "(SELECT *, l_linenumber::DOUBLE AS n, (l_suppkey % 8 + 1)::DOUBLE AS w FROM lineitem)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, [round((n - 0.5) * 640, 6), round(w * 20, 6), round((n + 0.5) * 640, 6), round(w * 60, 6)] AS box, [l_linenumber::BIGINT] AS labels, [round(l_discount, 6)] AS scores, 480.0::DOUBLE AS height FROM {_CANVAS}")
+def convert_to_boxes(spark, folder):
+    """Shares of the image (centre and size) with labels and scores to a target."""
+    from recordloom.operators.detection import ConvertToBoxes
+
+    r = _objects(spark, folder)
+    r = ConvertToBoxes(format="cxcywh", normalized=True, size=("height", "width"), classes=("a", "b"))(r)
+    t = r["target"]
+    r = r.put_all({"box": B.to_numbers(F.get(t["boxes"], F.lit(0))), "labels": t["labels"], "scores": t["scores"], "height": t["canvas"]["height"]})
+    return six(SelectFields(["l_orderkey", "l_linenumber", "box", "labels", "scores", "height"])(r).result(), "box", "scores")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, [round(n - 0.5, 6), round(w / 24, 6), 1.0::DOUBLE, round(w / 12, 6)] AS bbox, [l_linenumber::BIGINT] AS category, [round(l_discount, 6)] AS score FROM {_CANVAS}")
+def convert_from_boxes(spark, folder):
+    """That target to corner and size as shares, and a struct of them."""
+    from recordloom.operators.detection import ConvertFromBoxes, ConvertToBoxes
+
+    r = ConvertToBoxes("objects", format="cxcywh", normalized=True, size=("height", "width"))(_objects(spark, folder))
+    r = ConvertFromBoxes(format="xywh", normalized=True)(r)
+    r = r.put_all({"bbox": F.get(r["class"]["bbox"], F.lit(0)), "category": r["class"]["category"], "score": r["class"]["score"]})
+    return six(SelectFields(["l_orderkey", "l_linenumber", "bbox", "category", "score"])(r).result(), "bbox", "score")
+
+
+def _objects(spark, folder) -> Record:
+    r = table(spark, folder, "lineitem", "l_orderkey")
+    n, w = r["l_linenumber"].cast("double"), (r["l_suppkey"] % 8 + 1).cast("double")
+    objects = F.struct(F.array(F.array(n, w / 12, F.lit(1.0), w / 12)).alias("bbox"), F.array(r["l_linenumber"].cast("bigint")).alias("category"), F.array(r["l_discount"]).alias("score"))
+    return r.put_all({"objects": objects, "height": F.lit(480), "width": F.lit(640)})
 
 
 @query("SELECT event_id // 100 AS batch_id, list(event_id ORDER BY event_id) AS event_id, list(event_type ORDER BY event_id) AS event_type, list(value ORDER BY event_id) AS value FROM events GROUP BY 1")
@@ -486,6 +564,59 @@ def parse_quantity(spark, folder):
     return SelectFields(["event_id", "hertz"])(r).result()
 
 
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 500 WHEN 1 THEN (event_id % 500) * 1e3 WHEN 2 THEN 2e6 WHEN 3 THEN 1e5 ELSE -0.25 END::DOUBLE AS rate, CASE WHEN event_id % 5 = 2 THEN 'Sa/s' END AS unit FROM events")
+def quantity_forms(spark, folder):
+    """Quantities with and without a unit, read as rates."""
+    r = table(spark, folder, "events", "event_id")
+    n, k = (r["event_id"] % 500).cast("string"), r["event_id"] % 5
+    text = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit("e3"))).when(k == 2, F.lit(" 2. MSa/s ")).when(k == 3, F.lit("100 k")).otherwise(F.lit("-.25"))
+    r = r.put("text", text)
+    return SelectFields(["event_id", "rate", "unit"])(r.put_all({"rate": quantity.of_kind(r["text"], "rate"), "unit": quantity.unit(r["text"])})).result()
+
+
+@query("SELECT o_orderkey, o_custkey AS id, o_clerk FROM (SELECT *, 'Clerk ' || o_custkey AS o_clerk FROM orders)")
+def label_encode_many(spark, folder):
+    """More classes than an expression holds: a join there, and one back."""
+    from recordloom.operators.labels import DecodeTarget, EncodeTarget, LabelMap
+
+    n = spark.read.parquet(f"{folder}/orders.parquet").agg(F.max("o_custkey")).first()[0]
+    mapping = LabelMap.from_class_names([f"Clerk {k}" for k in range(max(n, 1200) + 1)])
+    r = table(spark, folder, "orders", "o_orderkey")
+    r = EncodeTarget(mapping, "o_clerk", output="id")(r.put("o_clerk", F.concat(F.lit("Clerk "), r["o_custkey"])))
+    return SelectFields(["o_orderkey", "id", "o_clerk"])(DecodeTarget(mapping, "id", output="o_clerk")(r)).result()
+
+
+@query("SELECT min(x) AS min, max(x) AS max, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, count(*) AS count FROM (SELECT unnest(e) AS x FROM " + _V + ")")
+def array_statistics(spark, folder):
+    from recordloom.operators.labels import array_stats
+
+    return six(array_stats(SelectFields(["embedding"])(_vectors(spark, folder)).result()), "mean", "std", digits=9)
+
+
+@query(f"SELECT vec_id, [round((e[i] - [0.1, 0.2, 0.3, 0.4][(i - 1) % 4 + 1] * 2) / ([1, 2, 4, 8][(i - 1) % 4 + 1] * 2), 12) FOR i IN range(1, 65)] AS embedding FROM {_V}")
+def normalize_channels(spark, folder):
+    return six(SelectFields(["vec_id", "embedding"])(Normalize("embedding", (0.1, 0.2, 0.3, 0.4), (1.0, 2.0, 4.0, 8.0), 2.0)(_vectors(spark, folder))).result(), "embedding", digits=12)
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS n, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)) AS removed")
+def length_and_removed(spark, folder):
+    orders, gone = table(spark, folder, "orders", "o_orderkey"), table(spark, folder, "customer", "c_custkey")
+    gone = gone.filter(gone["c_nationkey"] == 3).put("o_custkey", gone["c_custkey"])
+    return spark.createDataFrame([(len(Stream(orders)), views.removed(orders, gone, "o_custkey"))], "n bigint, removed bigint")
+
+
+_LOG = "[50, 100, 200, 450, 1000]"
+
+
+@query(f"SELECT o_orderkey, {_LOG}[floor({_u(5, 'o_orderkey', 'rate')} * 5)::INT + 1]::DOUBLE AS rate, 3 + floor({_u(5, 'o_orderkey', 'n/count')} * 3)::BIGINT AS n FROM orders")
+def draw_grid_repeat(spark, folder):
+    """A draw from a log grid (50 to 1,000 in steps of 50), and a list of three to five draws."""
+    r = table(spark, folder, "orders", "o_orderkey")
+    many = draws.repeat(lambda k: draws.uniform_at(5, r.position, "n", k), 3, 5, 5, r.position, "n")
+    r = r.put_all({"rate": draws.grid_spaced(50, 1000, 50, 5, r.position, "rate", spacing="log", count=5), "n": F.size(many).cast("bigint")})
+    return SelectFields(["o_orderkey", "rate", "n"])(r).result()
+
+
 @query(f"SELECT vec_id, [CASE WHEN p % 10 < 8 AND p // 10 < 8 THEN e[(p // 10) * 8 + p % 10 + 1] ELSE -1.0::DOUBLE END FOR p IN range(90)] AS embedding FROM {_V}")
 def pad_image(spark, folder):
     from recordloom.operators.arrays import Pad
@@ -498,9 +629,9 @@ def record_store(spark, folder):
     """Written to a record store and read back."""
     from recordloom.sources.store import ParquetStore
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    shared = shared_folder(spark)
     r = SelectFields(["doc_id", "n_chars"])(Where("lang == 'es'")(table(spark, folder, "documents", "doc_id")))
-    store = ParquetStore(f"{shared.rstrip('/')}/record_store", "overwrite")
+    store = ParquetStore(f"{shared}/record_store", "overwrite")
     store.write(r)
     return store.read(spark).result()
 
@@ -522,12 +653,12 @@ def epoch_batches(spark, folder):
     return collate(r, 32)
 
 
-@query("SELECT label AS class, vec_id AS source_id, 'embeddings' AS origin FROM embeddings WHERE vec_id < 300")
+@query("SELECT label AS class, vec_id AS source_id, 'embeddings' AS origin FROM embeddings")
 def dataset_source(spark, folder):
     from recordloom.sources.datasets import dataset
 
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").withColumn("source_id", F.col("vec_id"))
-    r = dataset(rows, "vec_id", "embedding", "label", ["source_id"], 300, origin="embeddings")
+    r = dataset(rows, "vec_id", "embedding", "label", ["source_id"], origin="embeddings")
     return SelectFields(["class", "source_id", "origin"])(r).result()
 
 
@@ -584,27 +715,27 @@ def stream_micro_batches(spark, folder):
 
     from recordloom.streaming.micro import run_stream, stream_records
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    place, path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", f"{folder}/events.parquet"
+    shared = shared_folder(spark)
+    place, path = f"{shared}/stream-{uuid.uuid4().hex}", f"{folder}/events.parquet"
     source = stream_records(spark, f"{path[:-1]}?", spark.read.parquet(path).schema, "event_id")
     ops = [Where("event_type != 'click' and value > 5"), SelectFields(["event_id", "event_type", "value"])]
     run_stream(source, ops, lambda frame, number: frame.write.mode("append").parquet(f"{place}/out"), f"{place}/state").awaitTermination()
     return spark.read.parquet(f"{place}/out")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id < 700")
+@query("SELECT doc_id, n_chars FROM documents")
 def process_resume(spark, folder):
-    """A run over a range, then one that resumes where it ended."""
+    """A run over a range, then one that resumes where it ended and goes on to the end."""
     import uuid
 
     from recordloom.plans.process import Processor
     from recordloom.sources.store import ParquetStore
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    store = ParquetStore(f"{shared.rstrip('/')}/process-{uuid.uuid4().hex}", "append")
+    shared = shared_folder(spark)
+    store = ParquetStore(f"{shared}/process-{uuid.uuid4().hex}", "append")
     source, ops = table(spark, folder, "documents", "doc_id"), [SelectFields(["doc_id", "n_chars"])]
     Processor(source, ops, store, 0, 300).run(spark)
-    Processor(source, ops, store, "resume", 700).run(spark)
+    Processor(source, ops, store, "resume").run(spark)
     return store.read(spark).result()
 
 

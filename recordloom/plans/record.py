@@ -139,6 +139,12 @@ class Stream:
         out = self.record()
         return out.with_entries({k: out.entries[k] for k in keys if k in out.entries}).result()
 
+    def __len__(self) -> int:
+        """Records of the source, before operators drop any; an operator that expands has no length."""
+        if any(getattr(op, "expands", False) for op in self.ops):
+            raise TypeError("a stream that expands records has no length")
+        return self.source.frame.count()
+
     def batch(self, size: int) -> DataFrame:
         """Batches of ``size`` records in order, the last may be short."""
         from recordloom.operators.collate import collate

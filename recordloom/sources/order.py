@@ -6,18 +6,27 @@ import os
 import tempfile
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import draws
 from recordloom.plans.record import Record, physical
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is not set, one of this machine, if all of Spark runs on it."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return (named or os.path.join(tempfile.gettempdir(), "recordloom-checkpoints")).rstrip("/")
+
+
 def saved(frame: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, in the session's checkpoint folder (one of this machine where none is set)."""
+    """The frame with its lineage cut, in the shared folder."""
     context = frame.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "recordloom-checkpoints"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
 
 

@@ -71,6 +71,11 @@ def difference_view(r: Record, remove: Record, key: str, compare: str = "value")
     return replace(r, frame=r.frame.join(gone, normalised(r[key], compare).eqNullSafe(F.col("__gone")), "left_anti"))
 
 
+def removed(r: Record, remove: Record, key: str, compare: str = "value") -> int:
+    """How many records difference_view() leaves out."""
+    return r.frame.count() - difference_view(r, remove, key, compare).frame.count()
+
+
 def filter_view(r: Record, where: str = "", predicate: Column | None = None) -> Record:
     """Records whose metadata match an expression, and a condition; what is missing is no match."""
     if not where and predicate is None:
@@ -90,32 +95,42 @@ def split_counts(n: int, val_fraction: float | None, test_fraction: float | None
     return max(0, n - val - test), val, test
 
 
-def boundary(frame: DataFrame, key: str, below: int, low: int, high: int, probes: int = 128) -> int:
-    """The least key that has ``below`` rows under it, found by counting rows under a few probes at a time."""
-    have = 0
-    while high - low > 1:
-        points = sorted({low + (high - low) * k // (probes + 1) for k in range(1, probes + 1)} - {low})
-        inside = frame.filter((F.col(key) >= low) & (F.col(key) < high))
-        counts = dict(inside.groupBy(_place(F.col(key), points).alias("place")).count().collect())
-        upto, left, right = have, (low, have), high
-        for k, point in enumerate(points):
-            upto += counts.get(k, 0)
-            if upto == below:
-                return point
-            if upto < below:
-                left = (point, upto)
-            else:
-                right = point
-                break
-        (low, have), high = left, right
-    return high
-
-
-def _place(key: Column, points: list[int], at: int = 0) -> Column:
-    if not points:
-        return F.lit(at)
-    half = len(points) // 2
-    return F.when(key < F.lit(points[half]).cast("bigint"), _place(key, points[:half], at)).otherwise(_place(key, points[half + 1 :], at + half + 1))
+#: Bits of a hash, and of those that one count tells apart.
+CODE_BITS, STEP_BITS = 60, 12
+
+
+def boundaries(frame: DataFrame, key: str, sizes) -> tuple[int, list[int]]:
+    """How many rows there are, and for each number below of ``sizes(rows)`` the least key with so many rows under it.
+
+    Each turn counts the rows of the open ranges by their next STEP_BITS bits, all ranges in one scan.
+    """
+    found: list[list[int]] = []  # low, rows under low, rows wanted
+    rows, left = 0, CODE_BITS
+    while left > 0:
+        left -= STEP_BITS
+        places = F.shiftright(F.col(key), left)
+        open_ = sorted({low >> left + STEP_BITS for low, under, wanted in found if under < wanted})
+        if rows and not open_:
+            break
+        part = frame.filter(F.shiftright(F.col(key), left + STEP_BITS).isin(open_)) if rows else frame
+        counts = {r[0]: r[1] for r in part.groupBy(places.alias("place")).count().collect()}
+        if not rows:
+            rows = sum(counts.values())
+            if not rows:
+                return 0, [0 for _ in sizes(0)]
+            found = [[0, 0, below] for below in sizes(rows)]
+        for one in found:
+            low, under, wanted = one
+            first = low >> left
+            for place in sorted(p for p in counts if p >> STEP_BITS == first >> STEP_BITS) if under < wanted else ():
+                if under + counts[place] > wanted:
+                    one[:] = [place << left, under, wanted]
+                    break
+                under += counts[place]
+                one[:] = [(place + 1) << left, under, wanted]
+                if under == wanted:
+                    break
+    return rows, [low for low, _, _ in found]
 
 
 def split_view(r: Record, split: str = "train", val_fraction: float | None = None, test_fraction: float | None = None, seed: int | None = None) -> Record:
@@ -130,11 +145,15 @@ def split_view(r: Record, split: str = "train", val_fraction: float | None = Non
         return r if split == "train" else replace(r, frame=r.frame.filter(F.lit(False)))
     if seed is None:
         raise ValueError("a fraction needs a seed")
-    code, top = physical("shuffle"), 1 << 60
+    code, top = physical("shuffle"), 1 << CODE_BITS
     frame = r.frame.withColumn(code, F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), r.position.cast("string"))), 1, 15), 16, 10).cast("bigint"))
-    train, val, test = split_counts(frame.count(), val_fraction, test_fraction)
-    first = boundary(frame, code, train, 0, top)
-    second = boundary(frame, code, train + val, 0, top) if test else top
+
+    def ends(n: int) -> list[int]:
+        train, val, _ = split_counts(n, val_fraction, test_fraction)
+        return [train, train + val]
+
+    _, (first, second) = boundaries(frame.select(code), code, ends)
+    second = second if test_fraction else top
     low, high = {"train": (0, first), "val": (first, second), "test": (second, top)}[split]
     return replace(r, frame=frame.filter((F.col(code) >= low) & (F.col(code) < high)))
 
@@ -155,5 +174,5 @@ def first_value(r: Record, key: str) -> DataFrame:
 def at_positions(r: Record, positions: list[int], keys: list[str]) -> DataFrame:
     """Some entries of the records at given positions, in the order given (column ``pos``)."""
     wanted = r.frame.sparkSession.createDataFrame([(k, p) for k, p in enumerate(positions)], "pos bigint, at bigint")
-    found = r.frame.join(F.broadcast(wanted), r.position == F.col("at"))
+    found = r.frame.join(F.broadcast(wanted) if len(positions) <= BROADCAST_ROWS else wanted, r.position == F.col("at"))
     return found.select("pos", *[r[k].alias(k) for k in keys if k in r.entries])

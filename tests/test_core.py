@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from recordloom.functions import arrays as A
 from recordloom.functions import boxes as B
 from recordloom.functions import images as I
-from recordloom.functions import quantity
+from recordloom.functions import draws, quantity
 from recordloom.functions.expressions import ExpressionError, translate
 from recordloom.operators import labels as L
 from recordloom.operators.arrays import Threshold, ToType
 from recordloom.operators.collate import collate, stacked
 from recordloom.operators.contract import ContractError, RecordContract, check_chain
 from recordloom.operators.control import Enable, Pipeline, RandomApply
-from recordloom.operators.regions import components, greedy_matches
+from recordloom.operators.detection import ConvertFromBoxes, ConvertToBoxes
+from recordloom.operators.regions import components, greedy_matches, overlaps, stack_components
 from recordloom.operators.structure import CopyField, DropField, Formula, PutField, RandomNumber, RenameField, SelectFields, Where, WiredEntries
 from recordloom.plans.process import trace
 from recordloom.plans.record import Flow, Step, StepReferenceError, Stream, records
@@ -260,3 +261,64 @@ def test_formats_channels_masks_and_taps(spark, small, tmp_path):
     assert values(Tap(store)(SelectFields(["id"])(small)), "id") == values(store.read(spark), "id") == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError, match="no kernel"):
         Flip("x")(small)
+
+
+def test_components_of_many_masks_and_matches():
+    rng = np.random.default_rng(4)
+    masks = rng.random((40, 9, 7)) < 0.5
+
+    def by_hand(mask, connectivity):
+        left, out = set(zip(*np.nonzero(mask))), []
+        for cell in sorted(left):
+            if cell in left:
+                front, seen = [cell], {cell}
+                while front:
+                    y, x = front.pop()
+                    near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if connectivity == 8 or not (a and b)}
+                    front += (near & left) - seen
+                    seen |= near & left
+                left -= seen
+                ys, xs = zip(*seen)
+                out.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1))
+        return out
+
+    for connectivity in (4, 8):
+        assert stack_components(masks, connectivity) == [by_hand(m, connectivity) for m in masks]
+    assert stack_components(np.zeros((2, 3, 3), bool)) == [[], []]
+    iou = overlaps(np.array([[0, 0, 2, 2], [5, 5, 5, 5.0]]), np.array([[1, 0, 3, 2.0]]))
+    assert iou.tolist() == [[1 / 3], [0.0]] and greedy_matches(iou, 0.3) == [(0, 0)] and greedy_matches(iou, 0.5) == []
+
+
+def test_quantities_and_grids(spark):
+    texts = spark.createDataFrame([("250",), ("1e6",), ("100 k",), ("2. MHz",), (".5",), ("-3 ms",), (None,)], "t string")
+    assert [r.v for r in texts.select(quantity.parse(F.col("t")).alias("v")).collect()] == [250.0, 1e6, 1e5, 2e6, 0.5, -3e-3, None]
+    assert [r.v for r in texts.select(quantity.unit(F.col("t")).alias("v")).collect()] == [None, None, None, "Hz", None, "s", None]
+    with pytest.raises(Exception, match="not in Hz"):
+        texts.select(quantity.of_kind(F.col("t"), "frequency")).collect()
+    assert draws.grid_points(0.1, 0.35, 0.1) == [0.1, 0.2, 0.3]
+    assert draws.grid_points(100, 1000, 100, "power", ratio=2) == [100, 200, 400, 800]
+    with pytest.raises(ValueError, match="low above 0"):
+        draws.grid_points(0, 1, 0.1, "log")
+    with pytest.raises(Exception, match="refused: too small"):
+        spark.range(1).select(draws.first_accepted(lambda k: k, lambda x: x < 0, 3, "too small")).collect()
+
+
+def test_splits_by_counting(spark):
+    frame = spark.range(5000).select((F.col("id") * F.col("id") * 7919 % (1 << 60)).alias("code"))
+    codes = sorted(r.code for r in frame.collect())
+    rows, bounds = views.boundaries(frame, "code", lambda n: [0, n // 3, n - 1, n])
+    assert rows == 5000 and [sum(c < b for c in codes) for b in bounds] == [0, 1666, 4999, 5000]
+    assert views.boundaries(frame.limit(0), "code", lambda n: [n, n]) == (0, [0, 0])
+
+
+def test_box_operators_refuse(spark):
+    r = records(spark.createDataFrame([(1, [[0.0, 0.0, 2.0, 4.0]])], "id bigint, rows array<array<double>>"), "id")
+    out = ConvertToBoxes(format="xywh")(r)
+    back = ConvertFromBoxes(format="cxcywh", container="array", output="c")(out)
+    assert back.result().first().c == [[1.0, 2.0, 2.0, 4.0]]
+    with pytest.raises(ValueError, match="holds no boxes"):
+        ConvertToBoxes("id")(r)
+    with pytest.raises(ValueError, match="size"):
+        ConvertToBoxes(normalized=True)
+    with pytest.raises(Exception, match="without a canvas"):
+        ConvertFromBoxes(normalized=True)(out).result().collect()
