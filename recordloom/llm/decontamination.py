@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import checkpointed, free_name, with_fields
+from .tables import checkpointed, free_name, map_arrow, partitions, with_fields
 from .texts import MULTIPLIER, Rolling, cuts, gathered, mix, text_buffers, word_bounds, word_codes
 
 #: Ends of windows that one stretch of text holds.
@@ -60,8 +60,8 @@ class Patterns:
     text: np.ndarray
 
 
-def patterns_of(items: list[int], texts: list[str | None], width: int) -> list[Patterns]:
-    """The windows of items, by length; an item of fewer words is one pattern, one of no words is none."""
+def patterns_of(items: list[int | None], texts: list[str | None], width: int) -> list[Patterns]:
+    """The windows of items, by length; an item of fewer words is one pattern, one of no words is none. Items may lack an id."""
     data, offsets = text_buffers(pa.array(texts, pa.string()))
     begin, end, row, codes = words_of(data, offsets)
     data = lowered()[data]
@@ -77,7 +77,8 @@ def patterns_of(items: list[int], texts: list[str | None], width: int) -> list[P
     out = []
     for size, (words, own, places) in sorted(found.items()):
         distinct, first, inverse = np.unique(np.array(words), axis=0, return_index=True, return_inverse=True)
-        pairs = np.unique(np.stack([inverse.ravel(), np.array(own)], axis=1), axis=0)
+        known = np.array([x is not None for x in own], bool)
+        pairs = np.unique(np.stack([inverse.ravel()[known], np.array([x for x in own if x is not None], np.int64)], axis=1), axis=0)
         at = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
         span = np.array(places)[first][:, None] + np.arange(size)
         sizes = end[span] - begin[span]
@@ -171,37 +172,44 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     """The columns of ``docs`` with n_words, n_hit (words inside occurrences) and items (item_ids, ascending) added.
 
     ``docs`` has ``text``, ``benchmark`` has ``item_id`` and ``text``. A null or wordless text has no words and no
-    hits; items without words are not found anywhere; repeated items count once. Added columns replace
-    columns of the same name. A benchmark of up to ``block_bytes`` goes to every task; a larger one does so
+    hits; items without words are not found anywhere; repeated items count once; items without an item_id are searched
+    for like all others, but are not among the ids. Added columns replace columns of the same name. A benchmark of up to ``block_bytes`` goes to every task; a larger one does so
     block by block, and what the blocks found is brought together by row.
     """
     spark = docs.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    benchmark = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     docs = docs.drop("n_words", "n_hit", "items")
     if blocks == 1:
         return _search(docs, [(r.item_id, r.text) for r in benchmark.collect()], width)
-    row = free_name(docs, "row")
+    row, where = free_name(docs, "row"), free_name(docs, "spans")
     docs = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
-    benchmark = checkpointed(benchmark.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks * 2))))
+    # blocks by a running sum of bytes, inside parts of the distinct items and then over the parts
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(partitions(spark)))
+    items = checkpointed(benchmark.distinct().withColumns({"part": part, "size": F.octet_length("text")}))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = items.groupBy("part").agg(F.sum("size").alias("all")).select("part", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("before"))  # a row for each part
+    inside = F.sum("size").over(Window.partitionBy("part").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = items.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "part")
+    benchmark = checkpointed(numbered.select("item_id", "text", F.floor((F.col("before") + F.col("inside")) / block_bytes).alias("block")))
     found = None
-    for k in range(blocks * 2):
+    for k in sorted(r.block for r in benchmark.select("block").distinct().collect()):
         items = [(r.item_id, r.text) for r in benchmark.filter(F.col("block") == k).collect()]
         part = _search(docs.select(row, "text"), items, width, spans=True).filter("size(items) > 0").select(row, "spans", "items")
         found = part if found is None else found.unionByName(part)
-    found = found.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = found.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias(where), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     words = _search(docs.select(row, "text"), [], width).select(row, "n_words")
     # spans are (start, end) of words; their union is counted
     joined = F.aggregate(
-        F.array_sort("spans"), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
+        F.array_sort(where), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["end"]))).alias("n"), F.greatest(a["end"], x["end"]).alias("end")),
         lambda a: a["n"],
     )
     return (
         docs.join(words, row).join(found, row, "left")
         .withColumns({"n_hit": F.coalesce(joined, F.lit(0).cast("bigint")), "items": F.coalesce("items", F.array().cast("array<bigint>"))})
-        .drop(row, "spans")
+        .drop(row, where)
     )
 
 
@@ -242,11 +250,11 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], width: int, spans: bo
                 arrays.append(pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(tasks, schema)
+    return map_arrow(docs, tasks, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = find_benchmark(docs.select("doc_id", "text"), benchmark, width)
+    found = find_benchmark(docs.select("doc_id", "text"), benchmark, width, block_bytes)
     as_text = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(as_text, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .learning import Counts, counted, sample
 from .subwords import counts_by_row
+from .tables import free_name, map_arrow, quoted, with_fields
 from .texts import cuts, text_buffers
 
 SIZES = (1, 2, 3)
@@ -109,7 +111,7 @@ def identify(docs: DataFrame, coder: Coder | None) -> DataFrame:
     docs = docs.drop("lang_pred", "score", "ambiguous")
     kept = [c for c in docs.columns if c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(coder)
-    schema = ", ".join(f"`{c.replace('`', '``')}` {kind}" for c, kind in docs.drop("text").dtypes)
+    schema = with_fields(docs.drop("text").schema, lang_pred=T.StringType(), score=T.DoubleType(), ambiguous=T.BooleanType())
 
     def tasks(batches):
         coder = shared.value
@@ -131,5 +133,5 @@ def identify(docs: DataFrame, coder: Coder | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], names=[*kept, "lang_pred", "score", "ambiguous"])
 
     has_letter = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    lead = docs.select(F.col("text").cast("string").alias("__text"), has_letter.alias("__letter"), *[F.col(f"`{c}`") for c in kept])
-    return lead.mapInArrow(tasks, f"{schema}{', ' if schema else ''}lang_pred string, score double, ambiguous boolean")
+    lead = docs.select(F.col("text").cast("string").alias(free_name(docs, "text_")), has_letter.alias(free_name(docs, "letter_")), *[F.col(quoted(c)) for c in kept])
+    return map_arrow(lead, tasks, schema)

@@ -16,7 +16,7 @@ import bisect
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import checkpointed, free_name, partitions
+from .tables import checkpointed, free_name, partitions, quoted
 
 MATCHES = "length bigint, first bigint, items bigint, sequence bigint, per_sequence bigint, place bigint"
 
@@ -97,7 +97,7 @@ def best_fit(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = (
     placed = rows.join(match, (F.col("piece.length") == F.col("match.length")) & (n >= 0) & (n < F.col("match.items")))
     each, size = F.col("match.per_sequence"), F.col("match.length")
     return placed.select(
-        *[F.col(f"piece.`{c}`") for c in ranked.columns if c != number],
+        *[F.col(f"piece.{quoted(c)}") for c in ranked.columns if c != number],
         (F.col("match.sequence") + F.floor(n / each)).cast("bigint").alias("sequence_id"),
         (F.col("match.place") + F.pmod(n, each) * size).cast("bigint").alias("offset"),
     )

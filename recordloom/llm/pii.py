@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import free_name
+from .tables import free_name, own_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. Quantifiers that nothing follows, or that cannot overlap with what follows, are
@@ -26,11 +26,12 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # runs of fewer than twelve digits could neither be valid nor be candidates, and a shorter part of a run has fewer still
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a row's text must hold before its pattern is tried.
-HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 #: Looser forms: spelled-out addresses, long form of network addresses, digit groups, national numbers.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]{1,64}+(?:\x20?(?:\.|[(\[](?:dot|DOT)[)\]])\x20?[A-Za-z0-9-]{1,64}+){1,6}+",
@@ -52,6 +53,9 @@ BEFORE, AFTER = 24, 1
 #: An added span has at least this probability.
 THRESHOLD = 0.95
 
+#: Matches whose places are summed up at once.
+PART = 256
+
 _SPAN = "array<struct<start: int, end: int, found: string>>"
 
 
@@ -59,15 +63,26 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
     """Leftmost matches that do not overlap, as (start, end, found) in characters, end exclusive."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + x["gap"]
         span = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), x["found"].alias("found"))
         return F.struct((begin + x["size"]).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
+    def part(pairs: Column, at: Column, k: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out"))
+        return F.aggregate(F.slice(pairs, k * PART + 1, F.lit(PART)), start, step, lambda a: a["out"])
+
+    def placed(pairs: Column) -> Column:
+        """Places are sums of what is before: first over parts of PART matches, then inside each, so that no array grows with all."""
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PART).cast("int")), lambda k: F.aggregate(F.slice(pairs, k * PART + 1, F.lit(PART)), F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.when(F.size(pairs) > 0, F.flatten(F.transform(starts, lambda at, k: part(pairs, at, k))))
+
+    spans = F.get(F.transform(F.array(pairs), placed), F.lit(0))  # the matches are found once
     hinted = text.contains(hint) if hint == "@" else text.rlike(hint)
-    return F.when(hinted, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    return F.coalesce(F.when(hinted, spans), F.array().cast(_SPAN))
 
 
 def _digits(found: Column) -> Column:
@@ -269,7 +284,7 @@ def redact(docs: DataFrame, model: SpanClassifier | None = None, text: str = "te
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     masked = F.aggregate(places, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size(name) > 0, masked).otherwise(body)).select(*docs.columns)
+    return found.withColumn(text, F.when(F.size(name) > 0, masked).otherwise(body)).select(*own_columns(docs))
 
 
 def personal_data(docs: DataFrame, model: SpanClassifier | None = None) -> DataFrame:

@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .learning import ORDER, Counts, counted, sample
 from .subwords import pieces
-from .tables import least_hashed
+from .tables import free_name, least_hashed, map_arrow, quoted, with_fields
 from .texts import cuts, text_buffers
 
 SIZES = (3, 4, 5)
@@ -82,7 +83,7 @@ def score(docs: DataFrame, model: Embeddings) -> DataFrame:
     """
     docs = docs.drop("score")
     kept = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c.replace('`', '``')}` {kind}" for c, kind in docs.drop("text").dtypes)
+    schema = with_fields(docs.drop("text").schema, score=T.DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tasks(batches):
@@ -102,5 +103,5 @@ def score(docs: DataFrame, model: Embeddings) -> DataFrame:
                 out.append(model.scores(sums, counts))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(out))], names=[*kept, "score"])
 
-    lead = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept])
-    return lead.mapInArrow(tasks, f"{schema}{', ' if schema else ''}score double")
+    lead = docs.select(F.col("text").cast("string").alias(free_name(docs, "text_")), *[F.col(quoted(c)) for c in kept])
+    return map_arrow(lead, tasks, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import checkpointed, free_name, least_hashed, with_fields
+from .tables import checkpointed, free_name, least_hashed, map_arrow, own_columns, with_fields
 from .texts import Rolling, byte_codes, cuts, mix, same_spans, space_table, text_buffers, word_bounds, word_codes
 
 #: Labelled rows that are learned from, at most.
@@ -115,7 +115,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
             stats = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[:, k]) for k in range(len(COUNTS)))], names=names)
 
-    return docs.mapInArrow(tasks, schema)
+    return map_arrow(docs, tasks, schema)
 
 
 def features() -> dict[str, Column]:
@@ -223,10 +223,10 @@ def sampled(labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
 def train(stats: DataFrame, marks: DataFrame, bound: int = TRAINING_ROWS) -> list[Rule]:
     """Rules from ``stats`` (doc_id, COUNTS) and sampled() labels (quality 0 is rejected).
 
-    Rows that share a doc_id all count, up to four times ``bound`` rows in all; without any labelled row there are no rules.
+    Rows that share a doc_id all count, up to four times ``bound`` rows in all (those first by hash of the id); without any labelled row there are no rules.
     """
     rows = stats.select("doc_id", *COUNTS).join(F.broadcast(marks), "doc_id").select(*[c.alias(k) for k, c in features().items()], "quality", "sample_order")
-    rows = rows.limit(4 * bound).toPandas().sort_values(["sample_order", "quality", *features()], ignore_index=True)
+    rows = rows.orderBy("sample_order", "quality", *features()).limit(4 * bound).toPandas()
     return learn({k: rows[k].to_numpy(float) for k in features()}, (rows["quality"] == 0).to_numpy()) if len(rows) else []
 
 
@@ -261,4 +261,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) ->
     own = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c in COUNTS}
     rows = with_stats(docs.withColumnsRenamed(own)).filter(~base_failed() & verdict(rules))
     back = {new: old for old, new in own.items()}
-    return rows.drop(*COUNTS).withColumnsRenamed(back).select(*docs.columns)
+    return rows.drop(*COUNTS).withColumnsRenamed(back).select(*own_columns(docs))

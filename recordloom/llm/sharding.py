@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import checkpointed, free_name, partitions
+from .tables import checkpointed, free_name, own_columns, partitions
 
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
@@ -128,5 +128,5 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, p
     counts = counts.select("shard", part, F.coalesce(F.sum(number).over(ahead), F.lit(0)).alias("slot"))
     rank = F.row_number().over(Window.partitionBy("shard", part).orderBy(hash_, id_)) - 1
     # the one exchange of whole rows
-    placed = sharded(keyed.select(*docs.columns, "size", hash_, id_), hash_, id_).withColumn(number, rank).join(counts, ["shard", part])
-    return placed.select(*docs.columns, "size", "shard", (F.col("slot") + F.col(number)).cast("bigint").alias("slot"))
+    placed = sharded(keyed.select(*own_columns(docs), "size", hash_, id_), hash_, id_).withColumn(number, rank).join(counts, ["shard", part])
+    return placed.select(*own_columns(docs), "size", "shard", (F.col("slot") + F.col(number)).cast("bigint").alias("slot"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,19 @@ def own_columns(frame: DataFrame) -> list[str]:
     return [quoted(c) for c in frame.columns]
 
 
+def map_arrow(frame: DataFrame, tasks: Callable, schema: T.StructType) -> DataFrame:
+    """mapInArrow() for tables whose columns may have any names: inside, columns are told by place."""
+    inner = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema.fields)])
+    names = inner.names
+
+    def renamed(batches):
+        for batch in tasks(batches):
+            yield batch.rename_columns(names)
+
+    plain = frame.toDF(*[f"c{k}" for k in range(len(frame.columns))])
+    return plain.mapInArrow(renamed, inner).toDF(*schema.names)
+
+
 def join_hot(rows: DataFrame, lookup: DataFrame, key: str, parts: int = 1000) -> DataFrame:
     """``rows`` (stored, read twice) joined with ``lookup``, which has one row for each value of ``key`` that rows have.
 
