@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import decontamination, packing, pii, rules, simhash
 from recordloom.llm.queries import vocabulary
-from recordloom.llm.tables import free_name, read
+from recordloom.llm.tables import free_name, own_columns, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +31,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     own = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c in ("n_words", "n_hit", "items")}
     found = decontamination.find_benchmark(docs.withColumnsRenamed(own), read(spark, sf_dir, "benchmark"), width=10)
     clean = found.withColumn(hit, F.col("n_hit") > 0).drop("n_words", "n_hit", "items").withColumnsRenamed({v: k for k, v in own.items()})
-    return clean.filter(~F.col(hit)).select(*docs.columns)
+    return clean.filter(~F.col(hit)).select(*own_columns(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text where there is one."""
     masked = pii.redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else masked
+    return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*own_columns(docs)) if "n_chars" in docs.columns else masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
