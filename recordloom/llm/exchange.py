@@ -5,7 +5,7 @@ what one task can settle by itself, and send one row of packed arrays per destin
 of one row per fingerprint. A fingerprint that is very common leaves a task at most once (or twice,
 where two contexts matter), so a hot passage costs its bucket no more rows than there are tasks.
 Before anything is taken to be equal across documents, a second hash of the same bytes (``val``) is compared
-too, so equal means equal in 128 bits.
+too, so equal means equal in 96 bits, or 128 for whole texts.
 
 Rows: ``bucket int, tag int, doc binary, key binary, val binary``. Buckets below ``n`` are chosen by the
 key; a row for a document goes to ``n`` + the document's bucket while it only passes through a stage.
@@ -29,6 +29,8 @@ NAMES = ("bucket", "tag", "doc", "key", "val")
 ARROW = pa.schema([("bucket", pa.int32()), ("tag", pa.int32()), ("doc", pa.binary()), ("key", pa.binary()), ("val", pa.binary())])
 #: Buckets for each shuffle partition. Rows of packed arrays number up to buckets squared, so there are no more than tasks.
 BUCKETS_PER_PARTITION = 1
+#: Bits of a second hash that are sent: the planes of the others hold zeros.
+SECOND = np.uint64(0xFFFFFFFF00000000)
 #: Text that one task gathers before it sends its fingerprints, in bytes.
 SEND_BYTES = 48 << 20
 
@@ -242,7 +244,7 @@ def windows_settled(n: int) -> Callable:
 
 def windows_sent(key: np.ndarray, doc: np.ndarray, val: np.ndarray, n: int) -> list[tuple]:
     """Rows for windows_settled(): what this task can settle itself, and the smallest document of each window."""
-    key, doc, least, _, val = distinct_pairs(key, doc, val)
+    key, doc, least, _, val = distinct_pairs(key, doc, val & SECOND)
     later = doc > least
     own = spread(DROP_WINDOW, n + doc_bucket(doc[later], n), doc[later], key[later])
     return own + spread(SENT, key_bucket(key[~later], n), doc[~later], key[~later], val[~later])

@@ -7,7 +7,7 @@ dictionary to share. How far a symbol depends on its surroundings is tracked exa
 windows the interior symbols are equal. Each window picks, by the least name, one of its interior
 symbols of the highest level that has any; only these symbols (with the words that decide them) are
 exchanged. Symbols shared by several documents reveal where windows may repeat; those windows, and no
-others, are then compared across documents, by two independent hashes of their words (128 bits).
+others, are then compared across documents, by two independent hashes of their words (96 bits).
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ there, and levels of equal size are merged, so a batch is scanned against logari
 found in several documents are then extended to whole windows: first the stretch of all windows that
 chose a suffix is compared at once, and only stretches that differ, though a suffix with enough bytes to
 its left or right is shared, are compared window by window. Whole copies of a text are told apart first.
-Texts, stretches and windows are equal if two independent hashes of their bytes (128 bits) are.
+Texts, stretches and windows are equal if two independent hashes of their bytes (128 bits, 96, and 96) are.
 """
 
 from __future__ import annotations
@@ -216,7 +216,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, core: int = CORE, bu
                 continue
             ctx, ids = cut.contexts(take), doc[own[take]]
             ctx_all.append(ctx)
-            second_all.append(cut.contexts(take, cut.second()))
+            second_all.append(cut.contexts(take, cut.second()) & X.SECOND)
             doc_all.append(ids)
             for side in sides:
                 ext, which = cut.extended(take, side)
