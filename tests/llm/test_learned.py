@@ -132,3 +132,67 @@ def test_quality_edges(spark):
     assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     assert out[0].score == out[1].score
     assert quality.score(docs.limit(0), quality.train(docs, labels.limit(0))).count() == 0
+
+
+def pieces_by_hand(text, sizes, words, bits):
+    """Buckets of all pieces of a text, one piece at a time."""
+    from recordloom.llm.subwords import ECHO
+    from recordloom.llm.texts import MULTIPLIER, Rolling, byte_codes, mix
+
+    data = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\v\f\r" else b for b in (text or "").encode())
+
+    def code(part):
+        return Rolling(byte_codes()[np.frombuffer(part, np.uint8)]).slices([0], [len(part)])
+
+    shift, out = np.uint64(64 - bits), []
+    for n in sizes:
+        for i in range(len(data) - n + 1):
+            if b" " not in data[i + 1 : i + n - 1] and data[i : i + n] != b" ":
+                out.append(int((code(data[i : i + n]) * np.uint64(MULTIPLIER) >> shift)[0]))
+    if words:
+        found = [w for w in data.split(b" ") if w]
+        out += [int((mix(code(w)) >> shift)[0]) for w in found] + [ECHO for a, b in zip(found, found[1:]) if a == b]
+    return out
+
+
+SHORT = ["", None, "a", "The cat, the cat sat", "é è é è  à\tà", "una casa blanca", "der Hund und die Katze", "x" * 40, "le le le chat"]
+
+
+def test_language_by_hand(spark):
+    rows = [(i, t, ("en", "fr", "es", "de")[i % 4]) for i, t in enumerate(SHORT * 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    coder = language.train(docs)
+    for r in language.identify(docs, coder).collect():
+        if not re.search(r"[^\W\d_]", r.text if "text" in r else rows[r.doc_id][1] or ""):
+            assert (r.lang_pred, r.score) == ("und", 1.0)
+            continue
+        buckets = pieces_by_hand(rows[r.doc_id][1], language.SIZES, False, language.BITS)
+        share = np.bincount(buckets, minlength=1 << language.BITS) / len(buckets)
+        margin = np.clip(share @ coder.weights + coder.bias, -8, 8)
+        loss = [sum(abs(m) * np.log1p(np.exp(-m * c)) for m, c in zip(margin, code)) for code in coder.code]
+        assert r.lang_pred == coder.names[int(np.argmin(loss))]
+        assert abs(r.score - 1 / sum(np.exp(min(loss) - x) for x in loss)) < 1e-4
+
+
+def test_quality_by_hand(spark):
+    docs = spark.createDataFrame(list(enumerate(SHORT * 2)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2 * len(SHORT))], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    for r in quality.score(docs, model).collect():
+        buckets = pieces_by_hand((SHORT * 2)[r.doc_id], quality.SIZES, True, quality.BITS)
+        hidden = np.mean([model.vectors[b] for b in buckets], axis=0) if buckets else np.zeros(quality.DIMENSIONS)
+        logit = hidden @ model.layer + model.bias
+        assert abs(r.score - np.exp(logit[1]) / np.exp(logit).sum()) < 1e-5
+
+
+def test_verdicts_by_hand(spark, sf_dir):
+    """kept of every row, with the learned rules read one after another."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    found = rules.train(rules.with_stats(docs.select("doc_id", "text")).drop("text"), rules.sampled(labels))
+    assert found
+    for r in rules.judge(docs, labels).collect():
+        w, lines, chars = max(r.n_words, 1), max(r.n_lines, 1), max(r.word_chars, 1)
+        x = {"n_words": r.n_words, "mean_word": r.word_chars / w, "symbols": r.n_symbols / w, "dup_lines": r.n_dup_lines / lines, "repeats": r.n_repeat_words / w, "line_words": r.n_words / lines,
+             "upper": r.n_upper / chars, "digits": r.n_digits / chars, "marks": r.n_marks / w, "distinct": r.n_distinct_words / w}
+        rejected = any(all((x[n] >= t) if above else (x[n] < t) for n, above, t in rule.conditions) for rule in found)
+        assert r.kept == (not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not rejected)
