@@ -26,23 +26,29 @@ class Threshold:
 
 @dataclass(frozen=True)
 class Scale:
-    field: str
+    """A linear map of the values of one entry, or of every image where ``field`` is blank."""
+
+    field: str | None
     source_min: float
     source_max: float
     target_min: float = 0.0
     target_max: float = 1.0
 
     def __call__(self, r: Record) -> Record:
-        return r.put(self.field, A.scale(r[self.field], self.source_min, self.source_max, self.target_min, self.target_max), r.kinds.get(self.field))
+        fields = r.targets(self.field)
+        return r.put_all({f: A.scale(r[f], self.source_min, self.source_max, self.target_min, self.target_max) for f in fields}, {f: r.kinds[f] for f in fields if f in r.kinds})
 
 
 @dataclass(frozen=True)
 class ToType:
-    field: str
+    """A cast of one entry, or of every image where ``field`` is blank."""
+
+    field: str | None
     dtype: str
 
     def __call__(self, r: Record) -> Record:
-        return r.put(self.field, A.to_type(r[self.field], self.dtype), r.kinds.get(self.field))
+        fields = r.targets(self.field)
+        return r.put_all({f: A.to_type(r[f], self.dtype) for f in fields}, {f: r.kinds[f] for f in fields if f in r.kinds})
 
 
 @dataclass(frozen=True)

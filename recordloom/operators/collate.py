@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.plans.record import Record
 
@@ -38,3 +41,68 @@ def uncollate(batch: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each record of each batch: batch_id, place, entries."""
     rows = batch.select("batch_id", F.posexplode(F.arrays_zip(*keys)).alias("place", "row"))
     return rows.select("batch_id", F.col("place").cast("bigint").alias("place"), *[F.col("row")[k].alias(k) for k in keys])
+
+
+_COLLATES: dict[str, Callable[[Record, int], DataFrame]] = {"record": collate}
+
+
+def register_collate(name: str, function: Callable[[Record, int], DataFrame]) -> None:
+    """A way to make batches of records, by name; a later one of the same name takes its place."""
+    _COLLATES[name] = function
+
+
+def get_collate(name: str = "record") -> Callable[[Record, int], DataFrame]:
+    if name not in _COLLATES:
+        raise KeyError(f"no collate {name!r} ({registered_collates()})")
+    return _COLLATES[name]
+
+
+def registered_collates() -> list[str]:
+    return sorted(_COLLATES)
+
+
+def batch_values(batch: DataFrame, key: str) -> DataFrame:
+    """(batch_id, values) of one entry; items that carry a ``value`` give that value."""
+    kind = batch.schema[key].dataType.elementType
+    wrapped = isinstance(kind, T.StructType) and "value" in kind.names
+    return batch.select("batch_id", (F.transform(key, lambda x: x["value"]) if wrapped else F.col(key)).alias("values"))
+
+
+def batch_metadata(batch: DataFrame, exclude: Iterable[str] = ()) -> DataFrame | None:
+    """One row per record (batch_id, place, entries) but for the excluded entries; None if none is left.
+
+    Where entries differ in length a batch has as many records as the shortest.
+    """
+    skip = {"batch_id", *exclude}
+    keys = [k for k in batch.columns if k not in skip]
+    if not keys:
+        return None
+    shortest = F.array_min(F.array(*[F.size(k) for k in keys]))
+    return uncollate(batch.select("batch_id", *[F.slice(k, F.lit(1), shortest).alias(k) for k in keys]), keys)
+
+
+def batch_boxes(batch: DataFrame, key: str) -> DataFrame:
+    """One row per record (batch_id, place) with those fields of its boxes entry that the entry has."""
+    fields = [n for n in ("boxes", "labels", "scores") if n in batch.schema[key].dataType.elementType.names]
+    rows = batch.select("batch_id", F.posexplode(key).alias("place", "item"))
+    return rows.select("batch_id", F.col("place").cast("bigint").alias("place"), *[F.col("item")[n].alias(n) for n in fields])
+
+
+def per_record_predictions(batch: DataFrame, key: str) -> DataFrame:
+    """One row per record (batch_id, place, prediction) of what a model gave for a whole batch.
+
+    An array has an element per record; a struct with ``predictions`` holds that array; a struct of arrays of one length
+    is cut across (other lengths are an error); anything else is the one prediction of its batch.
+    """
+    kind, x = batch.schema[key].dataType, F.col(key)
+    if isinstance(kind, T.StructType) and "predictions" in kind.names:
+        x = x["predictions"]
+    elif isinstance(kind, T.StructType) and all(isinstance(f.dataType, T.ArrayType) for f in kind.fields):
+        sizes = F.array_distinct(F.array(*[F.size(x[n]) for n in kind.names]))
+        rows = F.arrays_zip(*[x[n].alias(n) for n in kind.names])
+        rows = rows.cast(T.ArrayType(T.StructType([T.StructField(f.name, f.dataType.elementType) for f in kind.fields])))
+        x = F.when(F.size(sizes) == 1, rows).otherwise(F.raise_error(F.concat(F.lit(f"{key}: lengths differ: "), sizes.cast("string"))))
+    elif not isinstance(kind, T.ArrayType):
+        x = F.array(x)
+    rows = batch.select("batch_id", F.posexplode(x).alias("place", "prediction"))
+    return rows.withColumn("place", F.col("place").cast("bigint"))

@@ -775,3 +775,83 @@ def image_tensor(spark, folder):
     r = ToTensor("image", "tensor")(r.put("image", from_array(values, 4, 3), "Image"))
     r = r.put_all({k: r["tensor"][k] for k in ("shape", "data")})
     return SelectFields(["vec_id", "shape", "data"])(r).result()
+
+
+@query("SELECT batch_id, place, event_type, value FROM (SELECT event_id // 50 AS batch_id, event_id % 50 AS place, event_type, value, count(*) OVER (PARTITION BY event_id // 50) AS n FROM events) WHERE place < n - 1")
+def batch_metadata(spark, folder):
+    """One entry of each batch is short by a record, so the batch's records are."""
+    from recordloom.operators.collate import batch_metadata as unbatched
+
+    batch = Stream(SelectFields(["event_id", "event_type", "value"])(table(spark, folder, "events", "event_id"))).batch(50)
+    return unbatched(batch.withColumn("value", F.slice("value", F.lit(1), F.size("value") - 1)), exclude=["event_id"])
+
+
+@query(f"SELECT vec_id // 32 AS batch_id, vec_id % 32 AS place, e[1] AS first, e[2:3] AS rest FROM {_V}")
+def batch_predictions(spark, folder):
+    """A model's answer for a batch as a whole, cut into one for each record."""
+    from recordloom.operators.collate import per_record_predictions
+
+    batch = collate(SelectFields(["embedding"])(_vectors(spark, folder)), 32)
+    answer = F.struct(F.transform("embedding", lambda x: x[0]).alias("first"), F.transform("embedding", lambda x: F.slice(x, 2, 2)).alias("rest"))
+    out = per_record_predictions(batch.select("batch_id", answer.alias("answer")), "answer")
+    return out.select("batch_id", "place", "prediction.first", "prediction.rest")
+
+
+@query("""SELECT l_orderkey // 64 AS batch_id, row_number() OVER (PARTITION BY l_orderkey // 64 ORDER BY l_orderkey) - 1 AS place, boxes, labels
+FROM (SELECT l_orderkey, list([l_linenumber::DOUBLE, w] ORDER BY l_linenumber, w) AS boxes, list(l_linenumber::BIGINT ORDER BY l_linenumber) AS labels FROM (SELECT *, (l_suppkey % 8 + 1)::DOUBLE AS w FROM lineitem) GROUP BY l_orderkey)""")
+def batch_boxes(spark, folder):
+    from recordloom.operators.collate import batch_boxes as unbatched
+
+    line = F.struct("l_linenumber", (F.col("l_suppkey") % 8 + 1).cast("double").alias("w"))
+    orders = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    item = F.struct(
+        F.transform("lines", lambda x: F.array(x["l_linenumber"].cast("double"), x["w"])).alias("boxes"),
+        F.transform("lines", lambda x: x["l_linenumber"].cast("bigint")).alias("labels"),
+    )
+    by_number = records(orders.withColumn("rank", F.col("l_orderkey")).select("rank", item.alias("target")), "rank")
+    return unbatched(collate(by_number, 64), "target")
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 1.25 + o_custkey, 6) AS o_totalprice, o_totalprice > 1000 AS big FROM (SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_totalprice FROM orders)")
+def declared_algorithm(spark, folder):
+    from recordloom.operators.algorithm import Algorithm, Input, Output, Param
+
+    class Surcharge(Algorithm):
+        rate = Param(1.1)
+        limit = Param(1000)
+        price = Input()
+        extra = Input()
+        total = Output(replaces="price")
+        big = Output()
+
+        def compute(self, price, extra):
+            return {"total": F.round(price * self.rate + extra, 6), "big": price > self.limit}
+
+    r = table(spark, folder, "orders", "o_orderkey")
+    r = Surcharge(keys={"price": "o_totalprice", "extra": "o_custkey"}, rate=1.25)(r.put("o_totalprice", r["o_totalprice"].cast("double")))
+    return SelectFields(["o_orderkey", "o_totalprice", "big"])(r).result()
+
+
+@query("SELECT vec_id, label, [len(embedding)] AS shape, 'double' AS dtype FROM embeddings")
+def metadata_scan(spark, folder):
+    from recordloom.sources.metadata import record_metadata
+
+    r = record_metadata(SelectFields(["vec_id", "label", "embedding"])(_vectors(spark, folder)))
+    return r.put_all({"shape": r["embedding"]["shape"], "dtype": r["embedding"]["dtype"]}).result().select("vec_id", "label", "shape", "dtype")
+
+
+@query("SELECT vec_id AS target, label AS input FROM embeddings")
+def graph_contract(spark, folder):
+    """The records as their host names them: a swap of two entries by wires, checked before the job."""
+    from recordloom.operators.contract import GraphContract
+
+    r = table(spark, folder, "embeddings", "vec_id")
+    r = r.put_all({"input": r["vec_id"], "target": r["label"]})
+    wired = GraphContract("host", {"classes": list}, {"input": "*", "target": "*"}, delivered={"classes": ["a", "b"], "input": "target", "target": "input"})
+    return SelectFields(["input", "target"])(wired.stream(r)).result()
+
+
+@query(f"SELECT vec_id, list_transform(e, lambda x: round((x + 1) / 2 * 255, 9)) AS embedding, label FROM {_V}")
+def scale_images(spark, folder):
+    """No field is named: every image is scaled, a label is not."""
+    return six(SelectFields(["vec_id", "embedding", "label"])(Scale(None, -1.0, 1.0, 0.0, 255.0)(_vectors(spark, folder))).result(), "embedding", digits=9)

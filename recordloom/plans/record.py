@@ -68,6 +68,14 @@ class Record:
             raise ValueError(f"no entry of type {kind} (entries: {list(self.entries)})")
         return found
 
+    def targets(self, field: str | None) -> list[str]:
+        """The entries that an array operator changes: the named one, or every image (a mask's numbers are class ids)."""
+        if field:
+            if field not in self.entries:
+                raise KeyError(f"no entry {field!r} (entries: {list(self.entries)})")
+            return [field]
+        return [k for k in self.entries if self.kinds.get(k) == "Image"]
+
     def result(self, ordered: bool = False, position: str | None = None) -> DataFrame:
         """The entries as columns; sorted by position, or with the position as a column, where asked."""
         frame = self.frame.orderBy(*self.order) if ordered else self.frame
@@ -145,11 +153,11 @@ class Stream:
             raise TypeError("a stream that expands records has no length")
         return self.source.frame.count()
 
-    def batch(self, size: int) -> DataFrame:
-        """Batches of ``size`` records in order, the last may be short."""
-        from recordloom.operators.collate import collate
+    def batch(self, size: int, how: str = "record") -> DataFrame:
+        """Batches of ``size`` records in order, the last may be short; ``how`` names a registered collate."""
+        from recordloom.operators.collate import get_collate
 
-        return collate(self.record(), size)
+        return get_collate(how)(self.record(), size)
 
     def to_sink(self, sink) -> None:
         sink.write(self.record())

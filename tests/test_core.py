@@ -13,9 +13,11 @@ from recordloom.functions import draws, quantity
 from recordloom.functions.expressions import ExpressionError, translate
 from recordloom.operators import labels as L
 from recordloom.operators.arrays import Threshold, ToType
-from recordloom.operators.collate import collate, stacked
-from recordloom.operators.contract import ContractError, RecordContract, check_chain
+from recordloom.operators.algorithm import Algorithm, Input, Output, Param, algorithm_spec
+from recordloom.operators.collate import batch_metadata, batch_values, collate, per_record_predictions, register_collate, registered_collates, stacked
+from recordloom.operators.contract import ChainError, ClassNames, ContractError, GraphContract, RecordContract, check_chain, flag_producers
 from recordloom.operators.control import Enable, Pipeline, RandomApply
+from recordloom.operators.debug import PrintRecord
 from recordloom.operators.detection import ConvertFromBoxes, ConvertToBoxes
 from recordloom.operators.regions import components, greedy_matches, overlaps, stack_components
 from recordloom.operators.structure import CopyField, DropField, Formula, PutField, RandomNumber, RenameField, SelectFields, Where, WiredEntries
@@ -23,6 +25,7 @@ from recordloom.plans.process import trace
 from recordloom.plans.record import Flow, Step, StepReferenceError, Stream, records
 from recordloom.sources import files, views
 from recordloom.sources.datasets import dataset
+from recordloom.sources.metadata import dataset_uri, dataset_uris, record_metadata
 from recordloom.sources.order import with_rank
 from recordloom.sources.store import DirectoryStore, ParquetStore
 
@@ -322,3 +325,82 @@ def test_box_operators_refuse(spark):
         ConvertToBoxes(normalized=True)
     with pytest.raises(Exception, match="without a canvas"):
         ConvertFromBoxes(normalized=True)(out).result().collect()
+
+
+def test_chains_and_graphs(small):
+    class Op:
+        def __init__(self, **declared):
+            self.__dict__.update(declared)
+
+    bright, dim = Op(flags=("bright",), reports="light"), Op(requires="bright", reports="dark")
+    check_chain([bright, dim])
+    check_chain([dim], raised=["bright"])
+    assert flag_producers([dim, bright]) == {"bright": 1}
+    for ops, text in (([dim, bright], "waits"), ([bright, Op(flags=("bright",))], "raised by"), ([bright, Op(reports="light")], "both report"), ([Op(consumes={"m": "*"}), Op(produces={"m": "*"}, name="late")], "late makes it")):
+        with pytest.raises(ChainError, match=text):
+            check_chain(ops)
+    graph = dict(outputs={"classes": list}, records={"target": "*"})
+    for delivered, text in (({}, "nothing is delivered"), ({"classes": "a"}, "is a str"), ({"classes": [], "more": 1}, "no slots"), ({"classes": [], "target": 3}, "is a name")):
+        with pytest.raises(ContractError, match=text):
+            GraphContract("g", delivered=delivered, **graph).check()
+    with pytest.raises(ContractError, match="no entries"):
+        GraphContract("g", delivered={"classes": ["a"], "target": "gone"}, **graph).stream(small)
+    with pytest.raises(ContractError, match="declared under"):
+        GraphContract("g", {"x": list}, {"x": "*"}).check()
+    done = GraphContract("g", delivered={"classes": ["a"], "target": "file"}, **graph)
+    assert done.class_names == ["a"] and values(done.stream(small), "target") == values(small, "file")
+    with pytest.raises(ContractError):
+        ClassNames(("a", "a"))
+
+
+def test_declared_algorithms(small):
+    class Gain(Algorithm):
+        factor = Param()
+        x = Input()
+        y = Output("Signal", replaces="x")
+
+        def compute(self, x):
+            return {"y": x * self.factor}
+
+    class Twice(Gain):
+        factor = Param(2)
+
+    assert [s.name for s in algorithm_spec(Twice)["param"]] == ["factor"] and Twice().produces == {"x": "Signal"}
+    out = Twice(keys={"x": "id"})(small)
+    assert values(out, "id") == [0, 2, 4, 6, 8] and out.kinds["id"] == "Signal"
+    assert values(Twice(keys={"x": "id", "y": "z"})(small), "z") == [0, 2, 4, 6, 8]
+    check_chain([Twice(keys={"x": "id"})], ["id"])
+    for bad, text in ((lambda: Gain(), "needed"), (lambda: Twice(gain=1), "no slots"), (lambda: Twice(keys={"factor": "f"}), "no slots"), (lambda: type("Lost", (Algorithm,), {"y": Output(replaces="x")}), "no input")):
+        with pytest.raises(TypeError, match=text):
+            bad()
+    with pytest.raises(ValueError, match="the outputs are"):
+        type("Wrong", (Twice,), {"compute": lambda self, x: {}})()(small)
+
+
+def test_batch_readers(spark, small):
+    batch = Stream(SelectFields(["id", "x", "a"])(small)).batch(3)
+    assert [r["values"] for r in batch_values(batch, "id").orderBy("batch_id").collect()] == [[0, 1, 2], [3, 4]]
+    assert batch_metadata(batch, ["id", "x", "a"]) is None
+    with pytest.raises(KeyError, match="no collate"):
+        Stream(small).batch(3, "no")
+    register_collate("pairs", lambda r, size: collate(r, 2))
+    assert "pairs" in registered_collates() and Stream(small).batch(9, "pairs").count() == 3
+    bad = spark.sql("SELECT 1L AS batch_id, struct(array(1, 2) AS a, array(1) AS b) AS p, 5 AS one, struct(array('u', 'v') AS predictions) AS w")
+    with pytest.raises(Exception, match="lengths differ"):
+        per_record_predictions(bad, "p").collect()
+    assert [r.prediction for r in per_record_predictions(bad, "one").collect()] == [5]
+    assert [(r.place, r.prediction) for r in per_record_predictions(bad, "w").collect()] == [(0, "u"), (1, "v")]
+
+
+def test_metadata_and_printing(spark, sf_dir, small):
+    seen = []
+    assert PrintRecord("r", 2, out=seen.append)(small) is small and len(seen) == 3 and "file='d/b.txt'" in seen[2]
+    stubs = record_metadata(small.put("n", F.array(F.array(F.lit(1), F.lit(2))))).result().first()
+    assert list(stubs.a) == [[3], "double"] and list(stubs.n) == [[1, 2], "int"] and stubs.id == 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert dataset_uri(docs).endswith("documents.parquet") and dataset_uri(spark.range(3)) is None
+    assert len(dataset_uris(docs.select("doc_id").union(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id")))) == 2
+    masked = small.put("image", small["a"], "Image").put("mask", small["a"], "Mask")
+    assert masked.targets(None) == ["image"] and masked.targets("mask") == ["mask"]
+    with pytest.raises(KeyError):
+        masked.targets("no")
