@@ -16,7 +16,7 @@ from recordloom.operators.arrays import Normalize, NormalizeToUint8, Scale, Thre
 from recordloom.operators.collate import collate, uncollate
 from recordloom.operators.contract import RecordContract
 from recordloom.operators.control import ConfigureOp, Enable, Pipeline, RandomApply, Subgraph
-from recordloom.operators.predict import ClassificationPredictions, ModelPredict
+from recordloom.operators.predict import ClassificationPredictions, ModelDetect, ModelPredict, ModelRestore, ModelSegment
 from recordloom.operators.structure import CopyField, DropField, Expand, Formula, MapOp, PutField, RandomNumber, RenameField, SelectFields, Where, WiredEntries
 from recordloom.plans.record import Flow, Record, Step, Stream, records
 from recordloom.sources import views
@@ -855,3 +855,29 @@ def graph_contract(spark, folder):
 def scale_images(spark, folder):
     """No field is named: every image is scaled, a label is not."""
     return six(SelectFields(["vec_id", "embedding", "label"])(Scale(None, -1.0, 1.0, 0.0, 255.0)(_vectors(spark, folder))).result(), "embedding", digits=9)
+
+
+@query(f"SELECT vec_id, [list_position(c, list_max(c))::BIGINT - 1 FOR c IN [[e[p], e[p + 16], e[p + 32]] FOR p IN range(1, 17)]] AS mask, [e[(p % 3) * 16 + p // 3 + 1] FOR p IN range(48)] AS image FROM {_V}")
+def model_segment_restore(spark, folder):
+    """A model of three classes for sixteen pixels, and one that gives three planes of sixteen pixels back."""
+    planes = lambda: lambda x: x[:, :48].reshape(len(x), 3, 16)
+    r = ModelRestore(planes, "embedding", "image")(ModelSegment(planes, "embedding")(_vectors(spark, folder)))
+    return SelectFields(["vec_id", "mask", "image"])(r.put("mask", r["prediction_mask"])).result()
+
+
+def _detector():
+    """One box for each vector, and none where its first number is negative."""
+    def model(x):
+        return [{"boxes": [[1, 2, 3 + k % 4, 6]], "scores": [0.5], "labels": [k % 4]} if row[0] >= 0 else {"boxes": [], "scores": [], "labels": []} for k, row in zip((abs(x[:, 1]) * 1e6).round().astype(int), x)]
+
+    return model
+
+
+@query(f"SELECT vec_id, CASE WHEN e[1] >= 0 THEN [(2 * (3 + k % 4))::DOUBLE] ELSE [] END AS x1, CASE WHEN e[1] >= 0 THEN [24.0::DOUBLE] ELSE [] END AS y1, CASE WHEN e[1] >= 0 THEN [k % 4] ELSE [] END AS labels FROM (SELECT *, round(abs(e[2]) * 1e6)::BIGINT AS k FROM {_V})")
+def model_detect(spark, folder):
+    """Boxes found in a copy of 10 x 10 pixels, scaled to the original of 40 x 20."""
+    r = _vectors(spark, folder).put_all({"height": F.lit(40), "width": F.lit(20)})
+    r = ModelDetect(_detector, "embedding", (10, 10), ("height", "width"))(r)
+    boxes = r["prediction"]["boxes"]
+    r = r.put_all({"x1": F.transform(boxes, lambda b: b["x1"]), "y1": F.transform(boxes, lambda b: b["y1"]), "labels": r["prediction"]["labels"]})
+    return SelectFields(["vec_id", "x1", "y1", "labels"])(r).result()

@@ -19,6 +19,7 @@ from recordloom.operators.contract import ChainError, ClassNames, ContractError,
 from recordloom.operators.control import Enable, Pipeline, RandomApply
 from recordloom.operators.debug import PrintRecord
 from recordloom.operators.detection import ConvertFromBoxes, ConvertToBoxes
+from recordloom.operators.predict import ModelDetect, ModelPredict, ModelSegment
 from recordloom.operators.regions import components, greedy_matches, overlaps, stack_components
 from recordloom.operators.structure import CopyField, DropField, Formula, PutField, RandomNumber, RenameField, SelectFields, Where, WiredEntries
 from recordloom.plans.process import trace
@@ -404,3 +405,16 @@ def test_metadata_and_printing(spark, sf_dir, small):
     assert masked.targets(None) == ["image"] and masked.targets("mask") == ["mask"]
     with pytest.raises(KeyError):
         masked.targets("no")
+
+
+def test_models(spark):
+    r = records(spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 1.0])], "id bigint, a array<double>"), "id")
+    assert values(ModelPredict(lambda: lambda x: x, "a", batch_size=1)(r), "class_idx") == [1, None, 0]
+    assert values(ModelSegment(lambda: lambda x: x, "a")(r), "prediction_mask") == [[1, 2], None, [3, 1]]
+    found = values(ModelDetect(lambda: lambda x: [{"boxes": [list(v) * 2], "scores": [1], "labels": [7]} for v in x], "a", (10, 20))(r), "prediction")
+    assert found[1] is None and found[2].labels == [7] and found[2].boxes[0].y1 == 1.0 and found[2].canvas.width == 20.0
+    with pytest.raises(Exception, match="answers for"):
+        ModelPredict(lambda: lambda x: x[:0], "a")(r).result().collect()
+    ragged = records(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id bigint, a array<double>").coalesce(1), "id")
+    with pytest.raises(Exception, match="differ in length"):
+        ModelSegment(lambda: lambda x: x, "a")(ragged).result().collect()
