@@ -38,10 +38,14 @@ class Counts:
 
 
 def sample(labelled: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most ``bound`` ids' rows (text, label, ORDER), the same ones at every run: those whose hash is least."""
+    """At most ``bound`` rows (text, label, ORDER), the same ones at every run: those whose hash of the id is least.
+
+    Of rows that share an id, those come first whose text has the lesser hash.
+    """
     ids = least_hashed(labelled.select("doc_id").distinct(), "doc_id", bound, ORDER)
     # at most bound rows of two longs
-    return labelled.join(F.broadcast(ids), "doc_id").select("text", label, ORDER)
+    rows = labelled.join(F.broadcast(ids), "doc_id").select("text", label, ORDER)
+    return rows.orderBy(ORDER, F.xxhash64("text"), label).limit(bound)
 
 
 def counted(rows: DataFrame, label: str, sizes: tuple[int, ...], words: bool, bits: int) -> Counts:

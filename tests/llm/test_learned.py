@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from recordloom.llm import language, quality, rules
+from pyspark.sql import functions as F
+
+from recordloom.llm import language, learning, quality, rules
 from recordloom.llm.queries import op7_language_id, op9_quality_rules, op10_quality_classifier
 
 SF = "/root/testdata/sf0.01"
@@ -196,3 +198,9 @@ def test_verdicts_by_hand(spark, sf_dir):
              "upper": r.n_upper / chars, "digits": r.n_digits / chars, "marks": r.n_marks / w, "distinct": r.n_distinct_words / w}
         rejected = any(all((x[n] >= t) if above else (x[n] < t) for n, above, t in rule.conditions) for rule in found)
         assert r.kept == (not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not rejected)
+
+
+def test_sample_is_bounded_in_rows(spark):
+    one = spark.range(100_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), (F.col("id") % 2).cast("int").alias("quality"))
+    found = learning.sample(one, "quality", 10).collect()
+    assert len(found) == 10 and found == learning.sample(one.repartition(7), "quality", 10).collect()
