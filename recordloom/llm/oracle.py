@@ -42,3 +42,38 @@ kept AS (SELECT doc_id, string_agg(b, '' ORDER BY i) AS h FROM bytes ANTI JOIN g
 SELECT doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
 FROM n LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def _clustering(rounds: int, k: int = 8, size: int = 64, scale: int = 1024, salt: str = "3:") -> str:
+    """SQL of op11: a pair of tables a round."""
+
+    def assigned(n: int) -> str:
+        return (
+            f"a{n} AS MATERIALIZED (SELECT vec_id, min({{'d': d, 'c': c}}) AS best FROM (SELECT vec_id, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d "
+            f"FROM v JOIN m{n} AS m USING (i) GROUP BY vec_id, c) GROUP BY vec_id)"
+        )
+
+    def floor_of(s: str, n: str) -> str:
+        return f"(({s} - (({s} % {n}) + {n}) % {n}) // {n})::BIGINT"
+
+    steps = [
+        f"kept AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})",
+        f"v AS MATERIALIZED (SELECT vec_id, unnest(range(1, {size + 1})) AS i, floor({scale} * unnest(e)::DOUBLE)::BIGINT AS x FROM kept)",
+        f"first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{salt}' || vec_id::VARCHAR)) - 1 AS c FROM kept ORDER BY c LIMIT {k})",
+        "m0 AS MATERIALIZED (SELECT c, i, x FROM v JOIN first USING (vec_id))",
+    ]
+    for n in range(rounds):
+        mean = floor_of("sum(v.x)", "count(*)")
+        steps.append(assigned(n))
+        steps.append(
+            f"m{n + 1} AS MATERIALIZED (SELECT m.c, m.i, coalesce(t.x, m.x) AS x FROM m{n} AS m LEFT JOIN "
+            f"(SELECT a.best.c AS c, v.i AS i, {mean} AS x FROM v JOIN a{n} AS a USING (vec_id) GROUP BY a.best.c, v.i) AS t USING (c, i))"
+        )
+    steps.append(assigned(rounds))
+    steps.append(f"ends AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c)")
+    steps.append(f"z AS (SELECT vec_id, best.c AS c, best.d AS d FROM a{rounds})")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM z JOIN ends USING (c)"""
+
+
+OP11 = _clustering(10)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, oracle, pii, quality, rules
+from . import clustering, language, oracle, pii, quality, rules
 from .decontamination import contamination
 from .packing import pack
 from .recompression import remove_repeated_windows
@@ -79,12 +79,19 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    found = clustering.cluster(read(spark, folder, "embeddings").select("vec_id", "embedding"), size=64, scale=1024, k=8, rounds=10, salt="3:")
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_substring_dedup, op3_pii, op4_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup,
         op7_language_id, op8_histogram_sharding, op9_quality_rules, op10_quality_classifier,
+        op11_centroid_clustering,
     )
 }
 
-SQL: dict[str, str] = {"op2_substring_dedup": oracle.OP2, "op4_decontamination": oracle.OP4, "op6_suffix_array_dedup": oracle.OP6}
+SQL: dict[str, str] = {"op2_substring_dedup": oracle.OP2, "op4_decontamination": oracle.OP4, "op6_suffix_array_dedup": oracle.OP6, "op11_centroid_clustering": oracle.OP11}
