@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, conversations, language, oracle, pii, quality, rules
+from . import clustering, conversations, language, minhash, oracle, pii, quality, rules
 from .decontamination import contamination
 from .packing import pack
 from .recompression import remove_repeated_windows
@@ -85,6 +85,10 @@ def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, folder, "documents"), shingle=2, similarity=0.8)
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     found = conversations.repair(conversations.damaged(read(spark, folder, "conversations")))
     return found.select("conv_id", *conversations.COUNTS, "audit", F.sha2(F.col("repaired").cast("binary"), 256).alias("repaired_sha256"))
@@ -95,7 +99,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing, op2_substring_dedup, op3_pii, op4_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup,
         op7_language_id, op8_histogram_sharding, op9_quality_rules, op10_quality_classifier,
-        op11_centroid_clustering, op13_conversation_repair,
+        op11_centroid_clustering, op12_minhash_near_dedup, op13_conversation_repair,
     )
 }
 
