@@ -130,11 +130,15 @@ def standardise(a: Column, mean_: float | Sequence[float], std_: float | Sequenc
     return F.transform(doubles(a), lambda x, i: (x - of(means, i)) / of(stds, i))
 
 
-def to_uint8(a: Column) -> Column:
-    """Elements stretched to 0..255 between the least and the largest finite one; zeros where they are equal."""
+def to_uint8(a: Column, vmin: float | None = None, vmax: float | None = None) -> Column:
+    """Elements stretched to 0..255 between ``vmin`` and ``vmax``, the least and the largest finite one where these are not given.
+
+    What is outside is clamped, NaN is the least; zeros where the bounds are equal or the wrong way round.
+    """
     a = doubles(a)
     finite = F.filter(a, lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    low, high = F.array_min(finite), F.array_max(finite)
+    low = F.lit(float(vmin)) if vmin is not None else F.array_min(finite)
+    high = F.lit(float(vmax)) if vmax is not None else F.array_max(finite)
 
     def one(x: Column) -> Column:
         inside = F.least(F.greatest(F.coalesce(F.nanvl(x, low), low), low), high)

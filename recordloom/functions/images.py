@@ -1,6 +1,7 @@
 """Images in rows: struct<height, width, channels, data>, data the bytes of height x width x channels, and kernels over them.
 
-Kernels are numpy, one image at a time, behind Arrow UDFs; Spark deals the images out.
+Kernels are numpy over all images of one shape in an Arrow batch at once: arrays of images x height x width x channels. The
+functions that they use take any number of axes in front.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IMAGE = "struct<height: int, width: int, channels: int, data: binary>"
+_FIELDS = [pa.field("height", pa.int32()), pa.field("width", pa.int32()), pa.field("channels", pa.int32()), pa.field("data", pa.binary())]
 
 
 def pixels(x) -> np.ndarray:
@@ -25,42 +28,77 @@ def image(a: np.ndarray) -> dict:
     return {"height": a.shape[0], "width": a.shape[1], "channels": a.shape[2], "data": np.ascontiguousarray(a, np.uint8).tobytes()}
 
 
+def _block(data: pa.Array, shape) -> np.ndarray:
+    """Binary values of one length as an array of images."""
+    _, offsets, raw = data.buffers()
+    at = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return raw.reshape(len(data), *shape)
+
+
+def _binaries(block: np.ndarray) -> pa.Array:
+    """Images of one shape as binary values."""
+    n, size = len(block), block[0].size if len(block) else 0
+    at = (np.arange(n + 1) * size).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(block, np.uint8).tobytes())])
+
+
+def over_shapes(function: Callable[..., np.ndarray], structs: list[pa.Array]) -> pa.Array:
+    """A function of arrays of images, called once for each combination of shapes; null where an input is."""
+    there = np.ones(len(structs[0]), bool)
+    shapes, datas = [], []
+    for x in structs:
+        height, width, channels, data = (x.field(k) for k in range(4))
+        there &= x.is_valid().to_numpy(zero_copy_only=False) & data.is_valid().to_numpy(zero_copy_only=False)
+        shapes += [c.fill_null(0).to_numpy(zero_copy_only=False) for c in (height, width, channels)]
+        datas.append(data)
+    rows = np.flatnonzero(there)
+    forms, of = np.unique(np.stack(shapes, axis=1)[rows], axis=0, return_inverse=True)
+    sizes, parts, order = np.zeros((len(there), 3), np.int32), [], []
+    for k, form in enumerate(forms):
+        some = rows[of.ravel() == k]
+        made = function(*[_block(d.take(pa.array(some)), form[3 * n : 3 * n + 3]) for n, d in enumerate(datas)])
+        made = made[..., None] if made.ndim == 3 else made
+        sizes[some] = made.shape[1:]
+        parts.append(_binaries(made))
+        order.append(some)
+    place = np.full(len(there), -1)
+    place[np.concatenate([np.zeros(0, np.int64), *order])] = np.arange(len(rows))
+    none = ~there
+    data = pa.concat_arrays([pa.array([], pa.binary()), *parts]).take(pa.array(place, mask=none))
+    columns = [pa.array(sizes[:, n], mask=none) for n in range(3)]
+    return pa.StructArray.from_arrays([*columns, data], fields=_FIELDS, mask=pa.array(none))
+
+
 def kernel(function: Callable[..., np.ndarray]) -> Callable[..., Column]:
-    """A function of pixel arrays as a function of image columns; null where an input is null."""
+    """A function of arrays of images as a function of image columns; null where an input is null."""
 
     def over(*columns: Column) -> Column:
-        @F.pandas_udf(IMAGE)
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            made = []
-            for row in rows.itertuples(index=False, name=None):
-                made.append(None if any(x is None for x in row) else image(function(*[pixels(x if isinstance(x, dict) else x.asDict()) for x in row])))
-            none = {"height": None, "width": None, "channels": None, "data": None}
-            return pd.DataFrame([m or none for m in made], columns=list(none)).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
-
-        whole = columns[0].isNotNull()
-        for c in columns[1:]:
-            whole &= c.isNotNull()
-        return F.when(whole, run(F.struct(*[c.alias(f"i{k}") for k, c in enumerate(columns)])))
+        @F.arrow_udf(IMAGE)
+        def run(*structs: pa.Array) -> pa.Array:
+            return over_shapes(function, list(structs))
+
+        return run(*columns)
 
     return over
 
 
 def luma(a: np.ndarray) -> np.ndarray:
     """Grey by ITU-R 601, in whole numbers."""
-    w = a[:, :, :3].astype(np.int64) @ np.array([19595, 38470, 7471])
+    w = a[..., :3].astype(np.int64) @ np.array([19595, 38470, 7471])
     return (w + 0x8000 >> 16).astype(np.uint8)
 
 
 def converted(a: np.ndarray, mode: str) -> np.ndarray:
-    channels = a.shape[2]
+    channels = a.shape[-1]
     if mode == "L":
-        return luma(a) if channels >= 3 else a[:, :, 0]
-    rgb = a[:, :, :3] if channels >= 3 else np.repeat(a[:, :, :1], 3, axis=2)
+        return luma(a) if channels >= 3 else a[..., 0]
+    rgb = a[..., :3] if channels >= 3 else np.repeat(a[..., :1], 3, axis=-1)
     if mode == "RGB":
         return rgb
     if mode == "RGBA":
-        alpha = a[:, :, 3:4] if channels == 4 else np.full((*a.shape[:2], 1), 255, np.uint8)
-        return np.concatenate([rgb, alpha], axis=2)
+        alpha = a[..., 3:4] if channels == 4 else np.full((*a.shape[:-1], 1), 255, np.uint8)
+        return np.concatenate([rgb, alpha], axis=-1)
     raise ValueError("mode is L, RGB or RGBA")
 
 
@@ -72,19 +110,19 @@ def resized(a: np.ndarray, width: int, height: int) -> np.ndarray:
         low = np.floor(at).astype(int)
         return low, np.minimum(low + 1, n - 1), at - low
 
-    y0, y1, fy = axis(a.shape[0], height)
-    x0, x1, fx = axis(a.shape[1], width)
+    y0, y1, fy = axis(a.shape[-3], height)
+    x0, x1, fx = axis(a.shape[-2], width)
     f = a.astype(float)
-    rows = f[y0] * (1 - fy)[:, None, None] + f[y1] * fy[:, None, None]
-    out = rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+    rows = f[..., y0, :, :] * (1 - fy)[:, None, None] + f[..., y1, :, :] * fy[:, None, None]
+    out = rows[..., x0, :] * (1 - fx)[:, None] + rows[..., x1, :] * fx[:, None]
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
 def channel(a: np.ndarray, number: int) -> np.ndarray:
     """One channel, the nearest there is; -1 is their mean."""
     if number == -1:
-        return np.rint(a.mean(axis=2)).astype(np.uint8)
-    return a[:, :, min(max(number, 0), a.shape[2] - 1)]
+        return np.rint(a.mean(axis=-1)).astype(np.uint8)
+    return a[..., min(max(number, 0), a.shape[-1] - 1)]
 
 
 def tensor(x: Column) -> Column:
@@ -99,6 +137,11 @@ def tensor(x: Column) -> Column:
     return F.when(x.isNotNull(), F.struct(F.array(c, h, w).alias("shape"), F.transform(F.sequence(F.lit(0), h * w * c - 1), one).alias("data")))
 
 
+def frame(x: Column) -> Column:
+    """struct<height, width> of the raster that boxes on an image are stated in; null where there is no image."""
+    return F.when(x["data"].isNotNull(), F.struct(x["height"].alias("height"), x["width"].alias("width")))
+
+
 def fitted_size(height: int, width: int, to_width: int | None, to_height: int | None, longest: int = 512) -> tuple[int, int]:
     """(height, width) by the size rules: both given, exact; one given and the other 0, its aspect; one given and
     the other None, kept; both 0, the longest side bounded; both None, as it is."""
@@ -117,21 +160,28 @@ def fitted_size(height: int, width: int, to_width: int | None, to_height: int |
 
 
 def padded(a: np.ndarray, height: int, width: int, value: int = 0) -> np.ndarray:
-    if a.shape[0] > height or a.shape[1] > width:
+    if a.shape[-3] > height or a.shape[-2] > width:
         raise ValueError("the image is larger than asked for")
-    return np.pad(a, ((0, height - a.shape[0]), (0, width - a.shape[1]), (0, 0)), constant_values=value)
+    sides = [(0, 0)] * (a.ndim - 3) + [(0, height - a.shape[-3]), (0, width - a.shape[-2]), (0, 0)]
+    return np.pad(a, sides, constant_values=value)
+
 
+def stitched(images: list[np.ndarray], layout: str = "row", gap: int = 4, background: int | tuple[int, int, int] = 0) -> np.ndarray:
+    """Images side by side, one under another, or in a grid of ceil(sqrt(n)) columns.
 
-def stitched(images: list[np.ndarray], layout: str = "row", gap: int = 4, background: int = 0) -> np.ndarray:
-    """Images side by side, one under another, or in a square grid."""
+    A row is as tall as its tallest image, a column as wide as its widest; a smaller one stands in its cell's upper left corner.
+    """
     images = [converted(a, "RGB") for a in images]
     columns = {"row": len(images), "column": 1, "grid": int(np.ceil(np.sqrt(len(images))))}[layout]
-    height, width = max(a.shape[0] for a in images), max(a.shape[1] for a in images)
-    rows = -(-len(images) // columns)
-    out = np.full((rows * height + (rows - 1) * gap, columns * width + (columns - 1) * gap, 3), background, np.uint8)
-    for k, a in enumerate(images):
-        y, x = k // columns * (height + gap), k % columns * (width + gap)
-        out[y : y + a.shape[0], x : x + a.shape[1]] = a
+    cells = [images[k : k + columns] for k in range(0, len(images), columns)]
+    heights = [max(a.shape[-3] for a in row) for row in cells]
+    widths = [max(row[k].shape[-2] for row in cells if k < len(row)) for k in range(columns)]
+    tops, lefts = (np.cumsum([0, *[n + gap for n in side]])[:-1] for side in (heights, widths))
+    lead = images[0].shape[:-3]
+    out = np.full((*lead, sum(heights) + gap * (len(heights) - 1), sum(widths) + gap * (columns - 1), 3), np.array(background, np.uint8), np.uint8)
+    for y, row in zip(tops, cells):
+        for x, a in zip(lefts, row):
+            out[..., y : y + a.shape[-3], x : x + a.shape[-2], :] = a
     return out
 
 

@@ -142,11 +142,18 @@ def check_chain(ops, provided: Iterable[str] = (), raised: Iterable[str] = (), w
     Operators may declare what they read and write (``consumes``, ``produces``), the flags they raise (``flags``),
     the one flag that they wait for (``requires``) and the name they report under (``reports``); one that declares
     nothing is not checked. Refused are reads of an entry and waits for a flag that nothing before makes, and
-    a flag or a report that two make. ``provided`` and ``raised`` are there from the start.
+    a flag or a report that two make. ``provided`` and ``raised`` are there from the start. An operator that ``accepts`` an
+    output contract reads what one that ``delivers`` it makes, so one before it that delivers another, and makes entries it reads, is refused.
     """
     ops, lead = list(ops), f"{where}: " if where else ""
     have, flags, reports = set(provided), dict.fromkeys(raised, "what comes before"), {}
+    delivered: dict[str, tuple[int, object]] = {}
     for k, op in enumerate(ops):
+        accepts = getattr(op, "accepts", None)
+        for entry in getattr(op, "consumes", ()) if accepts else ():
+            at, contract = delivered.get(entry, (k, accepts))
+            if contract is not accepts:
+                raise ChainError(f"{lead}operator {k} ({_named(op)}) takes {entry!r} of a {accepts.name}, but operator {at} ({_named(ops[at])}) delivers it as a {contract.name}")
         missing = [x for x in getattr(op, "consumes", ()) if isinstance(x, str) and x not in have]
         if missing:
             late = [_named(o) for o in ops[k + 1 :] if set(missing) & set(getattr(o, "produces", ()))]
@@ -165,3 +172,5 @@ def check_chain(ops, provided: Iterable[str] = (), raised: Iterable[str] = (), w
                 raise ChainError(f"{lead}operators {reports[report]} and {k} both report as {report!r}")
             reports[report] = k
         have |= set(getattr(op, "produces", ()))
+        if getattr(op, "delivers", None):
+            delivered |= dict.fromkeys(op.produces, (k, op.delivers))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import arrays as A
 from recordloom.functions import boxes as B
+from recordloom.operators.contract import ContractError
+from recordloom.operators.outputs import CLASSIFICATION, DETECTION, RESTORATION, SEGMENTATION, OutputContract, check_input
 from recordloom.plans.record import Record
 
 
@@ -42,8 +45,27 @@ def answers(build: Callable, size: int, schema: str, each: Callable[[object], li
     return run
 
 
+class Modelled:
+    """What the model operators share: an input that is checked, and results held to a contract."""
+
+    delivers: ClassVar[OutputContract]
+
+    @property
+    def consumes(self) -> list[str]:
+        return [self.field]
+
+    @property
+    def produces(self) -> list[str]:
+        return list(dict.fromkeys(self.delivers.entries(self.output).values()))
+
+    def __call__(self, r: Record) -> Record:
+        who = type(self).__name__
+        check_input(r, self.build, self.field, who)
+        return self.delivers.check(self.answer(r), self.output, who)
+
+
 @dataclass(frozen=True)
-class ModelPredict:
+class ModelPredict(Modelled):
     """Scores of a model for an array entry. ``build`` makes the model once in each task; it maps a batch
     (rows x length) to scores (rows x classes)."""
 
@@ -52,7 +74,9 @@ class ModelPredict:
     output: str = "prediction"
     batch_size: int = 256
 
-    def __call__(self, r: Record) -> Record:
+    delivers: ClassVar[OutputContract] = CLASSIFICATION
+
+    def answer(self, r: Record) -> Record:
         raw = answers(self.build, self.batch_size, "array<double>", lambda scores: list(np.asarray(scores, float)))(r[self.field])
         # softmax where the scores are no probabilities yet
         out = r.put(f"{self.output}_scores", raw)
@@ -63,7 +87,7 @@ class ModelPredict:
 
 
 @dataclass(frozen=True)
-class ModelSegment:
+class ModelSegment(Modelled):
     """A class for each pixel as ``<output>_mask``: the model's own whole numbers (rows x pixels), or the class of the
     highest score, the first at a tie (rows x classes x pixels)."""
 
@@ -72,7 +96,9 @@ class ModelSegment:
     output: str = "prediction"
     batch_size: int = 256
 
-    def __call__(self, r: Record) -> Record:
+    delivers: ClassVar[OutputContract] = SEGMENTATION
+
+    def answer(self, r: Record) -> Record:
         def masks(got) -> list:
             got = np.asarray(got)
             return list((got.argmax(axis=1) if got.ndim == 3 else got).astype(np.int64))
@@ -81,7 +107,7 @@ class ModelSegment:
 
 
 @dataclass(frozen=True)
-class ModelRestore:
+class ModelRestore(Modelled):
     """The restored image, flat, in the input's units; planes of channels (rows x channels x pixels) become pixels of channels."""
 
     build: Callable[[], Callable[[np.ndarray], np.ndarray]]
@@ -89,7 +115,9 @@ class ModelRestore:
     output: str = "prediction"
     batch_size: int = 256
 
-    def __call__(self, r: Record) -> Record:
+    delivers: ClassVar[OutputContract] = RESTORATION
+
+    def answer(self, r: Record) -> Record:
         def images(got) -> list:
             got = np.asarray(got, float)
             return list((got.transpose(0, 2, 1) if got.ndim == 3 else got).reshape(len(got), -1))
@@ -98,7 +126,7 @@ class ModelRestore:
 
 
 @dataclass(frozen=True)
-class ModelDetect:
+class ModelDetect(Modelled):
     """Boxes of a model that gives, for each row, a mapping of boxes (n x 4 corners), scores and labels.
 
     ``canvas`` is the (height, width) that the model answers in. Where ``frame`` names the entries that hold height and
@@ -112,8 +140,14 @@ class ModelDetect:
     output: str = "prediction"
     batch_size: int = 64
 
-    def __call__(self, r: Record) -> Record:
+    delivers: ClassVar[OutputContract] = DETECTION
+
+    def answer(self, r: Record) -> Record:
         def targets(got) -> list:
+            for t in got:
+                sizes = {k: len(t[k]) for k in ("boxes", "labels", "scores")}
+                if len(set(sizes.values())) > 1:
+                    raise ValueError(f"ModelDetect: boxes, labels and scores of one image differ in number: {sizes}")
             return [[{"boxes": np.asarray(t["boxes"], float).tolist(), "labels": np.asarray(t["labels"], int).tolist(), "scores": np.asarray(t["scores"], float).tolist()}] for t in got]
 
         # a struct as such would be a frame in pandas; an array of one struct is a series like the other answers
@@ -134,6 +168,13 @@ class ClassificationPredictions:
     top_k: int = 3
     confidence_threshold: float = 0.0
 
+    accepts: ClassVar[OutputContract] = CLASSIFICATION
+    consumes: ClassVar[tuple[str, ...]] = ("probs", "class_idx")
+    produces: ClassVar[tuple[str, ...]] = ("confidence", "top")
+
     def __call__(self, r: Record) -> Record:
+        for name in self.consumes:
+            if name not in r.entries:
+                raise ContractError(f"ClassificationPredictions: no entry {name!r} of a {self.accepts.name} (entries: {list(r.entries)})")
         sure = r.put_all({"confidence": F.get(r["probs"], r["class_idx"].cast("int")), "top": A.top_k(r["probs"], self.top_k)})
         return sure.filter(sure["confidence"] >= self.confidence_threshold)

@@ -323,9 +323,10 @@ def draw_choice_weighted(spark, folder):
     return SelectFields(["o_orderkey", "letter", "die", "grid"])(r).result()
 
 
-@query(f"SELECT id AS _idx, round({_u(9, 'id', 'gain')} * 4, 6) AS gain, (floor({_u(9, 'id', 'repeats')} * 101))::BIGINT AS repeats FROM range(2000) t(id)")
+@query(f"SELECT id AS _idx, round({_u(9, 'id', 'gain')} * 4, 6) AS gain, (floor({_u(9, 'id', 'repeats')} * 101))::BIGINT AS repeats FROM (SELECT event_id AS id FROM events)")
 def draw_source(spark, folder):
-    r = records(spark.range(2000), "id")
+    """A record drawn for each position of a table."""
+    r = table(spark, folder, "events", "event_id")
     r = r.put_all({"gain": draws.between(0, 4, 9, r.position, "gain"), "repeats": draws.span(0, 100, 9, r.position, "repeats")})
     return six(SelectFields(["gain", "repeats"])(r).result(position="_idx"), "gain")
 
@@ -576,14 +577,40 @@ def quantity_forms(spark, folder):
 
 @query("SELECT o_orderkey, o_custkey AS id, o_clerk FROM (SELECT *, 'Clerk ' || o_custkey AS o_clerk FROM orders)")
 def label_encode_many(spark, folder):
-    """More classes than an expression holds: a join there, and one back."""
-    from recordloom.operators.labels import DecodeTarget, EncodeTarget, LabelMap
+    """A vocabulary as a table: a join there, and one back."""
+    from recordloom.operators.labels import DecodeTarget, EncodeTarget, LabelTable
 
-    n = spark.read.parquet(f"{folder}/orders.parquet").agg(F.max("o_custkey")).first()[0]
-    mapping = LabelMap.from_class_names([f"Clerk {k}" for k in range(max(n, 1200) + 1)])
     r = table(spark, folder, "orders", "o_orderkey")
-    r = EncodeTarget(mapping, "o_clerk", output="id")(r.put("o_clerk", F.concat(F.lit("Clerk "), r["o_custkey"])))
-    return SelectFields(["o_orderkey", "id", "o_clerk"])(DecodeTarget(mapping, "id", output="o_clerk")(r)).result()
+    r = r.put("o_clerk", F.concat(F.lit("Clerk "), r["o_custkey"]))
+    known = spark.read.parquet(f"{folder}/orders.parquet").select(F.concat(F.lit("Clerk "), "o_custkey").alias("name"), F.col("o_custkey").alias("id")).distinct()
+    r = EncodeTarget(LabelTable(known), "o_clerk", output="id")(r)
+    return SelectFields(["o_orderkey", "id", "o_clerk"])(DecodeTarget(LabelTable(known), "id", output="o_clerk")(r)).result()
+
+
+@query("""WITH v AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT DISTINCT word AS name FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part)))
+SELECT p_partkey, list(CASE WHEN length(word) > 6 THEN -1 ELSE id END ORDER BY k) AS ids FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS k FROM part) JOIN v ON v.name = word GROUP BY p_partkey""")
+def label_encode_all_many(spark, folder):
+    """Arrays of names encoded by a join with a vocabulary that is a table; names it lacks get a default."""
+    from recordloom.operators.labels import LabelTable
+
+    r = table(spark, folder, "part", "p_partkey")
+    r = r.put("words", F.split(r["p_name"], " "))
+    known = LabelTable.fit(r.frame.select(r["words"].alias("words"))).table.filter(F.length("name") <= 6)
+    return SelectFields(["p_partkey", "ids"])(LabelTable(known).encoded_all(r, "words", "ids", True, -1)).result()
+
+
+@query("""WITH c AS (SELECT (doc_id % 3)::BIGINT AS t, quality::BIGINT AS p, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY ALL), s AS (SELECT t.i AS t, p.i AS p, coalesce(n, 0) AS n FROM range(4) t(i), range(4) p(i) LEFT JOIN c ON c.t = t.i AND c.p = p.i)
+SELECT t AS truth, p AS predicted, ['low', 'mid', 'high', 'top'][t + 1] AS truth_name, n AS count, round(n / nullif(sum(n) OVER (PARTITION BY t), 0), 6) AS by_row FROM s""")
+def confusion_named(spark, folder):
+    """Every cell of a confusion matrix of four named classes, of which one is never met."""
+    rows = spark.read.parquet(f"{folder}/labels.parquet").select((F.col("doc_id") % 3).alias("t"), F.col("quality").cast("bigint").alias("p"))
+    return L.named_confusion(rows, "t", "p", ["low", "mid", "high", "top"]).select("truth", "predicted", "truth_name", "count", "by_row")
+
+
+@query(f"SELECT b AS bin, count(x)::BIGINT AS count FROM range(8) t(b) LEFT JOIN (SELECT unnest([e[2 * k] FOR k IN range(1, 33)]) AS x FROM {_V}) ON least(floor((x + 0.6) / 0.15), 7) = b AND x BETWEEN -0.6 AND 0.6 GROUP BY b")
+def channel_histogram(spark, folder):
+    """The second channel of images of two channels, in eight bins."""
+    return L.histogram(SelectFields(["embedding"])(_vectors(spark, folder)).result(), 8, -0.6, 0.6, channels=2, channel=1)
 
 
 @query("SELECT min(x) AS min, max(x) AS max, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, count(*) AS count FROM (SELECT unnest(e) AS x FROM " + _V + ")")
@@ -693,12 +720,12 @@ def image_resize_stitch(spark, folder):
 def _accepted() -> str:
     low, high = (_u(4, "id", f"{x}/' || k || '") for x in ("low", "high"))
     return f"""SELECT id AS _idx, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT id, low, high, row_number() OVER (PARTITION BY id ORDER BY k) AS rn
-FROM (SELECT id, k, 10 * {low} AS low, 10 * {high} AS high FROM range(500) t(id), range(20) s(k)) WHERE low + 1 < high) WHERE rn = 1"""
+FROM (SELECT id, k, 10 * {low} AS low, 10 * {high} AS high FROM (SELECT o_orderkey AS id FROM orders), range(20) s(k)) WHERE low + 1 < high) WHERE rn = 1"""
 
 
 @query(_accepted())
 def draw_accepted(spark, folder):
-    r = records(spark.range(500), "id")
+    r = table(spark, folder, "orders", "o_orderkey")
 
     def make(k):
         return F.struct((10 * draws.uniform_at(4, r.position, "low", k)).alias("low"), (10 * draws.uniform_at(4, r.position, "high", k)).alias("high"))
@@ -881,3 +908,187 @@ def model_detect(spark, folder):
     boxes = r["prediction"]["boxes"]
     r = r.put_all({"x1": F.transform(boxes, lambda b: b["x1"]), "y1": F.transform(boxes, lambda b: b["y1"]), "labels": r["prediction"]["labels"]})
     return SelectFields(["vec_id", "x1", "y1", "labels"])(r).result()
+
+
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for each run in the shared one."""
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, lang, n_chars, md5(text) AS digest FROM documents WHERE n_chars > 4000 AND lang IN ('es', 'fr')")
+def metadata_late_filter(spark, folder):
+    """Texts are read only from the files and pages that hold a match."""
+    from recordloom.sources.late import late_filter
+
+    r = late_filter(spark, f"{folder}/documents.parquet", "n_chars > 4000 and lang in ('es', 'fr')", key="doc_id")
+    return SelectFields(["doc_id", "lang", "n_chars", "digest"])(r.put("digest", F.md5(r["text"]))).result()
+
+
+@query(f"SELECT vec_id AS _idx, [e[i] FOR i IN range(21, 41, 3)] AS front, e[60:63] AS back, e[64:64] AS one FROM {_V}")
+def array_slice_read(spark, folder):
+    """Slices of arrays that are stored in chunks of sixteen: only the chunks that a slice touches are read."""
+    from recordloom.sources.chunks import ArrayStore
+
+    store = ArrayStore(_own_folder(spark, "chunks"), 16)
+    store.write(SelectFields(["vec_id", "embedding", "label"])(_vectors(spark, folder)))
+    cuts = {"front": slice(20, 40, 3), "back": slice(-5, -1), "one": slice(63, 64)}
+    parts = [store.read_slice(spark, "embedding", cut).withColumnRenamed("value", name) for name, cut in cuts.items()]
+    return parts[0].join(parts[1], "_idx").join(parts[2], "_idx")
+
+
+@query("""SELECT row_number() OVER (ORDER BY part, id) - 1 AS _idx, id, price FROM (SELECT 0 AS part, o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT 1, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0)""")
+def batch_store(spark, folder):
+    """Two appends to a store of batches of 37; the second fills up the first one's last batch."""
+    from recordloom.sources.batches import BatchStore
+
+    r = Pipeline([RenameField("o_orderkey", "id"), RenameField("o_totalprice", "price"), SelectFields(["id", "price"])])(table(spark, folder, "orders", "o_orderkey"))
+    store = BatchStore(_own_folder(spark, "batches"), 37)
+    store.append(r.filter(r["id"] % 3 != 0))
+    store.append(r.filter(r["id"] % 3 == 0))
+    return store.read(spark).result(position="_idx")
+
+
+@query(f"""SELECT vec_id // 16 AS batch_id, [count(*), 4, 8, 2]::INT[] AS shape, 'double' AS dtype, flatten(list([e[(p // 8) * 8 + (p % 8) + 1] FOR p IN range(64)] ORDER BY vec_id)) AS data FROM {_V} GROUP BY ALL""")
+def tensor_stack(spark, folder):
+    """Sixteen tensors of 4 x 8 x 2 as one with an axis in front."""
+    from recordloom.functions import tensors
+
+    r = _vectors(spark, folder)
+    cubes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.slice(r["embedding"], i * 16 + j * 2 + 1, F.lit(2))))
+    rows = r.frame.select(r["vec_id"].alias("vec_id"), F.floor(r["vec_id"] / 16).alias("batch_id"), cubes.alias("cubes"))
+    rows = rows.withColumn("value", tensors.tensor(F.col("cubes"), rows.schema["cubes"].dataType, "value"))
+    return tensors.stacked_tensors(rows, "value", "batch_id", "vec_id").select("batch_id", "value.shape", "value.dtype", "value.data")
+
+
+@query(f"SELECT vec_id, p AS place, [2, 8]::INT[] AS shape, [e[1 + p * 2 + k // 8 + 8 * (k % 8)] FOR k IN range(16)] AS data FROM {_V}, range(4) t(p)")
+def tensor_unstack(spark, folder):
+    """Tensors of 8 x 4 x 2 turned to 4 x 2 x 8 and cut along the first axis."""
+    from recordloom.functions import tensors
+
+    r = _vectors(spark, folder)
+    value = F.struct(F.array(F.lit(8), F.lit(4), F.lit(2)).alias("shape"), F.lit("double").alias("dtype"), r["embedding"].alias("data"))
+    rows = r.frame.select(r["vec_id"].alias("vec_id"), tensors.transposed(value, [1, 2, 0]).alias("value"))
+    return tensors.unstacked_tensors(rows, "value", "vec_id").select("vec_id", "place", "value.shape", "value.data")
+
+
+@query("SELECT doc_id, n_chars FROM documents")
+def process_resume_gaps(spark, folder):
+    """Runs over two ranges with a hole between, one that fails, and one that does what is missing."""
+    from pyspark.errors import PySparkException
+
+    from recordloom.plans.process import Processor
+    from recordloom.sources.store import CommittedStore
+
+    store = CommittedStore(_own_folder(spark, "committed"))
+    source, ops = table(spark, folder, "documents", "doc_id"), [SelectFields(["doc_id", "n_chars"])]
+    Processor(source, ops, store, 100, 200).run_missing(spark)
+    Processor(source, ops, store, 20, 60).run_missing(spark)
+    try:
+        broken = [lambda r: r.filter(F.raise_error(F.lit("a step that fails")).isNull())]
+        Processor(source, broken, store, 0, 150).run_missing(spark)
+    except PySparkException as error:
+        if "a step that fails" not in str(error):
+            raise
+    Processor(source, ops, store).run_missing(spark)
+    return store.read(spark).result()
+
+
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY h) - 1 AS _idx FROM (SELECT o_orderkey, md5('42/' || o_orderkey) AS h, row_number() OVER (ORDER BY md5('42/' || o_orderkey)) AS rn, count(*) OVER () AS n FROM orders)
+WHERE rn > n - """ + f"{_VAL} - {_TEST} AND rn <= n - {_TEST}")
+def split_val_positions(spark, folder):
+    """One part of a split with its own positions, in the shuffled order."""
+    r = views.split_view(table(spark, folder, "orders", "o_orderkey"), "val", 0.1, 0.15, 42, rebased=True)
+    return SelectFields(["o_orderkey"])(r).result(position="_idx")
+
+
+@query("""SELECT 0 AS branch, c_custkey AS own, c_name AS name, c_acctbal AS bal, c_mktsegment AS segment FROM customer WHERE c_nationkey < 12 AND c_acctbal > 500
+UNION ALL SELECT 1, s_suppkey, s_name, round(s_acctbal * 2, 6), NULL FROM supplier WHERE s_nationkey > 3 AND round(s_acctbal * 2, 6) > 500""")
+def joint_chains(spark, folder):
+    """Two streams with chains of their own as one, and a filter on both."""
+    one = Stream(table(spark, folder, "customer", "c_custkey")).filter("c_nationkey < 12").then(RenameField("c_name", "name"), RenameField("c_acctbal", "bal"), RenameField("c_mktsegment", "segment"), SelectFields(["name", "bal", "segment"]))
+    two = Stream(table(spark, folder, "supplier", "s_suppkey")).filter("s_nationkey > 3").then(RenameField("s_name", "name"), MapOp(lambda x: F.round(x * 2, 6), ["s_acctbal"], "bal"), SelectFields(["name", "bal"]))
+    r = views.Joint((one, two)).then(Where("bal > 500")).record()
+    r = r.put_all({"branch": views.branch(r), "own": views.own_position(r)})
+    return SelectFields(["branch", "own", "name", "bal", "segment"])(r).result()
+
+
+@query(f"SELECT vec_id, list_sum([(x > 0.2)::BIGINT FOR x IN e])::BIGINT AS above, list_max(e) > 0.25 AS strong FROM {_V}")
+def trace_rerun(spark, folder):
+    """A flow traced over all records, then again from a step with another parameter."""
+    from recordloom.plans.trace import Tracer
+
+    steps = (
+        Step("top", Formula("amax(x)", "embedding", output="top")),
+        Step("mask", Threshold("embedding", 0.0), reads="source"),
+        Step("above", MapOp(lambda m: F.size(F.filter(m, lambda x: x)).cast("bigint"), ["mask"], "above")),
+        Step("all", merges=("top",)),
+    )
+    t = Tracer(Flow(SelectFields(["vec_id", "embedding"])(_vectors(spark, folder)), steps), folder=_own_folder(spark, "trace")).run(until="above")
+    r = t.resume().rerun_from("mask", low_level=0.2).record("all")
+    return SelectFields(["vec_id", "above", "strong"])(r.put("strong", r["top"] > 0.25)).result()
+
+
+@query(f"""SELECT vec_id, list_transform(l, lambda x: round(x, 9)) AS logits, list_transform(l, lambda x: round(exp(x - list_max(l)) / list_sum(list_transform(l, lambda y: exp(y - list_max(l)))), 9)) AS probs, list_position(l, list_max(l))::BIGINT - 1 AS class_idx,
+[list_position(c, list_max(c))::BIGINT - 1 FOR c IN [[e[p], e[p + 8], e[p + 16]] FOR p IN range(1, 9)]] AS mask FROM (SELECT vec_id, e, e[1:5] AS l FROM {_V})""")
+def output_builders(spark, folder):
+    """Raw scores as a classification of five classes, and as a segmentation of eight pixels in three classes."""
+    from recordloom.operators import outputs
+
+    r = _vectors(spark, folder)
+    planes = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.slice(r["embedding"], c * 8 + 1, F.lit(8)))
+    r = r.put_all({"class": outputs.classification_output(F.slice(r["embedding"], 1, 5)), "pixels": outputs.segmentation_output(planes)})
+    r = r.put_all({**{k: r["class"][k] for k in ("logits", "probs", "class_idx")}, "mask": r["pixels"]["mask"]})
+    return six(SelectFields(["vec_id", "logits", "probs", "class_idx", "mask"])(r).result(), "logits", "probs", digits=9)
+
+
+def _levels(image) -> F.Column:
+    """The bytes of an image as whole numbers."""
+    code = F.hex(image["data"])
+    count = image["height"] * image["width"] * image["channels"]
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+
+
+_LEVELS = f"(SELECT vec_id, list_transform(e, lambda x: floor(least(greatest((x + 0.3) / 0.6, 0), 1) * 255)::INT) AS g FROM {_V})"
+
+
+@query(f"SELECT vec_id, flatten([[g[k], 255 - g[k], 255] FOR k IN range(1, 65)]) AS rgb FROM {_LEVELS}")
+def image_colormap(spark, folder):
+    """A map of numbers, pinned to a scale, in the colours of a colour map."""
+    from recordloom.operators.images import ConvertToImage
+
+    r = ConvertToImage("embedding", None, None, colormap="cool", vmin=-0.3, vmax=0.3, columns=8)(_vectors(spark, folder))
+    return SelectFields(["vec_id", "rgb"])(r.put("rgb", _levels(r["image"]))).result()
+
+
+_AT = "least(greatest(({p} + 0.5::DOUBLE) * 8 / {to} - 0.5::DOUBLE, 0), 7)"
+_Y, _X = _AT.format(p="k // 16", to=12), _AT.format(p="k % 16", to=16)
+
+
+@query(f"""SELECT vec_id, height, width, list(round_even((a * (1 - fy) + c * fy) * (1 - fx) + (b * (1 - fy) + d * fy) * fx, 0)::INT ORDER BY k) AS grey FROM
+(SELECT vec_id, k, 12 AS height, 16 AS width, y - floor(y) AS fy, x - floor(x) AS fx, g[8 * y0 + x0 + 1] AS a, g[8 * y0 + least(x0 + 1, 7) + 1] AS b, g[8 * least(y0 + 1, 7) + x0 + 1] AS c, g[8 * least(y0 + 1, 7) + least(x0 + 1, 7) + 1] AS d
+FROM (SELECT *, floor(y)::INT AS y0, floor(x)::INT AS x0 FROM (SELECT vec_id, g, k, {_Y} AS y, {_X} AS x FROM {_LEVELS}, range(192) t(k)))) GROUP BY vec_id, height, width""")
+def image_resize(spark, folder):
+    """An image of 8 x 8 pixels made 16 wide and 12 high, between its pixels."""
+    from recordloom.operators.images import ConvertMode, ConvertToImage
+
+    r = ConvertToImage("embedding", None, None, vmin=-0.3, vmax=0.3, columns=8)(_vectors(spark, folder))
+    r = ConvertToImage("image", 16, 12)(ConvertMode("image", "L")(r))
+    return SelectFields(["vec_id", "height", "width", "grey"])(r.put_all({"height": r["image"]["height"], "width": r["image"]["width"], "grey": _levels(r["image"])})).result()
+
+
+@query(f"""SELECT vec_id, 19 AS height, 12 AS width, flatten([[v, v, v] FOR v IN [CASE WHEN k % 12 >= 8 AND k // 12 < 8 THEN 7 WHEN k // 12 < 8 THEN g[(7 - k // 12) * 8 + k % 12 + 1]
+WHEN k // 12 < 11 THEN 7 ELSE CASE WHEN k % 12 < 8 THEN g[(k // 12 - 11) * 8 + k % 12 + 1] ELSE 9 END END FOR k IN range(228)]]) AS rgb FROM {_LEVELS}""")
+def image_stitch(spark, folder):
+    """An image upside down over the same one padded to 12 columns, with a gap of three."""
+    from recordloom.functions.images import frame
+    from recordloom.operators.images import ConvertToImage, PadImage, StitchImages
+
+    source = _vectors(spark, folder)
+    r = ConvertToImage("embedding", None, None, vmin=-0.3, vmax=0.3, columns=8, output="wide")(source)
+    r = ConvertToImage("embedding", None, None, vmin=-0.3, vmax=0.3, columns=8, flip_vertical=True)(r)
+    r = StitchImages(["image", "missing", "wide"], "column", 3, 7)(PadImage("wide", 8, 12, 9)(r))
+    raster = frame(r["image"])
+    return SelectFields(["vec_id", "height", "width", "rgb"])(r.put_all({"height": raster["height"], "width": raster["width"], "rgb": _levels(r["image"])})).result()

@@ -186,29 +186,33 @@ class Flow:
     source: Record
     steps: tuple[Step, ...]
 
+    def advance(self, done: dict[str, Record], last: str, step: Step) -> Record:
+        """What a step makes of the results so far, of which ``last`` is the latest; its frame holds all of them."""
+        if not step.name or step.name in done or set(step.name) & set("./[]"):
+            raise StepReferenceError(f"bad or repeated step name {step.name!r}")
+        for ref in (step.reads, *step.merges, *(v.split("[")[0] for v in step.bind.values())):
+            if ref and ref not in done:
+                raise StepReferenceError(f"step {step.name!r} refers to {ref!r}, which is not an earlier step ({list(done)})")
+        if step.bind and step.op is None:
+            raise StepReferenceError(f"step {step.name!r} binds parameters of no operator")
+        read = done[step.reads or last]
+        entries, kinds = dict(read.entries), dict(read.kinds)
+        for other in step.merges:
+            entries |= done[other].entries
+            kinds |= done[other].kinds
+        own = replace(done[last], entries=entries, kinds=kinds)
+        op = step.op
+        if step.bind:
+            op = replace(op, **{p: done[v.split("[")[0]][v.split("[")[1].rstrip("]")] for p, v in step.bind.items()})
+        return op(own) if op else own
+
     def results(self) -> dict[str, Record]:
         done: dict[str, Record] = {"source": self.source}
-        now, last = self.source, "source"
+        last = "source"
         for step in self.steps:
-            if not step.name or step.name in done or set(step.name) & set("./[]"):
-                raise StepReferenceError(f"bad or repeated step name {step.name!r}")
-            for ref in (step.reads, *step.merges, *(v.split("[")[0] for v in step.bind.values())):
-                if ref and ref not in done:
-                    raise StepReferenceError(f"step {step.name!r} refers to {ref!r}, which is not an earlier step ({list(done)})")
-            if step.bind and step.op is None:
-                raise StepReferenceError(f"step {step.name!r} binds parameters of no operator")
-            read = done[step.reads or last]
-            entries, kinds = dict(read.entries), dict(read.kinds)
-            for other in step.merges:
-                entries |= done[other].entries
-                kinds |= done[other].kinds
-            own = replace(now, entries=entries, kinds=kinds)
-            op = step.op
-            if step.bind:
-                op = replace(op, **{p: done[v.split("[")[0]][v.split("[")[1].rstrip("]")] for p, v in step.bind.items()})
-            out = op(own) if op else own
-            now, last = out, step.name
-            done[step.name] = out
+            done[step.name] = self.advance(done, last, step)
+            last = step.name
+        now = done[last]
         return {k: replace(v, frame=now.frame, order=now.order) for k, v in done.items()}
 
     def record(self, output: str | None = None) -> Record:

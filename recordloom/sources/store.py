@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import json
 import os
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from recordloom.plans.record import Record, records
 FORMAT = "records-1"
 
 
+def paged(rows: int) -> dict[str, int]:
+    """Options of a Parquet writer whose pages hold at most so many rows: a reader skips whole pages that its filters rule out."""
+    return {"parquet.page.row.count.limit": rows, "parquet.page.size.row.check.min": min(rows, 100)}
+
+
 @dataclass(frozen=True)
 class ParquetStore:
     """``mode`` is one of Spark's save modes."""
@@ -39,16 +46,95 @@ class ParquetStore:
 
     def resume_position(self, spark: SparkSession) -> int:
         """The position after the last that is stored, 0 where nothing is."""
-        try:
-            frame = spark.read.parquet(self.path)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER" in str(error):
-                return 0
-            raise
+        frame = _there(spark, self.path)
+        if frame is None:
+            return 0
         top = frame.agg(F.max("_idx")).first()[0]
         return 0 if top is None else top + 1
 
 
+def _there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None where nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+@dataclass(frozen=True)
+class CommittedStore:
+    """Records in parts of one range of positions each, with a table of the ranges that are wholly written.
+
+    Every attempt at a range writes a part of its own, named in a table before it begins and in another when it is done.
+    Readers see the parts that are done, so an attempt that failed leaves nothing to be read and can be told by name.
+    """
+
+    path: str
+
+    def _log(self, spark: SparkSession, name: str, part: str, start: int, stop: int) -> None:
+        row = spark.createDataFrame([(part, start, stop)], "part string, start bigint, stop bigint")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _rows(self, spark: SparkSession, name: str) -> list[tuple[str, int, int]]:
+        found = _there(spark, f"{self.path}/{name}")
+        # a row for each run
+        return [] if found is None else sorted(map(tuple, found.select("part", "start", "stop").collect()))
+
+    def committed(self, spark: SparkSession) -> list[tuple[int, int]]:
+        """The ranges (start, stop) that are done, joined where they meet, in order."""
+        out: list[list[int]] = []
+        for start, stop in sorted((a, b) for _, a, b in self._rows(spark, "done")):
+            if out and start <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], stop)
+            else:
+                out.append([start, stop])
+        return [(a, b) for a, b in out]
+
+    def failed(self, spark: SparkSession) -> list[tuple[str, int, int]]:
+        """Attempts (part, start, stop) that began and were not done."""
+        done = {part for part, *_ in self._rows(spark, "done")}
+        return [row for row in self._rows(spark, "begun") if row[0] not in done]
+
+    def missing(self, spark: SparkSession, start: int, stop: int) -> list[tuple[int, int]]:
+        """What of start .. stop is in no committed range, in order."""
+        out, at = [], start
+        for low, high in self.committed(spark):
+            if high <= at or low >= stop:
+                continue
+            if low > at:
+                out.append((at, low))
+            at = max(at, high)
+        return [*out, (at, stop)] if at < stop else out
+
+    def resume_position(self, spark: SparkSession) -> int:
+        """The first position, from 0 on, that is not done."""
+        done = self.committed(spark)
+        return done[0][1] if done and done[0][0] <= 0 else 0
+
+    def write_range(self, r: Record, start: int, stop: int) -> str:
+        """Writes the records of a range as a part and commits it; a range that meets a committed one is refused."""
+        spark = r.frame.sparkSession
+        if self.missing(spark, start, stop) != [(start, stop)]:
+            raise ValueError(f"{start} .. {stop} is empty or holds positions that are committed")
+        part = uuid.uuid4().hex
+        self._log(spark, "begun", part, start, stop)
+        ParquetStore(f"{self.path}/parts/{part}").write(r)
+        self._log(spark, "done", part, start, stop)
+        return part
+
+    def read(self, spark: SparkSession) -> Record:
+        """The records of all parts that are done."""
+        parts = [f"{self.path}/parts/{part}" for part, *_ in self._rows(spark, "done")]
+        if not parts:
+            raise ValueError(f"{self.path} holds no part that is done")
+        first = ParquetStore(parts[0]).read(spark)
+        frame = spark.read.parquet(*parts)
+        out = records(frame, "_idx", first.kinds, first.class_names)
+        return out.with_entries({k: v for k, v in out.entries.items() if k != "_idx"})
+
+
 @dataclass(frozen=True)
 class DirectoryStore:
     """A folder NNNNNN for each record: fields.json for plain values, fields.npz for arrays.

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.structure import Where
-from recordloom.plans.record import Record, physical
+from recordloom.plans.record import Op, Record, Stream, physical
 
 #: Rows of the smaller side that a join may send to every task.
 BROADCAST_ROWS = 100_000
@@ -51,6 +52,73 @@ def concat_view(*sources: Record) -> Record:
     return Record(frame, names, (own,), {k: v for s in reversed(sources) for k, v in s.kinds.items()}, next((s.class_names for s in sources if s.class_names), None))
 
 
+#: Bits of a joint position that a branch's own positions take.
+BRANCH_BITS = 48
+
+
+@dataclass(frozen=True)
+class Joint:
+    """Streams one after another, each with its own chain of operators.
+
+    Nothing is counted: a record's position is its branch's number above BRANCH_BITS bits of its own position, which orders the branches and
+    tells where a record comes from. Entries are matched by name, one that a branch lacks is null there; one whose types
+    differ between branches, or whose item types do, is refused by name. Filters and projections go into every branch's scan.
+    """
+
+    streams: tuple[Stream, ...]
+
+    def record(self) -> Record:
+        if not self.streams:
+            raise ValueError("a joint stream has a stream")
+        parts = [s.record() for s in self.streams]
+        types: dict[str, str] = {}
+        kinds: dict[str, str | None] = {}
+        for n, r in enumerate(parts):
+            for key, column in r.entries.items():
+                kind, item = r.frame.schema[column].dataType.simpleString(), r.kinds.get(key)
+                if types.setdefault(key, kind) != kind:
+                    raise ValueError(f"entry {key!r} is {types[key]} in one stream and {kind} in stream {n}")
+                if kinds.setdefault(key, item) != item:
+                    raise ValueError(f"entry {key!r} is of item type {kinds[key]} in one stream and {item} in stream {n}")
+        own, names = physical("idx"), {k: physical(k) for k in types}
+        deep = max(len(r.order) for r in parts) - 1
+        places = [physical("place") for _ in range(deep)]
+        frame = None
+        for n, r in enumerate(parts):
+            at = F.lit(n << BRANCH_BITS) + r.position
+            inner = [(F.col(r.order[k + 1]) if k + 1 < len(r.order) else F.lit(0)).cast("bigint").alias(p) for k, p in enumerate(places)]
+            entries = [(r[k] if k in r.entries else F.lit(None).cast(types[k])).alias(names[k]) for k in types]
+            part = r.frame.select(at.alias(own), *inner, *entries)
+            frame = part if frame is None else frame.unionByName(part)
+        vocabulary = next((r.class_names for r in parts if r.class_names), None)
+        return Record(frame, names, (own, *places), {k: v for k, v in kinds.items() if v}, vocabulary)
+
+    def then(self, *ops: Op) -> Stream:
+        """A stream of all records, with operators that apply to every branch."""
+        return Stream(self.record(), ops)
+
+    def result(self, **how) -> DataFrame:
+        return self.record().result(**how)
+
+    def project(self, keys) -> DataFrame:
+        """Some entries only; what they do not need is pruned in every branch."""
+        out = self.record()
+        return out.with_entries({k: out.entries[k] for k in keys if k in out.entries}).result()
+
+    def __len__(self) -> int:
+        return sum(len(s) for s in self.streams)
+
+
+def branch(r: Record) -> Column:
+    """Which stream of a joint one a record comes from."""
+    return F.shiftright(r.position, BRANCH_BITS).cast("int")
+
+
+def own_position(r: Record) -> Column:
+    """The position that a record of a joint stream has in its own."""
+    return r.position.bitwiseAND(F.lit((1 << BRANCH_BITS) - 1))
+
+
 def normalised(key: Column, compare: str) -> Column:
     """What two keys are compared by: themselves, the base name, or the base name without its last extension."""
     if compare == "value":
@@ -133,11 +201,38 @@ def boundaries(frame: DataFrame, key: str, sizes) -> tuple[int, list[int]]:
     return rows, [low for low, _, _ in found]
 
 
-def split_view(r: Record, split: str = "train", val_fraction: float | None = None, test_fraction: float | None = None, seed: int | None = None) -> Record:
+#: Rows that share a prefix of the shuffle hash and are ranked by one task.
+RANKED = 100_000
+
+
+def ranked_by(frame: DataFrame, code: str, low: int, high: int, name: str, *order: Column) -> DataFrame:
+    """Adds the row's place, from 0, in the order of ``code`` (a hash, all between low and high), then ``order``.
+
+    One count by prefixes of the hash tells how many rows are before each, and rows are ranked among those with their prefix. As many
+    prefixes as make some RANKED rows each; the driver sees a number for each.
+    """
+    n = frame.count()
+    bits = max(1, high - low).bit_length()
+    shift = max(0, bits - math.ceil(math.log2(max(2, n / RANKED))))
+    prefix, before = physical("prefix"), physical("before")
+    frame = frame.withColumn(prefix, F.shiftright(F.col(code) - F.lit(low), shift))
+    ahead, counts = 0, []
+    for place, rows in sorted(map(tuple, frame.groupBy(prefix).count().collect())):
+        counts.append((place, ahead))
+        ahead += rows
+    known = frame.sparkSession.createDataFrame(counts, f"{before}_of bigint, {before} bigint")
+    inner = F.row_number().over(Window.partitionBy(prefix).orderBy(code, *order)) - 1
+    # a row for each prefix
+    joined = frame.withColumn(name, inner).join(F.broadcast(known), F.col(prefix) == F.col(f"{before}_of"))
+    return joined.withColumn(name, (F.col(name) + F.col(before)).cast("bigint")).drop(prefix, before, f"{before}_of")
+
+
+def split_view(r: Record, split: str = "train", val_fraction: float | None = None, test_fraction: float | None = None, seed: int | None = None, rebased: bool = False) -> Record:
     """One part of a seeded shuffle laid out as train, val, test, with exact counts.
 
     Parts are ranges of a hash of (seed, position); their bounds are found by counting, so no row is
-    sorted or moved. Without fractions everything is train.
+    sorted or moved. Without fractions everything is train. Positions stay those of the source, unless the part is ``rebased``: then its
+    records are numbered from 0 in the shuffled order, for which only this part's rows move.
     """
     if split not in ("train", "val", "test"):
         raise ValueError("split is train, val or test")
@@ -155,7 +250,11 @@ def split_view(r: Record, split: str = "train", val_fraction: float | None = Non
     _, (first, second) = boundaries(frame.select(code), code, ends)
     second = second if test_fraction else top
     low, high = {"train": (0, first), "val": (first, second), "test": (second, top)}[split]
-    return replace(r, frame=frame.filter((F.col(code) >= low) & (F.col(code) < high)))
+    part = frame.filter((F.col(code) >= low) & (F.col(code) < high))
+    if not rebased:
+        return replace(r, frame=part)
+    own = physical("idx")
+    return replace(r, frame=ranked_by(part, code, low, high, own, *[F.col(o) for o in r.order]), order=(own,))
 
 
 def first_of_groups(r: Record, by: str, count: int) -> Record:
