@@ -57,6 +57,7 @@ THRESHOLD = 0.95
 PART = 256
 
 _SPAN = "array<struct<start: int, end: int, found: string>>"
+_CANDIDATES = f"array<struct<kind: string, start: int, end: int, base: boolean, {', '.join(f'{k}: int' for k in LABELERS)}>>"
 
 
 def _matches(text: Column, pattern: str, hint: str) -> Column:
@@ -85,6 +86,40 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
     return F.coalesce(F.when(hinted, spans), F.array().cast(_SPAN))
 
 
+def _let(value: Column, make) -> Column:
+    """An expression over a value that is worked out once for each row, however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _mask(spans: Column) -> Column:
+    """Bytes that are 1 inside spans, which are in order and apart, and 0 between. Bytes are reached by their place, characters of a string are counted."""
+
+    def piece(x: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get(spans, k - 1)["end"]).otherwise(F.lit(0))
+        return F.concat(F.repeat(F.lit("0"), x["start"] - before), F.repeat(F.lit("1"), x["end"] - x["start"]))
+
+    return F.array_join(F.transform(spans, piece), "").cast("binary")
+
+
+def _base_of(kind: str):
+    return lambda x: x["base"] & (x["kind"] == kind)
+
+
+def _touches(mask: Column, span: Column) -> Column:
+    """Whether a span has a place that the mask holds."""
+    return F.substring(mask, span["start"] + 1, span["end"] - span["start"]).cast("string").contains("1")
+
+
+def _wide(text: Column) -> Column:
+    """Four bytes for each character."""
+    return F.encode(text, "UTF-32")
+
+
+def _part(wide: Column, start: Column, size: Column) -> Column:
+    """Characters of a text by their places, in time that does not grow with the place. A byte-order mark in front keeps the text's own ones."""
+    return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(wide, start * 4 + 1, size * 4)), "UTF-32")
+
+
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -118,12 +153,13 @@ def _plausible(kind: str, found: Column) -> Column:
     return F.length(_digits(found)) >= least if least else F.lit(True)
 
 
-def _votes(kind: str, text: Column, span: Column) -> dict[str, Column]:
-    """1 for, -1 against, 0 none, for each labeler."""
+def _votes(kind: str, wide: Column, span: Column) -> dict[str, Column]:
+    """1 for, -1 against, 0 none, for each labeler; ``wide`` is the text in four bytes a character."""
     found, digits = span["found"], _digits(span["found"])
     begin = F.greatest(span["start"] - BEFORE, F.lit(0))
-    before = F.lower(F.substring(text, begin + 1, span["start"] - begin))
-    beside = F.concat(F.substring(text, F.greatest(span["start"], F.lit(1)), F.when(span["start"] > 0, 1).otherwise(0)), F.substring(text, span["end"] + 1, F.lit(AFTER)))
+    before = F.lower(_part(wide, begin, span["start"] - begin))
+    left = F.when(span["start"] > 0, 1).otherwise(0)
+    beside = F.concat(_part(wide, span["start"] - left, left), _part(wide, span["end"], F.lit(AFTER)))
     if kind == "email":
         gazetteer = F.when(F.lower(found).rlike(rf"(?:\.|dot[)\]])\x20?(?:{DOMAINS})$"), 1).otherwise(0)
     elif kind == "ip":
@@ -153,16 +189,20 @@ def with_candidates(docs: DataFrame, name: str, text: str = "text") -> DataFrame
         strict, loose = F.col(f"{name}_{kind}_base"), F.col(f"{name}_{kind}_loose")
         checked = F.transform(strict, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), _valid(kind, x["found"]).alias("base")))
         first = F.transform(checked, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["base"].alias("base"), (~x["base"]).alias("failed")))
-        fresh = F.filter(loose, lambda x: ~F.exists(strict, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+        apart = _let(_mask(strict), lambda mask: F.filter(loose, lambda x: ~_touches(mask, x)))
+        fresh = F.when((F.size(loose) > 0) & (F.size(strict) > 0), apart).otherwise(loose)
         second = F.transform(fresh, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), F.lit(False).alias("base"), F.lit(False).alias("failed")))
         return F.concat(F.filter(first, lambda x: x["base"] | _plausible(kind, x["found"])), second)
 
     def voted(kind: str) -> Column:
-        def candidate(x: Column) -> Column:
-            votes = [v.cast("int").alias(k) for k, v in _votes(kind, body, x).items()]
-            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), *votes)
+        def candidates(wide: Column) -> Column:
+            def candidate(x: Column) -> Column:
+                votes = [v.cast("int").alias(k) for k, v in _votes(kind, wide, x).items()]
+                return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), *votes)
+
+            return F.transform(F.col(f"{name}_{kind}"), candidate)
 
-        return F.transform(F.col(f"{name}_{kind}"), candidate)
+        return F.when(F.size(f"{name}_{kind}") > 0, _let(_wide(body), candidates)).otherwise(F.array().cast(_CANDIDATES))
 
     own = [f"{name}_{k}" for k in KINDS]
     docs = docs.withColumns({c: marked(k) for c, k in zip(own, KINDS)}).drop(*raw)
@@ -253,13 +293,15 @@ def find_spans(docs: DataFrame, model: SpanClassifier | None = None, text: str =
     docs = docs.drop(name)
     own = free_name(docs, "candidates")
     found = with_candidates(docs, own, text)
-    base = f"{own}_base"
-    found = found.withColumn(base, F.filter(own, lambda x: x["base"]))
-    taken = F.filter(own, lambda x: x["base"] | ((model.probability(x) >= threshold) & ~F.exists(F.col(base), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))
+    # base spans of one kind are apart, those of different kinds may not be
+    masks = F.array(*[_mask(F.filter(own, _base_of(k))) for k in KINDS])
+    sure = lambda x: x["base"] | (model.probability(x) >= threshold)
+    picked = _let(masks, lambda held: F.filter(own, lambda x: sure(x) & (x["base"] | ~F.exists(held, lambda mask: _touches(mask, x)))))
+    taken = F.when(F.exists(own, lambda x: ~x["base"]), picked).otherwise(F.col(own))
     slim = F.transform(taken, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
     number = F.transform(slim, lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("kind_number"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base")))
     ordered = F.transform(F.array_sort(number), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
-    return found.withColumn(name, ordered).drop(own, base)
+    return found.withColumn(name, ordered).drop(own)
 
 
 def as_text(spans: Column) -> Column:
@@ -274,17 +316,43 @@ def redact(docs: DataFrame, model: SpanClassifier | None = None, text: str = "te
     """
     name = free_name(docs, "spans")
     found = find_spans(docs, model, text, name=name)
-    body = F.col(text)
+    body = F.col(text).cast("string")
     places = F.array_sort(F.transform(name, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def step(a: Column, x: Column) -> Column:
-        mark = F.concat(F.substring(body, a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        out = F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(mark))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
+    def masked(wide: Column) -> Column:
+        def whole(held: Column) -> Column:
+            """``held`` are the spans with what is covered before each."""
+            size = F.size(held)
+            covered = F.greatest(F.get(held, size - 1)["at"], F.get(held, size - 1)["end"])
+            first = F.filter(held, lambda x: x["start"] >= x["at"])
+            marks = F.transform(first, lambda x: F.concat(_part(wide, x["at"], x["start"] - x["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+            return F.concat(F.array_join(marks, ""), _part(wide, covered, F.length(body) - covered))
+
+        return _let(_after(places), whole)
+
+    return found.withColumn(text, F.when(F.size(name) > 0, _let(_wide(body), masked)).otherwise(body)).select(*own_columns(docs))
+
+
+def _after(places: Column) -> Column:
+    """Spans in order of start, each with ``at``: the end of all before it, 0 for the first. Found in parts of PART spans, so that no
+    array grows with all."""
+
+    def placed(spans: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / PART).cast("int"))
+        highest = F.transform(parts, lambda k: F.array_max(F.transform(F.slice(spans, k * PART + 1, F.lit(PART)), lambda x: x["end"])))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(highest, zero, lambda a, n: F.struct(F.greatest(a["at"], n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+        def part(at: Column, k: Column) -> Column:
+            def inside(own: Column) -> Column:
+                ends = F.transform(own, lambda x: x["end"])
+                return F.transform(own, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.greatest(at, F.array_max(F.slice(ends, F.lit(1), i))).alias("at")))
+
+            return _let(F.slice(spans, k * PART + 1, F.lit(PART)), inside)
+
+        return F.flatten(F.transform(starts, part))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate(places, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size(name) > 0, masked).otherwise(body)).select(*own_columns(docs))
+    return _let(places, placed)
 
 
 def personal_data(docs: DataFrame, model: SpanClassifier | None = None) -> DataFrame:

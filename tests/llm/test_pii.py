@@ -94,3 +94,31 @@ def test_edges(spark):
     assert sorted(r.spans for r in pii.personal_data(docs).collect()) == ["", "", "email:0:6", "email:0:6"]
     assert pii.personal_data(docs.limit(0)).count() == 0
     assert [r.text for r in pii.redact(docs.limit(1)).collect()] == [None]
+
+
+def redacted_by_hand(text, spans):
+    out, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda x: (x[1], x[2], x[0])):
+        if start >= at:
+            out.append(f"{text[at:start]}[{kind.upper()}]")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_texts_of_many_matches(spark):
+    """Thousands of strict and loose matches in one text, with characters of one to four bytes and byte-order marks between."""
+    rng = random.Random(9)
+    fill = ["é", "\U0001f600", " call ", "\ufeff", "\ufffe", " version ", "x", "\n"]
+    bits = ["(415) 555-0123", "+1 (743) 555-3824", "a.b@c.org", "10.0.0.1", "4111 1111 1111 1111", "300.1.1.1", "1234-5678-9012-3456", "jo [at] example [dot] com", "4111111111111111@x.de"]
+    texts = ["".join(rng.choice(bits) + " " + rng.choice(fill) + " " for _ in range(n)) for n in (3, 255, 256, 257, 700, 2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = pii.train(docs)
+    rows = pii.personal_data(docs, model).join(docs, "doc_id").collect()
+    check(rows)
+    spans = {r.doc_id: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(","))] for r in rows}
+    assert sum(r.n_added for r in rows) > 100
+    for r in rows:
+        base = [w for w in by_hand(r.text)]
+        for kind, start, end in set(spans[r.doc_id]) - set(base):
+            assert not any(a < end and start < b for _, a, b in base), (kind, start, end)
+    assert {r.doc_id: r.text for r in pii.redact(docs, model).collect()} == {k: redacted_by_hand(t, spans[k]) for k, t in enumerate(texts)}
