@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -11,17 +13,63 @@ from recordloom.functions import arrays as A
 from recordloom.plans.record import Record
 
 
+_REFERENCE = re.compile(r"\{(\w+)\}|\$(\w+)")
+
+
+def resolved(text: str, r: Record) -> str | Column:
+    """A text with {key} replaced by the record's entry, and $NAME by the variable of the driver's environment; what is missing is an error.
+
+    A plain text where no entry is named, else a column of texts.
+    """
+    parts, at = [], 0
+    for m in _REFERENCE.finditer(text):
+        parts.append(text[at : m.start()])
+        key, name = m.groups()
+        if key is not None:
+            if key not in r.entries:
+                raise KeyError(f"no entry {key!r} for {text!r} (entries: {list(r.entries)})")
+            parts.append(r[key].cast("string"))
+        elif name in os.environ:
+            parts.append(os.environ[name])
+        else:
+            raise KeyError(f"no environment variable {name!r} for {text!r}")
+        at = m.end()
+    parts.append(text[at:])
+    if all(isinstance(p, str) for p in parts):
+        return "".join(parts)
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts if not isinstance(p, str) or p])
+
+
+def number_of(value: float | str | Column | None, r: Record) -> float | Column | None:
+    """A parameter as a number: texts are resolved() first, a blank one is none. A text that is no number is an error."""
+    if not isinstance(value, str):
+        return value
+    found = resolved(value, r)
+    if isinstance(found, str):
+        if not found.strip():
+            return None
+        try:
+            return float(found)
+        except ValueError:
+            raise ValueError(f"{value!r} is {found!r}, which is no number") from None
+    number = found.try_cast("double")
+    return F.when(found.isNull() | number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit(f"{value} is "), found, F.lit(", which is no number"))).cast("double"))
+
+
 @dataclass(frozen=True)
 class Threshold:
+    """A mask of the values between two levels; a level is a number, a column, or a text with {key} and $NAME in it."""
+
     field: str
-    low_level: float | Column | None = None
-    high_level: float | Column | None = None
+    low_level: float | str | Column | None = None
+    high_level: float | str | Column | None = None
     low_op: str = ">"
     high_op: str = "<"
     output: str = "mask"
 
     def __call__(self, r: Record) -> Record:
-        return r.put(self.output, A.threshold(r[self.field], self.low_level, self.high_level, self.low_op, self.high_op), "Mask")
+        low, high = number_of(self.low_level, r), number_of(self.high_level, r)
+        return r.put(self.output, A.threshold(r[self.field], low, high, self.low_op, self.high_op), "Mask")
 
 
 @dataclass(frozen=True)

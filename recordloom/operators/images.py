@@ -63,14 +63,17 @@ class ConvertToImage:
     columns: int | None = None
 
     def __call__(self, r: Record) -> Record:
+        return r.put(self.output, self.drawn(r[self.field], r.frame.schema[r.entries[self.field]].dataType), "Image")
+
+    def drawn(self, source: Column, kind: T.DataType) -> Column:
         width, height, longest, flip, colormap = self.width, self.height, self.max_size, self.flip_vertical, self.colormap
         I.fitted_size(1, 1, width, height, longest)
         D.lookup(colormap)
         if self.vmin is not None and self.vmax is not None and self.vmax <= self.vmin:
             raise ValueError(f"vmax must be above vmin: {self.vmin}, {self.vmax}")
-        source, flat = r[self.field], isinstance(r.frame.schema[r.entries[self.field]].dataType, T.ArrayType)
+        flat = isinstance(kind, T.ArrayType)
         if flat:
-            source = map_image(source, r.frame.schema[r.entries[self.field]].dataType, self.columns, self.vmin, self.vmax)
+            source = map_image(source, kind, self.columns, self.vmin, self.vmax)
 
         def draw(a):
             h, w = I.fitted_size(a.shape[1], a.shape[2], width, height, longest)
@@ -80,7 +83,7 @@ class ConvertToImage:
                 a = I.converted(a, "RGB")
             return I.resized(a[:, ::-1] if flip else a, w, h)
 
-        return r.put(self.output, I.kernel(draw)(source), "Image")
+        return I.kernel(draw)(source)
 
 
 def map_image(x: Column, kind: T.ArrayType, columns: int | None, vmin: float | None = None, vmax: float | None = None) -> Column:
@@ -102,7 +105,7 @@ def value_image(r: Record, key: str, colormap: str = "viridis", max_size: int =
     kind = r.frame.schema[r.entries[key]].dataType
     numbers = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType | T.BooleanType)
     if numbers or (isinstance(kind, T.StructType) and kind.names == ["height", "width", "channels", "data"]):
-        shown = ConvertToImage(key, 0, 0, max_size, output="__shown", colormap=colormap, columns=columns)(r)["__shown"]
+        shown = ConvertToImage(key, 0, 0, max_size, colormap=colormap, columns=columns).drawn(r[key], kind)
         return I.kernel(lambda a: I.converted(a, "RGB"))(shown)
     text = r[key].cast("string") if not isinstance(kind, T.StructType | T.ArrayType | T.MapType) else F.to_json(r[key])
 

@@ -910,6 +910,26 @@ def model_detect(spark, folder):
     return SelectFields(["vec_id", "x1", "y1", "labels"])(r).result()
 
 
+@query(f"SELECT vec_id, top / 2 AS half, list_transform(e, lambda x: x > top / 2) AS mask FROM (SELECT *, list_max(e) AS top FROM {_V})")
+def flow_document(spark, folder):
+    """A flow written as a mapping, with a bound parameter and a merge."""
+    from recordloom.plans.document import flow_of
+
+    document = {
+        "half": Formula("amax(x) / 2", "embedding", output="half"),
+        "mask": {"op": Threshold("embedding"), "from": "source", "bind": {"low_level": "half[half]"}},
+        "both": {"merge_from": ["half"]},
+    }
+    flow, output = flow_of(SelectFields(["vec_id", "embedding"])(_vectors(spark, folder)), document)
+    return SelectFields(["vec_id", "half", "mask"])(flow.record(output)).result()
+
+
+@query(f"SELECT vec_id, list_transform(e, lambda x: x > label / 10.0::DOUBLE) AS mask FROM {_V}")
+def threshold_text(spark, folder):
+    """A level that is written as a text with an entry of the record in it."""
+    return SelectFields(["vec_id", "mask"])(Threshold("embedding", "0.{label}")(_vectors(spark, folder))).result()
+
+
 def _own_folder(spark: SparkSession, name: str) -> str:
     """A new folder for each run in the shared one."""
     import uuid

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.plans.record import Record, records
+from recordloom.sources.order import with_rank
 
 
 def _glob(pattern: str, name: Column, relative: Column) -> Column:
@@ -40,8 +41,7 @@ def files(spark: SparkSession, root: str | None = None, paths: list[str] | None
     table = listing(spark, root, pattern, exclude)
     if table.isEmpty():
         raise ValueError(f"no files match {pattern!r} under {root}")
-    # a listing is metadata: a row for each file
-    return records(table.withColumn("at", F.row_number().over(Window.orderBy("relative")) - 1), "at")
+    return records(with_rank(table, "at", F.col("relative")), "at")
 
 
 def select_files(table: DataFrame, max_depth: int = 0, max_subfolders: int = 0, max_folders: int = 0, max_files_per_folder: int = 0, max_files: int = 0) -> DataFrame:
@@ -71,6 +71,45 @@ def select_files(table: DataFrame, max_depth: int = 0, max_subfolders: int = 0,
     return table
 
 
+def file_selection(
+    spark: SparkSession, sets: list[str], pattern: str | list[str] = "*", exclude: str | None = None, max_depth: int | None = None, max_subfolders_per_folder: int = 0,
+    max_folders_per_set: int = 0, max_files_per_folder: int = 0, max_files: int = 0, relative_to: str = "", companions_of: tuple[str, ...] = (),
+) -> Record:
+    """Records {file, set, relative}: the files of each set (a folder), one set after another, in order of name.
+
+    ``pattern`` is one pattern or several, a file counts once; hidden files and those that match ``exclude`` or end in one of
+    ``companions_of`` (halves of pairs that count with the other half) are left out. Then come the limits of select_files(); a
+    ``max_depth`` of 0 keeps a set's own files only, None all depths. ``relative`` is the file's place under ``relative_to`` (the set's parent
+    folder where that is blank, or the file lies elsewhere) without its last extension. An empty selection is refused, as a limit below 0 is.
+    """
+    limits = {"max_depth": max_depth or 0, "max_subfolders_per_folder": max_subfolders_per_folder, "max_folders_per_set": max_folders_per_set, "max_files_per_folder": max_files_per_folder, "max_files": max_files}
+    if not sets or min(limits.values()) < 0:
+        raise ValueError(f"sets are needed, and limits of 0 or more: {limits}")
+    patterns = [pattern] if isinstance(pattern, str) else list(pattern)
+    parts = None
+    for number, root in enumerate(sets):
+        for p in patterns:
+            part = listing(spark, root, p, [exclude] if exclude else None).select("file", "relative", F.lit(root.rstrip("/")).alias("set"), F.lit(number).alias("number"))
+            parts = part if parts is None else parts.unionByName(part)
+    table = parts.distinct()
+    for suffix in companions_of:
+        table = table.filter(~F.col("file").endswith(suffix))
+    if max_depth is not None:
+        table = table.filter(F.size(F.split("relative", "/")) - 1 <= max_depth)
+    table = table.withColumn("name", F.col("set")).withColumn("set", F.format_string("%08d", "number"))
+    table = select_files(table, 0, max_subfolders_per_folder, max_folders_per_set, max_files_per_folder, max_files)
+    place = F.concat(F.regexp_extract("name", "([^/]*)$", 1), F.lit("/"), F.col("relative"))
+    if relative_to:
+        own = F.regexp_replace("file", "^[a-z]+:/*", "/")
+        base = relative_to.rstrip("/") + "/"
+        place = F.when(own.startswith(base), F.substring(own, len(base) + 1, 1 << 30)).otherwise(place)
+    rows = table.select("number", F.col("relative").alias("__order"), "file", F.col("name").alias("set"), F.regexp_replace(place, r"(?<=[^/])\.[^./]*$", "").alias("relative"))
+    if rows.isEmpty():
+        raise ValueError(f"no files match {patterns} in {sets}")
+    # a listing is metadata: a row for each file
+    return records(with_rank(rows, "at", F.col("number"), F.col("__order")).drop("number", "__order"), "at").with_entries({k: k for k in ("file", "set", "relative")})
+
+
 def companions(primary: DataFrame, secondary: DataFrame, suffix: str) -> DataFrame:
     """Pair files rank to rank within a bare name (a leading number and the suffix do not count): (file, companion)."""
 
