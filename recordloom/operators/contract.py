@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import functions as F
 
@@ -56,11 +56,32 @@ class ClassNames:
         return list(self.names)
 
 
+# The kinds of a slot, by the test that a value of that kind passes.
+SLOT_KINDS = {
+    "Stream": lambda v: hasattr(v, "source") and hasattr(v, "ops"), "Source": lambda v: isinstance(v, Record) or hasattr(v, "source"), "Sink": lambda v: callable(getattr(v, "write", None)),
+    "Op": callable, "Record": lambda v: isinstance(v, Record), "List[str]": lambda v: _names_of(v) is not None, "str": lambda v: isinstance(v, str),
+    "int": lambda v: isinstance(v, int) and not isinstance(v, bool), "float": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "bool": lambda v: isinstance(v, bool),
+}
+#: Item types that a slot or an entry may be declared as; register_item_type() adds to them.
+ITEM_TYPES = ["Image", "Mask", "Boxes", "Label", "MultiLabel", "Tensor"]
+
+
+def register_item_type(name: str) -> None:
+    if name not in ITEM_TYPES:
+        ITEM_TYPES.append(name)
+
+
+def _names_of(value) -> list[str] | None:
+    """A vocabulary: a list of texts, or what something calls its class names."""
+    names = getattr(value, "class_names", value)
+    return list(names) if isinstance(names, (list, tuple)) and all(isinstance(n, str) for n in names) else None
+
+
 @dataclass(frozen=True)
 class GraphContract:
     """What a flow takes from its host and what it delivers, as data.
 
-    ``inputs`` and ``outputs`` name slots with their Python types, ``optional`` slots may stay empty, ``records``
+    ``inputs`` and ``outputs`` name slots with their Python types, or with a kind of SLOT_KINDS or ITEM_TYPES by name, ``optional`` slots may stay empty, ``records``
     names entries with their item types, and ``delivered`` says what stands in a slot, or which entry a
     name of ``records`` is read from.
     """
@@ -77,6 +98,17 @@ class GraphContract:
         return [k for k in self.outputs if self.delivered.get(k) is None]
 
     def check_declaration(self) -> None:
+        """Refuses kinds that are none, slots that are declared twice, and slots named like a parameter of what is delivered."""
+        for side, slots in {"input": self.inputs, "output": self.outputs, "optional": self.optional, "record entry": self.records}.items():
+            for slot, kind in slots.items():
+                known = [*ITEM_TYPES, *(("*",) if side == "record entry" else SLOT_KINDS)]
+                if not isinstance(kind, type) and kind not in known:
+                    raise ContractError(f"{self.name}: {side} {slot!r} is declared as {kind!r}, which is none of {known}")
+        for slot, value in self.delivered.items():
+            own = {f.name for f in fields(value)} if is_dataclass(value) and not isinstance(value, type) else set()
+            taken = [k for k in (*self.outputs, *self.optional, *self.records) if k in own]
+            if taken:
+                raise ContractError(f"{self.name}: slot {taken[0]!r} has the name of a parameter of {type(value).__name__}, delivered as {slot!r}")
         groups = {"outputs": self.outputs, "optional": self.optional, "records": self.records}
         seen: dict[str, str] = {}
         for group, slots in groups.items():
@@ -98,6 +130,8 @@ class GraphContract:
             value = self.delivered.get(slot)
             if value is not None and isinstance(kind, type) and not isinstance(value, kind):
                 raise ContractError(f"{self.name}: slot {slot!r} is a {type(value).__name__}, not a {kind.__name__}")
+            if value is not None and kind in SLOT_KINDS and not SLOT_KINDS[kind](value):
+                raise ContractError(f"{self.name}: slot {slot!r} is a {type(value).__name__}, not a {kind}")
         for slot in self.records:
             if not isinstance(self.delivered.get(slot, slot), str):
                 raise ContractError(f"{self.name}: an entry for {slot!r} is a name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -155,3 +156,44 @@ def read_files(table: DataFrame, formats: list[str]) -> DataFrame:
         table = table.withColumn(name, F.when(mine, reader(F.when(mine, F.col("content")))))
     names = ", ".join(formats)
     return table.filter(known | F.raise_error(F.concat(F.lit(f"not one of the formats {names}: "), "file")).cast("boolean"))
+
+
+@dataclass(frozen=True)
+class ReadFile:
+    """Entries of the files that records name, by the first of ``formats`` (all that are registered, where none are named) that matches.
+
+    A record whose ``field`` is null stays as it is. One whose file ends in a suffix of ``consumed`` (the half of a pair whose other
+    half has the content) is dropped; a file of no format is an error that names the formats. ``content`` is the entry with the
+    bytes; formats whose entries no output reads are not decoded. Formats that give an entry of one name must agree on its type.
+    """
+
+    field: str = "file"
+    content: str = "content"
+    formats: tuple[str, ...] | None = None
+    consumed: tuple[str, ...] = ()
+
+    def __call__(self, r: Record) -> Record:
+        if self.field not in r.entries:
+            return r
+        names = list(FORMATS) if self.formats is None else list(self.formats)
+        if unknown := [n for n in names if n not in FORMATS]:
+            raise ValueError(f"no format {unknown[0]!r} ({list(FORMATS)})")
+        file = r[self.field].cast("string")
+        for suffix in self.consumed:
+            r = r.filter(~F.coalesce(file.endswith(suffix), F.lit(False)))
+        known, types, values = F.lit(False), {}, {}
+        for name in names:
+            suffix, schema, read = FORMATS[name]
+            mine = file.endswith(suffix) & ~known
+            known |= file.endswith(suffix)
+            found = _reader(read, schema)(F.when(mine, r[self.content]))
+            for part in schema.split(","):
+                key, kind = (x.strip() for x in part.split(":", 1))
+                if types.setdefault(key, kind) != kind:
+                    raise ValueError(f"entry {key!r} is {types[key]} in one format and {kind} in {name!r}")
+                before = values.get(key, F.lit(None).cast(kind))
+                values[key] = F.when(mine, found[key]).otherwise(before)
+        text = F.concat(F.lit(f"not one of the formats {', '.join(names) or 'none'}: "), file)
+        checked = r.filter(file.isNull() | known | F.raise_error(text).cast("boolean"))
+        kept = {k: F.when(file.isNull(), r[k]).otherwise(v) if k in r.entries else v for k, v in values.items()}
+        return checked.put_all(kept)

@@ -9,9 +9,11 @@ from recordloom.functions import drawing, images
 from recordloom.operators import images as image_ops
 from recordloom.operators import labels
 from recordloom.operators.arrays import Threshold, resolved
+from recordloom.operators.contract import ContractError, GraphContract, register_item_type
 from recordloom.operators.structure import Formula, Where
 from recordloom.plans.document import flow_of
 from recordloom.plans.record import StepReferenceError, records
+from recordloom.sources import files
 from recordloom.sources.files import file_selection
 
 
@@ -94,6 +96,40 @@ class TestSelection:
                 file_selection(spark, sets, max_files=limit)
 
 
+class TestReadFile:
+    def test_formats_pairs_and_nulls(self, spark):
+        files.register_format("number", ".num", "n: int, origin: string", lambda b: {"n": int(b), "origin": "num"})
+        files.register_format("length", ".len", "n: int", lambda b: {"n": len(b)})
+        frame = spark.createDataFrame([(0, "a.num", bytearray(b"7")), (1, "b.len", bytearray(b"xyz")), (2, None, None), (3, "a.dat", bytearray(b"?"))], "id int, file string, content binary")
+        r = records(frame, "id")
+        out = files.ReadFile(formats=("number", "length"), consumed=(".dat",))(r)
+        assert [(x.id, x.n, x.origin) for x in out.result(ordered=True).collect()] == [(0, 7, "num"), (1, 3, None), (2, None, None)]
+        assert files.ReadFile("none")(r) is r
+        with pytest.raises(PySparkException, match="not one of the formats number"):
+            files.ReadFile(formats=("number",))(r).result().collect()
+        with pytest.raises(ValueError, match="no format 'zip'"):
+            files.ReadFile(formats=("zip",))(r)
+
+
+class TestGraphContracts:
+    def test_kinds_and_names(self, spark):
+        r = source(spark)
+        for outputs, delivered, text in (
+            ({"x": "Strem"}, {}, "output 'x' is declared as 'Strem'"), ({"x": "int"}, {"x": "1"}, "slot 'x' is a str, not a int"), ({"x": "float"}, {"x": True}, "not a float"),
+            ({"classes": "List[str]"}, {"classes": [1]}, "not a List"), ({"op": "Op"}, {"op": 1}, "not a Op"), ({"source": "Record"}, {"source": "r"}, "not a Record"),
+            ({"field": "Op"}, {"field": Threshold("v")}, "name of a parameter of Threshold"),
+        ):
+            with pytest.raises(ContractError, match=text):
+                GraphContract("g", outputs, delivered=delivered).check()
+        GraphContract("g", {"op": "Op", "classes": "List[str]", "records": "Record", "n": "int", "one": int}, delivered={"op": Formula("x", "x"), "classes": ["a"], "records": r, "n": 1, "one": 2}).check()
+        with pytest.raises(ContractError, match="record entry 'x' is declared as 'Stream'"):
+            GraphContract("g", records={"x": "Stream"}).check_declaration()
+        with pytest.raises(ContractError, match="'Sound'"):
+            GraphContract("g", records={"x": "Sound"}).check_declaration()
+        register_item_type("Sound")
+        GraphContract("g", records={"x": "Sound"}).check_declaration()
+
+
 class TestLabels:
     def test_arrays_by_a_join(self, spark, monkeypatch):
         monkeypatch.setattr(labels, "MAP_CLASSES", 1)
