@@ -4,8 +4,8 @@ A fingerprint is a 64-bit hash with the document it stands in. Tasks sort their
 what one task can settle by itself, and send one row of packed arrays per destination bucket instead
 of one row per fingerprint. A fingerprint that is very common leaves a task at most once (or twice,
 where two contexts matter), so a hot passage costs its bucket no more rows than there are tasks.
-Before anything is taken to be equal across documents, a second hash of the same bytes (``val``) is compared
-too, so equal means equal in 96 bits, or 128 for whole texts.
+What one task settles is compared by a second hash of the same bytes (``val``) too, so equal means equal in 96 bits there, or
+128 for whole texts; what comes back to a document is told by 64 bits of (document, hash).
 
 Rows: ``bucket int, tag int, doc binary, key binary, val binary``. Buckets below ``n`` are chosen by the
 key; a row for a document goes to ``n`` + the document's bucket while it only passes through a stage.

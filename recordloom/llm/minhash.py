@@ -9,8 +9,8 @@ they are; pairs that meet are not looked at if they differ in over FAR places, w
 
 Cells (signatures with one key) are never expanded into pairs. Members of a cell form a chain, of which each task sends its
 first one only, so a cell costs as many links as it has members and no member is in many. First each set is held
-against the likeliest of its neighbours, then neighbours that are still apart, and at last, in cells that are still not of one
-component, members of different components. Sizes and parities of the shingles in classes discard pairs that cannot
+against the likeliest of its neighbours, then neighbours that are still apart, then, in cells that are still not of one
+component, members of different components: first as many as would join these, at last what is apart for all that. Sizes and parities of the shingles in classes discard pairs that cannot
 be similar, by bounds that hold for certain; what is left is confirmed on the sets.
 """
 
@@ -35,12 +35,12 @@ VALUES = WIDTH * CHUNKS
 REACH = (ERRORS + 1) * CHUNKS - 1
 #: Differing places beyond which a pair that meets is not looked at: 6.5 standard deviations over what a similarity of 0.8 gives.
 FAR = 67
-#: Places that members of a cell are held against each other by, and the same bound for them.
-NARROW, NARROW_FAR = 64, 34
 #: Signatures that a task sends at once.
 SEND = 16_384
 #: Members of a cell that are held against as many others at once; larger cells are dealt as pairs of such blocks.
 BLOCK = 1024
+#: Pairs of one set that one place confirms.
+PARTNERS = 64
 #: Groups of cells for each shuffle partition.
 BUCKETS = 4
 #: Bits of the filter on texts that are read again.
@@ -75,15 +75,29 @@ def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_keys(signature: np.ndarray) -> np.ndarray:
-    """(sets, CHUNKS * WIDTH) keys: each chunk with one of its places left out, told by chunk and place."""
-    chunks = signature.reshape(len(signature), CHUNKS, WIDTH).astype(np.uint64)
-    keys = np.empty((len(signature), CHUNKS, WIDTH), np.uint64)
+def chunk_keys(signature: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+    """(sets, CHUNKS * WIDTH) keys: each chunk with one of its places left out, told by chunk and place; of one chunk of each set if ``only`` names it."""
+    chunks, number = signature.reshape(len(signature), CHUNKS, WIDTH), np.arange(CHUNKS)
+    if only is not None:
+        chunks, number = chunks[np.arange(len(only)), only][:, None], only[:, None]
+    chunks, number = chunks.astype(np.uint64), number.astype(np.uint64)
+    keys = np.empty(chunks.shape, np.uint64)
     for out in range(WIDTH):
         rest = [k for k in range(WIDTH) if k != out]
         packed = sum((chunks[:, :, k] << np.uint64(8 * n) for n, k in enumerate(rest)), np.zeros(keys.shape[:2], np.uint64))
-        keys[:, :, out] = packed | (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(out)) << np.uint64(8 * (WIDTH - 1))
-    return mix(keys.reshape(len(signature), CHUNKS * WIDTH))
+        keys[:, :, out] = packed | (number * np.uint64(WIDTH) + np.uint64(out)) << np.uint64(8 * (WIDTH - 1))
+    return mix(keys.reshape(len(signature), keys.shape[1] * WIDTH))
+
+
+def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first key that each two signatures share, of chunk_keys(); zero where there is none."""
+    other = (x != y).reshape(len(x), CHUNKS, WIDTH)
+    near_ = other.sum(axis=2) <= ERRORS
+    chunk, row = near_.argmax(axis=1), np.arange(len(x))
+    # the place that differs, or the first where none does
+    out = other[row, chunk].argmax(axis=1)
+    keys = chunk_keys(x, chunk)[row, out]
+    return np.where(near_.any(axis=1), keys, np.uint64(0))
 
 
 def set_codes(values: np.ndarray, at: np.ndarray, lane: int) -> np.ndarray:
@@ -101,14 +115,34 @@ def parities(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.packbits((np.bincount(place, minlength=bounds[-1]) & 1).astype(bool)), bounds // 8
 
 
-def odd_classes(x: bytes, y: bytes) -> int:
-    """Classes in which two sets differ in parity; the finer table is folded onto the coarser one."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) > len(a):
-        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+class Parities:
+    """Parity bytes of many sets, end to end."""
+
+    def __init__(self, column):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        values = column.cast(pa.large_binary())
+        _, bounds, data = values.buffers()
+        self.at = np.frombuffer(bounds, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.size = np.diff(self.at)
+
+    def odd(self, i: np.ndarray, other: Parities, j: np.ndarray) -> np.ndarray:
+        """Classes in which sets i and sets j of ``other`` differ in parity; a finer table is folded onto a coarser one."""
+        out, si, sj = np.zeros(len(i), np.int64), self.size[i], other.size[j]
+        for one, two in set(zip(si.tolist(), sj.tolist())):
+            k = np.flatnonzero((si == one) & (sj == two))
+            small = min(one, two)
+            x, y = (p.data[p.at[r[k]][:, None] + np.arange(n)].reshape(len(k), n // small, small) for p, r, n in ((self, i, one), (other, j, two)))
+            out[k] = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def possible(na: np.ndarray, nb: np.ndarray, x: np.ndarray, y: np.ndarray, odd, p: int, q: int) -> np.ndarray:
+    """Whether pairs of sizes na, nb and signatures x, y may be p / q similar; ``odd(k)`` tells the odd classes of pairs k."""
+    keep = (np.minimum(na, nb) * q >= np.maximum(na, nb) * p) & (differing(x, y) <= FAR)
+    k = np.flatnonzero(keep)
+    keep[k] = odd(k) * (p + q) <= ((na + nb) * (q - p))[k]
+    return keep
 
 
 def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -200,23 +234,22 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x != y).sum(axis=-1)
 
 
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, VALUES)
+
+
 def near(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b, distance) of pairs that may be p / q similar."""
     of_a, of_b = (nodes.select(F.col("node").alias(c), F.struct("n", "signature", "parity").alias(f"of_{c}")) for c in "ab")
 
     def tasks(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, signature, parity = zip(*(batch.column(c).flatten() for c in ("of_a", "of_b")))
-            na, nb = (x.to_numpy() for x in n)
-            x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, VALUES) for s in signature)
-            distance = differing(x, y)
-            keep = (distance <= FAR) & (np.minimum(na, nb) * q >= np.maximum(na, nb) * p)
-            room = (na + nb) * (q - p)
-            for k in np.flatnonzero(keep):
-                keep[k] = odd_classes(parity[0][k].as_py(), parity[1][k].as_py()) * (p + q) <= room[k]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance)], names=["a", "b", "distance"]).filter(pa.array(keep))
+            if batch.num_rows:
+                n, signature, parity = zip(*(batch.column(c).flatten() for c in ("of_a", "of_b")))
+                x, y = (_signatures(column) for column in signature)
+                one, two = (Parities(column) for column in parity)
+                keep = possible(n[0].to_numpy(), n[1].to_numpy(), x, y, lambda k: one.odd(k, two, k), p, q)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differing(x, y))], names=["a", "b", "distance"]).filter(pa.array(keep))
 
     return pairs.select("a", "b").join(of_b, "b").join(of_a, "a").mapInArrow(tasks, "a bigint, b bigint, distance bigint")
 
@@ -257,8 +290,18 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     wanted = named.select(F.explode(F.array("is_a", "is_b")).alias("is")).select("is.code").distinct()
     found = sets(wanted, texts, shingle)
     both = named.select("a", "b", F.col("is_a.same").alias("a_is"), F.col("is_b.same").alias("b_is"))
+    many = {}
+    for c, other in ("ba", "ab"):
+        # a set with many partners stands in several places, and its pairs are dealt to these
+        places = both.groupBy(f"{c}_is").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("places"))
+        many[c] = stored(places.filter("places > 1"))
+        if many[c].isEmpty():
+            both = both.withColumn(f"{c}_at", F.lit(0))
+        else:
+            both = stored(join_hot(both, places, f"{c}_is").withColumn(f"{c}_at", F.pmod(F.xxhash64(other), F.col("places")).cast("int")).drop("places"))
     for c in "ba":
-        both = both.join(found.select(F.col("same").alias(f"{c}_is"), F.col("shingles").alias(f"of_{c}")), f"{c}_is")
+        copies = found.withColumnRenamed("same", f"{c}_is").join(many[c], f"{c}_is", "left").withColumn(f"{c}_at", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1)))
+        both = both.join(copies.select(f"{c}_is", f"{c}_at", F.col("shingles").alias(f"of_{c}")), [f"{c}_is", f"{c}_at"])
 
     def judge(batches):
         for batch in batches:
@@ -275,39 +318,90 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
-def across(chains: DataFrame, open_: DataFrame, joined: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) of different components that may be similar, of all cells of three or more with a neighbouring pair in ``open_``."""
-    buckets = BUCKETS * partitions(nodes.sparkSession)
+def dealt(chains: DataFrame, open_: DataFrame, joined: DataFrame) -> DataFrame:
+    """(bucket, key, cell, node, side): the members of all cells of three or more with a neighbouring pair in ``open_``.
+
+    Of two members of different components (node, root) one at least is not of the component that most members have. So in a cell of
+    more than BLOCK members the others are what is dealt out: each block of them with each block of that component (sides 1 and 0), and
+    with each of their own blocks (side 2, as in small cells). Two of side 1 need not be held against each other.
+    """
+    buckets = BUCKETS * partitions(chains.sparkSession)
     larger = chains.filter("key is not null")
     keys = larger.join(open_, ["a", "b"], "left_semi").select("key").distinct()
-    members = stored(larger.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("node")).distinct())
-    size = members.groupBy("key").count().select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = join_hot(members, size, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    about = nodes.select("node", "n", F.substring("signature", 1, NARROW).alias("narrow")).join(joined, "node", "left")
-    dealt = dealt.select("node", cell.alias("cell")).join(about.select("node", "n", "narrow", F.coalesce("root", "node").alias("root")), "node")
-    dealt = dealt.withColumn("bucket", F.pmod("cell", F.lit(buckets)).cast("int"))
+    named = larger.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = stored(named.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    by_root = members.groupBy("key", "root").count()
+    size = by_root.groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("most"))
+    # no blocks in a small cell; in a large one some of either kind
+    parts = lambda n: F.when(F.col("n") > BLOCK, F.ceil(n / BLOCK)).otherwise(0).cast("int")
+    size = size.filter(F.col("n") > F.col("most.count")).select("key", F.col("most.root").alias("main"), parts(F.col("most.count")).alias("of_main"), parts(F.col("n") - F.col("most.count")).alias("of_rest"))
+    held = members.join(size.select("key"), "key", "left_semi")
+    out = join_hot(stored(held), size, "key").withColumn("rest", F.col("root") != F.col("main"))
+    out = out.withColumn("own", F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("rest"), F.col("of_rest")).otherwise(F.col("of_main")), F.lit(1))).cast("int"))
+    places = lambda n: F.sequence(F.lit(0), n - 1)
+    row = lambda one, two, side: F.struct(one.alias("one"), two.alias("two"), F.lit(side).alias("side"))
+    own, none = F.col("own"), F.lit(-1)
+    with_main = F.transform(places(F.col("of_main")), lambda k: row(own, k, 1))
+    with_rest = F.transform(places(F.col("of_rest")), lambda k: row(F.least(own, k), -2 - F.greatest(own, k), 2))
+    seats = (
+        F.when(F.col("of_main") == 0, F.array(row(none, none, 2)))
+        .when(F.col("rest"), F.concat(with_main, with_rest))
+        .otherwise(F.transform(places(F.col("of_rest")), lambda k: row(k, own, 0)))
+    )
+    out = out.select("key", "node", F.explode(seats).alias("seat"))
+    cell = F.xxhash64("key", "seat.one", "seat.two")
+    return stored(out.select(F.pmod(cell, F.lit(buckets)).cast("int").alias("bucket"), "key", cell.alias("cell"), "node", F.col("seat.side").alias("side")))
+
+
+def across(cells_: DataFrame, joined: DataFrame, nodes: DataFrame, p: int, q: int, all_: bool) -> DataFrame:
+    """Pairs (a, b) of one cell and different components (node, root) that may be similar, each told in the cell of the first key they share.
+
+    Unless it is ``all_`` of them, a pair is taken to join its components, and no other one of these is told in that cell: so a cell tells
+    fewer pairs than it has members.
+    """
+    about = nodes.select("node", "n", "signature", "parity").join(joined, "node", "left")
+    rows = cells_.join(about.select("node", "n", "signature", "parity", F.coalesce("root", "node").alias("root")), "node")
 
     def task(table: pa.Table) -> pa.Table:
-        cell, node, root, n = (table[c].combine_chunks().to_numpy() for c in ("cell", "node", "root", "n"))
-        narrow = np.frombuffer(b"".join(table["narrow"].to_pylist()), np.uint8).reshape(-1, NARROW)
-        order = np.lexsort((node, cell))
-        cell, node, root, n, narrow = (x[order] for x in (cell, node, root, n, narrow))
+        order = np.lexsort((table["node"].to_numpy(), table["cell"].to_numpy()))
+        table = table.take(pa.array(order))
+        cell, node, root, n, side = (table[c].to_numpy() for c in ("cell", "node", "root", "n", "side"))
+        key = table["key"].to_numpy().view(np.uint64)
+        signature, parity = _signatures(table["signature"]), Parities(table["parity"])
+        # components of each cell, as places; equal ones of different cells are apart
+        _, label = np.unique(np.stack([cell, root], axis=1), axis=0, return_inverse=True)
+        label, top = label.ravel(), np.arange(len(cell))
         found, at, step = [np.zeros((0, 2), np.int64)], np.arange(len(cell)), 1
+
+        def of(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
         while len(at):
             # all pairs at one distance in their cells at a time
             at = at[: np.searchsorted(at, len(cell) - step)]
             at = at[cell[at] == cell[at + step]]
-            i = at[root[at] != root[at + step]]
-            i = i[np.minimum(n[i], n[i + step]) * q >= np.maximum(n[i], n[i + step]) * p]
-            i = i[differing(narrow[i], narrow[i + step]) <= NARROW_FAR]
+            i = at[(label[at] != label[at + step]) & ((side[at] != 1) | (side[at + step] != 1))]
+            j = i + step
+            i = i[possible(n[i], n[j], signature[i], signature[j], lambda k, i=i, j=j: parity.odd(i[k], parity, j[k]), p, q)]
+            i = i[first_shared(signature[i], signature[i + step]) == key[i]]
+            if not all_ and len(i):
+                new = []
+                for x in i.tolist():
+                    one, two = of(int(label[x])), of(int(label[x + step]))
+                    if one != two:
+                        top[max(one, two)] = min(one, two)
+                        new.append(x)
+                while (top[top] != top).any():
+                    top = top[top]
+                label, i = top[label], np.array(new, np.int64)
             found.append(np.stack([node[i], node[i + step]], axis=1))
             step += 1
         a, b = np.unique(np.sort(np.concatenate(found), axis=1), axis=0).T
         return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.groupBy("bucket").applyInArrow(task, "a bigint, b bigint").distinct()
+    return rows.groupBy("bucket").applyInArrow(task, "a bigint, b bigint").distinct()
 
 
 def linked(nodes: DataFrame, texts: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
@@ -322,8 +416,12 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int, p: int, q: int) ->
     second = apart(close.select("a", "b"), stored(roots(links))).join(links, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(second, nodes, texts, shingle, p, q))
     joined = stored(roots(links))
-    rest = across(chains, stored(apart(met, joined)), joined, nodes, p, q).join(met, ["a", "b"], "left_anti")
-    return roots(links.unionByName(confirmed(near(rest, nodes, p, q), nodes, texts, shingle, p, q)))
+    rest = dealt(chains, stored(apart(met, joined)), joined)
+    third = stored(across(rest, joined, nodes, p, q, False)).join(met, ["a", "b"], "left_anti")
+    links = links.unionByName(confirmed(third, nodes, texts, shingle, p, q))
+    # what was taken to be joined and is not, pair by pair
+    last = across(rest, stored(roots(links)), nodes, p, q, True).join(met, ["a", "b"], "left_anti").join(third, ["a", "b"], "left_anti")
+    return roots(links.unionByName(confirmed(last, nodes, texts, shingle, p, q)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordloom.llm import minhash
@@ -63,6 +64,7 @@ def test_families_of_every_similarity(spark, monkeypatch, block):
     """Families from copies to a similarity of 0.4, with shingles that all share, in cells larger than a block."""
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "SEND", 50)
+    monkeypatch.setattr(minhash, "PARTNERS", 3)
     rng = random.Random(block)
     rows = []
     for family in range(14):
@@ -98,8 +100,13 @@ def test_pigeonhole():
         row[at] += rng.integers(1, 256, len(at)).astype(np.uint8)
     assert (minhash.differing(x, y) == minhash.REACH).all()
     assert all(np.intersect1d(a, b).size for a, b in zip(minhash.chunk_keys(x), minhash.chunk_keys(y)))
+    first = minhash.first_shared(x, y)
+    for a, b, key in zip(minhash.chunk_keys(x), minhash.chunk_keys(y), first):
+        shared = [k for k, other in zip(a, b) if k == other]
+        assert key in (shared[0], *shared[1 : minhash.WIDTH])
+    assert (minhash.first_shared(x, 255 - x)[(x != 255 - x).all(axis=1)] == 0).all()
     texts = [" ".join(f"w{k}" for k in range(n, n + 900)) for n in (0, 100)]
-    values, at, _ = sets_of(*text_buffers(__import__("pyarrow").array(texts)), 1, np.zeros(0, np.uint64))
+    values, at, _ = sets_of(*text_buffers(pa.array(texts)), 1, np.zeros(0, np.uint64))
     a, b = minhash.signatures(values, at)
     assert abs(minhash.differing(a, b) / minhash.VALUES - 0.2) < 0.11
 
@@ -110,5 +117,6 @@ def test_parity_is_a_bound():
         both = rng.integers(0, 2**63, size).astype(np.uint64)
         values = np.r_[both, both[:other] if other < size else np.r_[both, rng.integers(0, 2**63, other - size).astype(np.uint64)]]
         bits, at = minhash.parities(values, np.array([0, size, len(values)]))
-        x, y = (bits[at[k] : at[k + 1]].tobytes() for k in (0, 1))
-        assert 0 < minhash.odd_classes(x, y) <= abs(size - other)
+        table = minhash.Parities(pa.array([bits[at[k] : at[k + 1]].tobytes() for k in (0, 1)], pa.binary()))
+        odd = table.odd(np.array([0, 1, 0]), table, np.array([1, 0, 0]))
+        assert 0 < odd[0] <= abs(size - other) and odd[0] == odd[1] and odd[2] == 0
