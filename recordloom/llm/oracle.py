@@ -77,3 +77,73 @@ SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY
 
 
 OP11 = _clustering(10)
+
+OP12 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, t.b FROM reach AS r JOIN ways AS t ON t.a = r.b)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least_id, doc_id) AS component_id, coalesce(least_id, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
+def _repair() -> str:
+    """SQL of op13: a step for each turn, with the cheapest edits (cost, audit, text) of each state of the grammar."""
+
+    def edit(x: str, cost: str, letter: str, line: str | None = None) -> str:
+        text = f"{x}.t || CASE WHEN {x}.t = '' THEN '' ELSE chr(10) END || {line}" if line else f"{x}.t"
+        return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {text}}} END"
+
+    def best(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def only(test: str, x: str) -> str:
+        return f"CASE WHEN {test} THEN {x} END"
+
+    own, user, assistant = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+    keep = lambda k, letter: only(f"NOT gone AND initial = '{letter}'", edit(f"s{k}", "cut", "K", own))
+    again = lambda k, line: only("NOT gone", edit(f"s{k}", "2 + cut", "R", line))
+    gone = lambda k: edit(f"s{k}", "3", "D")
+    steps = [
+        gone(0), best(gone(1), keep(0, "s")),
+        best(gone(2), *(keep(k, "u") for k in (0, 1, 3)), *(again(k, user) for k in (0, 1, 3))),
+        best(gone(3), keep(2, "a"), again(2, assistant)),
+    ]
+    told = lambda names: ", ".join(f"{x} AS {n}" for n, x in names.items())
+    add = lambda k, role: edit(f"s{k}", "2", "I", f"'{role}:'")
+    # turns are inserted after each turn: u, then a, then u again
+    more = [("s2", best("s2", *(add(k, "user") for k in (0, 1, 3)))), ("s3", best("s3", add(2, "assistant"))), ("s2", best("s2", add(3, "user")))]
+
+    def closed(source: str) -> str:
+        for name, value in more:
+            source = f"SELECT * REPLACE ({value} AS {name}) FROM ({source})"
+        return source
+
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    first = closed(f"SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)")
+    moved = told(dict(zip(("s0", "s1", "s2", "s3"), steps)))
+    step = closed(f"SELECT dp.conv_id, dp.i + 1 AS i, {moved} FROM dp JOIN turns ON turns.conv_id = dp.conv_id AND turns.i = dp.i + 1")
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(k))),
+faults AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS nth FROM faults WHERE f <> 0),
+marked AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, NOT regexp_matches(text, '[.!?]{space}*$') AS open,
+role[1] AS initial FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)),
+turns AS MATERIALIZED (SELECT conv_id, i, turn, role, text, initial, blank, NOT blank AND seen AS again, NOT blank AND NOT seen AND open AS truncated, blank OR seen AS gone, (NOT blank AND open)::INT AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM marked),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (truncated) AS truncated,
+count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+dp AS ({first} UNION ALL {step}),
+ends AS (SELECT conv_id, {best("s0", "s3")} AS e, i FROM dp)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.c AS cost, e.a AS audit, sha256(e.t) AS repaired_sha256
+FROM ends LEFT JOIN counts USING (conv_id) WHERE i = coalesce(n, 0)
+"""
+
+
+OP13 = _repair()

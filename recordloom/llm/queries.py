@@ -103,4 +103,4 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {"op2_substring_dedup": oracle.OP2, "op4_decontamination": oracle.OP4, "op6_suffix_array_dedup": oracle.OP6, "op11_centroid_clustering": oracle.OP11}
+SQL: dict[str, str] = {"op2_substring_dedup": oracle.OP2, "op4_decontamination": oracle.OP4, "op6_suffix_array_dedup": oracle.OP6, "op11_centroid_clustering": oracle.OP11, "op12_minhash_near_dedup": oracle.OP12, "op13_conversation_repair": oracle.OP13}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordloom.llm import decontamination, language, packing, pii, quality, queries, recompression, rules, sharding, simhash, suffix_index, tokens
+from recordloom.llm import clustering, conversations, decontamination, language, minhash, packing, pii, quality, queries, recompression, rules, sharding, simhash, suffix_index, tokens
 
 SCHEMA = "doc_id bigint, text string, lang string, `a.b` string, `__text` string, `stays_id` int, `n_words` string, `spans` string, `score` string, `x` int"
 _random = random.Random(3)
@@ -36,6 +36,9 @@ OPERATORS = {
     "benchmark blocks": lambda s, d: decontamination.find_benchmark(d, bench(s), block_bytes=10),
     "simhash": lambda s, d: simhash.near_duplicates(d),
     "near": lambda s, d: simhash.drop_near_duplicates(d),
+    "minhash": lambda s, d: minhash.near_duplicates(d),
+    "clusters": lambda s, d: clustering.cluster(d.withColumn("v", F.array(F.length("text").cast("double"), F.lit(1.0))), "doc_id", "v", 2),
+    "conversations": lambda s, d: conversations.repair(d.select("*", F.col("doc_id").alias("conv_id"), F.col("x").alias("turn"), F.col("lang").alias("role"))),
     "bytes": lambda s, d: suffix_index.remove_repeated_bytes(d),
     "language": lambda s, d: language.identify(d, language.train(d)),
     "shards": lambda s, d: sharding.shard_by_bytes(d, 4),
@@ -44,7 +47,7 @@ OPERATORS = {
     "quality": lambda s, d: quality.score(d, quality.train(d, labels(s))),
 }
 #: Operators that return fewer rows, or other ones, than they are given.
-FEWER = {"packing", "pieces", "near", "keep"}
+FEWER = {"packing", "pieces", "near", "keep", "clusters", "conversations"}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
