@@ -37,7 +37,7 @@ OPERATORS = {
     "simhash": lambda s, d: simhash.near_duplicates(d),
     "near": lambda s, d: simhash.drop_near_duplicates(d),
     "minhash": lambda s, d: minhash.near_duplicates(d),
-    "clusters": lambda s, d: clustering.cluster(d.withColumn("v", F.array(F.length("text").cast("double"), F.lit(1.0))), "doc_id", "v", 2),
+    "clusters": lambda s, d: clustering.cluster(d.withColumn("v", F.array(F.length("text").cast("double"), F.lit(1.0))), "doc_id", "v", 2, 1),
     "conversations": lambda s, d: conversations.repair(d.select("*", F.col("doc_id").alias("conv_id"), F.col("x").alias("turn"), F.col("lang").alias("role"))),
     "bytes": lambda s, d: suffix_index.remove_repeated_bytes(d),
     "language": lambda s, d: language.identify(d, language.train(d)),
