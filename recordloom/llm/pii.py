@@ -276,7 +276,8 @@ def fit(counts: dict[tuple, int], rounds: int = 300, rate: float = 0.5) -> SpanC
 
 def train(docs: DataFrame, text: str = "text") -> SpanClassifier:
     """A classifier from the votes on all candidates of all rows; the driver gets a count per pattern of votes."""
-    found = with_candidates(docs.select(F.col(text).alias("text")), "candidates").select(F.inline("candidates"))
+    # the outer form: the other one makes Spark work out the candidates twice, once to see that there are any
+    found = with_candidates(docs.select(F.col(text).alias("text")), "candidates").select(F.inline_outer("candidates")).filter("kind is not null")
     # at most four kinds times three votes for each labeler
     counts = found.groupBy("kind", *LABELERS).count().collect()
     return fit({tuple(r[:-1]): r[-1] for r in counts})
