@@ -6,8 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.functions import boxes as B
 from recordloom.plans.record import Record
@@ -133,11 +136,11 @@ class MasksToDetectionBoxes:
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection over union of all rows (x0, y0, x1, y1) of two arrays; 0 where the union is empty."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.clip(high - low, 0, None).prod(axis=2)
-    size_a, size_b = ((x[:, 2:] - x[:, :2]).prod(axis=1) for x in (a, b))
-    union = size_a[:, None] + size_b[None, :] - both
+    """Intersection over union of all rows (x0, y0, x1, y1) of two arrays, or of each two in two stacks; 0 where the union is empty."""
+    a, b = a[..., :, None, :], b[..., None, :, :]
+    both = np.clip(np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0]), 0, None) * np.clip(np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]), 0, None)
+    size_a, size_b = ((x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1]) for x in (a, b))
+    union = size_a + size_b - both
     return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
 
 
@@ -155,9 +158,98 @@ def greedy_matches(iou: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     return pairs
 
 
+def stack_matches(iou: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """greedy_matches() of many tables of one shape at once: table, truth and predicted, each table's pairs in their order."""
+    n, _, width = iou.shape
+    table, left = np.arange(n), iou.copy()
+    found = [np.zeros((3, 0), int)]
+    for _ in range(min(iou.shape[1:])):
+        best = left.reshape(len(left), -1).argmax(axis=1)
+        sure = np.take_along_axis(left.reshape(len(left), -1), best[:, None], axis=1)[:, 0] >= threshold
+        table, left, (a, b) = table[sure], left[sure], divmod(best[sure], width)
+        if not len(table):
+            break
+        found.append(np.stack([table, a, b]))
+        at = np.arange(len(table))
+        left[at, a], left[at, :, b] = -np.inf, -np.inf
+    table, a, b = np.concatenate(found, axis=1)
+    return table, a, b
+
+
+#: Overlaps that are held at once, unless one record alone has more.
+OVERLAPS = 1 << 18
+
 MATCHES = "struct<matched: array<struct<truth: int, predicted: int, iou: double>>, fn: array<int>, fp: array<int>>"
 
 
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _counts(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
+def _corners(boxes: pa.Array) -> np.ndarray:
+    """All boxes of a batch, one under another; what is null is no number and overlaps nothing."""
+    flat = boxes.flatten()
+    fields = dict(zip((f.name for f in flat.type), flat.flatten()))
+    return np.stack([fields[k].cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("x0", "y0", "x1", "y1")], axis=1)
+
+
+def _label_codes(labels: list[pa.Array], sizes: list[np.ndarray]) -> list[np.ndarray]:
+    """A number for the label of each box, -1 where it has none; two lists for each record may be shorter or longer than its boxes."""
+    values = [x.flatten() for x in labels]
+    codes = pa.concat_arrays(values).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    out = []
+    for lists, size, own in zip(labels, sizes, np.split(codes, [len(values[0])])):
+        there, record = _counts(lists), np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(record)) - _starts(size)[record]
+        known = place < there[record]
+        code = np.full(len(record), -1)
+        code[known] = own[(_starts(there)[record] + place)[known]]
+        out.append(code)
+    return out
+
+
+def batch_matches(truth: pa.Array, predicted: pa.Array, labels: list[pa.Array] | None, threshold: float) -> pa.Array:
+    """MATCHES of the records of an Arrow batch, those with equal numbers of boxes together."""
+    n, boxes = len(truth), [_corners(truth), _corners(predicted)]
+    sizes = [_counts(truth), _counts(predicted)]
+    starts, codes = [_starts(x) for x in sizes], _label_codes(labels, sizes) if labels else None
+    forms, of = np.unique(np.stack(sizes, axis=1), axis=0, return_inverse=True)
+    order, cuts = np.argsort(of.ravel(), kind="stable"), np.cumsum(np.bincount(of.ravel(), minlength=len(forms)))
+    found, values = [np.zeros((3, 0), int)], [np.zeros(0)]
+    for (high, wide), same in zip(forms.tolist(), np.split(order, cuts[:-1])):
+        step = max(1, OVERLAPS // max(1, high * wide))
+        for k in range(0, len(same) if high and wide else 0, step):
+            some = same[k : k + step]
+            a, b = (start[some][:, None] + np.arange(size) for start, size in zip(starts, (high, wide)))
+            iou = overlaps(boxes[0][a], boxes[1][b])
+            if codes:
+                iou[codes[0][a][:, :, None] != codes[1][b][:, None, :]] = 0.0
+            if len(some) >= min(high, wide):
+                at, x, y = stack_matches(iou, threshold)
+            else:
+                at, x, y = np.array([(m, *pair) for m, one in enumerate(iou) for pair in greedy_matches(one, threshold)], int).reshape(-1, 3).T
+            found.append(np.stack([some[at], x, y]))
+            values.append(iou[at, x, y])
+    record, *ends = np.concatenate(found, axis=1)
+    turn = np.argsort(record, kind="stable")
+    pair = [pa.array(ends[0][turn], pa.int32()), pa.array(ends[1][turn], pa.int32()), pa.array(np.concatenate(values)[turn])]
+    out = [_lists(pa.StructArray.from_arrays(pair, ["truth", "predicted", "iou"]), np.bincount(record, minlength=n))]
+    for end, size, start in zip(ends, sizes, starts):
+        free = np.ones(size.sum(), bool)
+        free[start[record] + end] = False
+        whose = np.repeat(np.arange(n), size)
+        out.append(_lists(pa.array((np.arange(len(whose)) - start[whose])[free], pa.int32()), np.bincount(whose[free], minlength=n)))
+    return pa.StructArray.from_arrays(out, ["matched", "fn", "fp"])
+
+
 @dataclass(frozen=True)
 class MatchBoxes:
     """Greedy matches of true and predicted boxes: pairs with their overlap, and the places that are left on each side.
@@ -174,29 +266,19 @@ class MatchBoxes:
 
     def __call__(self, r: Record) -> Record:
         threshold, aware = self.iou_threshold, bool(self.truth_labels and self.predicted_labels)
+        if not aware:
+
+            @F.arrow_udf(MATCHES)
+            def alone(truth: pa.Array, predicted: pa.Array) -> pa.Array:
+                return batch_matches(truth, predicted, None, threshold)
+
+            return r.put(self.output, alone(r[self.truth], r[self.predicted]))
+        kinds = [r.frame.schema[r.entries[k]].dataType for k in (self.truth_labels, self.predicted_labels)]
+        plain = isinstance(kinds[0].elementType, T.BooleanType | T.IntegralType | T.StringType) and kinds[0].elementType == kinds[1].elementType
+        labels = [r[k] if plain else r[k].cast("array<string>") for k in (self.truth_labels, self.predicted_labels)]
+
+        @F.arrow_udf(MATCHES)
+        def matched(truth: pa.Array, predicted: pa.Array, truth_labels: pa.Array, predicted_labels: pa.Array) -> pa.Array:
+            return batch_matches(truth, predicted, [truth_labels, predicted_labels], threshold)
 
-        def rows(boxes) -> np.ndarray:
-            return np.array([[b[k] for k in ("x0", "y0", "x1", "y1")] for b in (() if boxes is None else boxes)], float).reshape(-1, 4)
-
-        def labels(values, n: int) -> list:
-            found = [] if values is None else list(values)[:n]
-            return found + [None] * (n - len(found))
-
-        @F.pandas_udf(MATCHES)
-        def matched(truth: pd.Series, predicted: pd.Series, truth_labels: pd.Series, predicted_labels: pd.Series) -> pd.DataFrame:
-            out: dict[str, list] = {"matched": [], "fn": [], "fp": []}
-            for t, p, tl, pl in zip(truth, predicted, truth_labels, predicted_labels):
-                t, p = rows(t), rows(p)
-                iou = overlaps(t, p)
-                if aware:
-                    one, other = labels(tl, len(t)), labels(pl, len(p))
-                    iou[[[x != y for y in other] for x in one] if len(t) and len(p) else np.zeros(iou.shape, bool)] = 0.0
-                pairs = greedy_matches(iou, threshold)
-                out["matched"].append([{"truth": a, "predicted": b, "iou": float(iou[a, b])} for a, b in pairs])
-                out["fn"].append([k for k in range(len(t)) if k not in {a for a, _ in pairs}])
-                out["fp"].append([k for k in range(len(p)) if k not in {b for _, b in pairs}])
-            return pd.DataFrame(out)
-
-        none = F.lit(None).cast("array<string>")
-        given = (r[self.truth_labels].cast("array<string>"), r[self.predicted_labels].cast("array<string>")) if aware else (none, none)
-        return r.put(self.output, matched(r[self.truth], r[self.predicted], *given))
+        return r.put(self.output, matched(r[self.truth], r[self.predicted], *labels))
