@@ -19,6 +19,10 @@ IMAGE = "struct<height: int, width: int, channels: int, data: binary>"
 _FIELDS = [pa.field("height", pa.int32()), pa.field("width", pa.int32()), pa.field("channels", pa.int32()), pa.field("data", pa.binary())]
 
 
+#: Bytes of the images of one shape that a kernel gets at once, unless one image alone has more.
+BLOCK_BYTES = 1 << 18
+
+
 def pixels(x) -> np.ndarray:
     return np.frombuffer(x["data"], np.uint8).reshape(x["height"], x["width"], x["channels"])
 
@@ -44,7 +48,7 @@ def _binaries(block: np.ndarray) -> pa.Array:
 
 
 def over_shapes(function: Callable[..., np.ndarray], structs: list[pa.Array]) -> pa.Array:
-    """A function of arrays of images, called once for each combination of shapes; null where an input is."""
+    """A function of arrays of images, called for each combination of shapes, and for so many images that its arrays stay small; null where an input is."""
     there = np.ones(len(structs[0]), bool)
     shapes, datas = [], []
     for x in structs:
@@ -56,12 +60,14 @@ def over_shapes(function: Callable[..., np.ndarray], structs: list[pa.Array]) ->
     forms, of = np.unique(np.stack(shapes, axis=1)[rows], axis=0, return_inverse=True)
     sizes, parts, order = np.zeros((len(there), 3), np.int32), [], []
     for k, form in enumerate(forms):
-        some = rows[of.ravel() == k]
-        made = function(*[_block(d.take(pa.array(some)), form[3 * n : 3 * n + 3]) for n, d in enumerate(datas)])
-        made = made[..., None] if made.ndim == 3 else made
-        sizes[some] = made.shape[1:]
-        parts.append(_binaries(made))
-        order.append(some)
+        same, step = rows[of.ravel() == k], max(1, BLOCK_BYTES // max(1, *form.reshape(-1, 3).prod(axis=1).tolist()))
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            made = function(*[_block(d.take(pa.array(some)), form[3 * n : 3 * n + 3]) for n, d in enumerate(datas)])
+            made = made[..., None] if made.ndim == 3 else made
+            sizes[some] = made.shape[1:]
+            parts.append(_binaries(made))
+            order.append(some)
     place = np.full(len(there), -1)
     place[np.concatenate([np.zeros(0, np.int64), *order])] = np.arange(len(rows))
     none = ~there

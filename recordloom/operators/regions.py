@@ -1,11 +1,10 @@
-"""Masks and boxes where the work is inherently one record at a time: small numpy kernels behind pandas UDFs."""
+"""Masks and boxes where the work is inherently one record at a time: small numpy kernels behind Arrow UDFs."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -18,13 +17,33 @@ from recordloom.plans.record import Record
 BOXES = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
 
 
+def _lists(values: pa.Array, counts: np.ndarray, none: pa.Array | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values, mask=none)
+
+
+def _counts(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
 def components(mask: np.ndarray, connectivity: int = 4, min_area: int = 1) -> list[tuple[float, float, float, float]]:
     """Half-open boxes of connected true cells, in the order of their first cell by rows."""
     return stack_components(mask[None], connectivity, min_area)[0]
 
 
 def stack_components(masks: np.ndarray, connectivity: int = 4, min_area: int = 1) -> list[list[tuple[float, float, float, float]]]:
-    """components() of many masks of one shape (masks x height x width) at once.
+    """components() of many masks of one shape (masks x height x width) at once."""
+    out: list[list[tuple[float, float, float, float]]] = [[] for _ in masks]
+    for k, corners in zip(*(x.tolist() for x in component_corners(masks, connectivity, min_area))):
+        out[k].append(tuple(corners))
+    return out
+
+
+def component_corners(masks: np.ndarray, connectivity: int = 4, min_area: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The mask that each box is of, in order, and the boxes (x0, y0, x1, y1) of many masks of one shape.
 
     Neighbouring cells are edges; the least place spreads along them, with pointers shortened between turns, so the
     turns are few however long a part winds.
@@ -48,20 +67,19 @@ def stack_components(masks: np.ndarray, connectivity: int = 4, min_area: int = 1
         np.minimum.at(label, high, low)
         while (label[label] != label).any():
             label = label[label]
-    out: list[list[tuple[float, float, float, float]]] = [[] for _ in range(n)]
     cells = np.flatnonzero(masks.ravel())
-    if not len(cells):
-        return out
     roots, which, area = np.unique(label[cells], return_inverse=True, return_counts=True)
     y, x = cells // width % height, cells % width
     box = np.empty((4, len(roots)))
     box[:2], box[2:] = np.inf, -np.inf
     for k, (fold, value) in enumerate(((np.minimum, x), (np.minimum, y), (np.maximum, x + 1), (np.maximum, y + 1))):
         fold.at(box[k], which, value)
-    for root, corners, size in zip(roots, box.T, area):
-        if size >= min_area:
-            out[root // (height * width)].append(tuple(corners.tolist()))
-    return out
+    large = area >= min_area
+    return roots[large] // max(1, height * width), box.T[large]
+
+
+#: Cells of masks that are searched at once, unless one mask alone has more.
+CELLS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -79,14 +97,23 @@ class ConnectedComponents:
             raise ValueError("connectivity is 4 or 8")
         width, area, connectivity = self.width, self.min_area, self.connectivity
 
-        @F.pandas_udf(BOXES)
-        def found(masks: pd.Series) -> pd.Series:
-            out = pd.Series([None] * len(masks), index=masks.index, dtype=object)
-            known = masks[masks.notna()]
-            for size, some in known.groupby(known.map(len)):
-                boxes = stack_components(np.stack(some.to_list()).reshape(len(some), -1, width), connectivity, area) if size else [[]] * len(some)
-                out.loc[some.index] = pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), b)) for b in one] for one in boxes], index=some.index, dtype=object)
-            return out
+        @F.arrow_udf(BOXES)
+        def found(masks: pa.Array) -> pa.Array:
+            sizes = _counts(masks)
+            values, starts = masks.flatten(), _starts(sizes)
+            values = values.fill_null(False if pa.types.is_boolean(values.type) else 0).to_numpy(zero_copy_only=False).astype(bool)
+            whose, corners = [np.zeros(0, int)], [np.zeros((0, 4))]
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                same, step = np.flatnonzero(sizes == size), max(1, CELLS // size)
+                for k in range(0, len(same), step):
+                    some = same[k : k + step]
+                    of, boxes = component_corners(values[starts[some][:, None] + np.arange(size)].reshape(len(some), -1, width), connectivity, area)
+                    whose.append(some[of])
+                    corners.append(boxes)
+            whose, corners = np.concatenate(whose), np.concatenate(corners)
+            corners = corners[np.argsort(whose, kind="stable")]
+            boxes = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in corners.T], ["x0", "y0", "x1", "y1"])
+            return _lists(boxes, np.bincount(whose, minlength=len(masks)), masks.is_null())
 
         return r.put(self.output, found(r[self.field]), "Boxes")
 
@@ -182,18 +209,6 @@ OVERLAPS = 1 << 18
 MATCHES = "struct<matched: array<struct<truth: int, predicted: int, iou: double>>, fn: array<int>, fp: array<int>>"
 
 
-def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
-
-
-def _counts(lists: pa.Array) -> np.ndarray:
-    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _starts(counts: np.ndarray) -> np.ndarray:
-    return np.cumsum(counts) - counts
-
-
 def _corners(boxes: pa.Array) -> np.ndarray:
     """All boxes of a batch, one under another; what is null is no number and overlaps nothing."""
     flat = boxes.flatten()
